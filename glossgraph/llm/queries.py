@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossgraph.llm import quality, simhash
+from glossgraph.llm import pii, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,8 +31,27 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", simhash.hex_digits(F.col("fingerprint")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "toxicity.severity", "toxicity.p_toxic", "toxicity.grade", F.col("toxicity.rejected").alias("toxic"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *(count(k.name) for k in pii.BASE_KINDS),
+        F.sha2(pii.digest(F.col("pii"), pii.BASE_KINDS), 256).alias("base_sha256"),
+        pii.digest(F.col("pii")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {}
