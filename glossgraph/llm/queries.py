@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossgraph.llm import pii, quality, simhash, toxicity
+from glossgraph.llm import mixing, packing, pii, quality, simhash, toxicity
+from glossgraph.llm.common import cut, n_words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +27,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    mixed = mixing.mix(sized, "size")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumn("fingerprint", simhash.hex_digits(F.col("fingerprint")))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(cut(packing.pieces(docs, packing.tokenizer_path())))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -50,8 +63,43 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_source_mixing": op3_source_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
-ORACLES: dict[str, str] = {}
+OP3_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, text,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents
+), turns AS (
+  SELECT source, source_size, CAST([3, 1, 2][1 + (turn - 1) % 3] AS DOUBLE) AS weight, 2.0 * source_size AS lim
+  FROM (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS turn
+        FROM sized GROUP BY source)
+), levels AS (
+  SELECT *, (1.5 * (SELECT sum(source_size) FROM turns)
+             - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM turns
+), targets AS (
+  SELECT source, source_size, least(lim, weight * (SELECT arg_min(level, lim / weight) FROM levels WHERE lim >= level * weight)) AS target
+  FROM levels
+), marked AS (
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
+         CAST(round(CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END * 4294967296) AS HUGEINT) AS units,
+         bin(s.size + 1) AS bits,
+         CAST('0x' || substr(md5(CAST(s.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h,
+         CAST('0x' || substr(md5('0:' || coalesce(s.source, '')), 1, 8) AS BIGINT) AS start
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), summed AS (
+  SELECT *, start + sum(units) OVER (PARTITION BY source ORDER BY lpad(CAST(length(bits) AS VARCHAR), 2, '0') || rpad(substr(bits, 2, 3), 3, '0'),
+                                     h % 1024, size, h, doc_id ROWS UNBOUNDED PRECEDING) AS last
+  FROM marked
+)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(size * (last // 4294967296 - (last - units) // 4294967296) AS BIGINT) AS taken
+FROM summed
+"""
+ORACLES: dict[str, str] = {"op3_source_mixing": OP3_SQL}
