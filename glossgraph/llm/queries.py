@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossgraph.llm import mixing, packing, pii, quality, simhash, toxicity
+from glossgraph.llm import langid, licenses, media, mixing, packing, pii, quality, simhash, toxicity
 from glossgraph.llm.common import cut, n_words
 
 
@@ -34,6 +34,18 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.element_at("licenses", 1)
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_matches"),
+        F.when(F.size("licenses") > 0, best["license"]).alias("license"),
+        F.when(F.size("licenses") > 0, best["dice"]).alias("dice"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"]))), ",").alias("licenses"),
+    )
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumn("fingerprint", simhash.hex_digits(F.col("fingerprint")))
@@ -44,6 +56,35 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut(packing.pieces(docs, packing.tokenizer_path())))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    stored = media.with_media(docs).withColumn("n_bytes", F.octet_length("text").cast("long")).drop("text")
+    read = stored.withColumn("read", media.media_features(F.col("media")))
+    pairs = F.array_join(F.zip_with("read.times", "read.hashes", lambda t, h: F.concat_ws(":", t.cast("string"), h.cast("string"))), ",")
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.col("read.n_samples").alias("payload_bytes"),
+        "read.payload_sha256",
+        "read.tail_crc32",
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.size("read.hashes").cast("string"), F.sha2(pairs, 256)).alias("feature"),
+    )
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    none = F.lit(None).cast("string")
+    host, domain, suffix = langid.address(F.col("url"))
+    # a document has no markup and no address; its source stands for the host
+    rows = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", none.alias("declared"), F.concat(F.lit("source:"), F.col("source")).alias("host"), none.alias("domain"), none.alias("suffix")).unionByName(
+        pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", langid.visible_text(F.col("html")).alias("text"), langid.declared(F.col("html")).alias("declared"), host.alias("host"), domain.alias("domain"), suffix.alias("suffix"))
+    )
+    return langid.identify(rows, model).select("doc_id", "page_id", "lang", "p", "text_lang", "declared", "kept")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -64,8 +105,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mixing": op3_source_mixing,
+    "op4_license_scan": op4_license_scan,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_media_columns": op7_media_columns,
+    "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
 }
