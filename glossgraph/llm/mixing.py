@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 UNIT = 1 << 32
 #: Slots of a size class within a source.
-SLOTS = 1024
+SLOTS = 128
 #: Weights of the sources in turn, by code point order of their names.
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5

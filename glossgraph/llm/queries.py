@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossgraph.llm import langid, licenses, media, mixing, packing, pii, quality, simhash, toxicity
+from glossgraph.llm import langid, licenses, media, mixing, packing, pii, quality, simhash, toxicity, urlfilter
 from glossgraph.llm.common import cut, n_words
 
 
@@ -13,6 +13,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+RULES = tuple(
+    urlfilter.Rule(verdict, text)
+    for verdict, text in (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+)
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", langid.visible_text(F.col("html")).alias("visible"))
+    # a page is labelled by its text: bad if symbols stand beside a good part of its words
+    symbols = F.length("visible") - F.length(F.translate("visible", "#*$%|", ""))
+    labelled = pages.select("page_id", "url", F.when(F.length("visible") > 0, (4 * symbols > n_words(F.col("visible"))).cast("int")).alias("bad"))
+    return urlfilter.judge(labelled, RULES).select("page_id", "host", "path", "rule", "verdict", "template", "bad_share")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.judge(quality.ledger(docs))
@@ -103,6 +117,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
     "op3_source_mixing": op3_source_mixing,
     "op4_license_scan": op4_license_scan,
@@ -139,7 +154,7 @@ WITH sized AS (
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), summed AS (
   SELECT *, start + sum(units) OVER (PARTITION BY source ORDER BY lpad(CAST(length(bits) AS VARCHAR), 2, '0') || rpad(substr(bits, 2, 3), 3, '0'),
-                                     h % 1024, size, h, doc_id ROWS UNBOUNDED PRECEDING) AS last
+                                     h % 128, size, h, doc_id ROWS UNBOUNDED PRECEDING) AS last
   FROM marked
 )
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
