@@ -126,44 +126,42 @@ def refine(long_lists: DataFrame) -> DataFrame:
     return long_lists.select("fp", "mask").mapInArrow(again, "key long, fp long, mask long")
 
 
-def linked(members: np.ndarray, sizes: np.ndarray, max_bits: int = MAX_BITS) -> tuple[list[int], list[int]]:
-    """Spanning links within each run of `sizes` members: pairs with enough shared positional bytes, verified."""
-    left, right = [], []
+def linked(members: np.ndarray, sizes: np.ndarray, least_shared: int = LEAST_SHARED, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links within each run of `sizes` members (rows of one or more 64-bit numbers), as row numbers.
+
+    Shared positional bytes are tallied for each pair that isn't joined yet; pairs with fewer than `least_shared`
+    are dropped, the others verified on their bits.
+    """
+    members = members.reshape(len(members), -1)
+
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        differing = members[a] ^ members[b]
+        shared = (differing.view(np.uint8) == 0).sum(axis=1)
+        kept = shared >= least_shared
+        kept[kept] = np.bitwise_count(differing[kept]).sum(axis=1) <= max_bits
+        return kept
+
     starts = np.cumsum(sizes) - sizes
-    pairs = starts[sizes == 2]  # most lists: all at once
-    left.append(members[pairs])
-    right.append(members[pairs + 1])
+    left, right = [starts[sizes == 2]], [starts[sizes == 2] + 1]  # most lists: all at once
+    good = close(left[0], right[0])
+    left[0], right[0] = left[0][good], right[0][good]
     for start, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        fp = members[start : start + n]
         root = np.arange(n)
         for i in range(n - 1):
             rest = np.nonzero(root[i + 1 :] != root[i])[0] + i + 1  # those not joined yet
-            if not len(rest):
-                continue
-            near = rest[_close(fp[i], fp[rest], max_bits)]
-            for j in near.tolist():
-                if root[j] != root[i]:
-                    left.append(fp[i : i + 1])
-                    right.append(fp[j : j + 1])
-                    root[root == root[j]] = root[i]
-    a, b = np.concatenate(left), np.concatenate(right)
-    good = _close(a, b, max_bits)
-    return a[good], b[good]
-
-
-def _close(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
-    """Count filter, then verification: shared positional bytes are tallied first."""
-    differing = np.atleast_1d(a ^ b)
-    shared = (differing.astype("<u8").view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
-    close = shared >= BYTES - max_bits
-    close[close] = np.bitwise_count(differing[close]) <= max_bits
-    return close
+            near = rest[close(np.full(len(rest), start + i), start + rest)] if len(rest) else rest
+            fresh = near[np.unique(root[near], return_index=True)[1]]  # one link for each group that joins
+            left.append(np.full(len(fresh), start + i))
+            right.append(start + fresh)
+            root[np.isin(root, root[near])] = root[i]
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _compare(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     members = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    return linked(members, sizes) if len(sizes) else (np.empty(0, np.uint64), np.empty(0, np.uint64))
+    a, b = linked(members, sizes)
+    return members[a], members[b]
 
 
 def links(fps: DataFrame, most: int = MOST) -> DataFrame:
@@ -171,7 +169,7 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
 
     def compared(batches):
         for batch in batches:
-            a, b = _compare(batch["members"].combine_chunks() if isinstance(batch["members"], pa.ChunkedArray) else batch["members"])
+            a, b = _compare(batch["members"])
             yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     posted, found = postings(fps), None
@@ -187,6 +185,15 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
         posted = cut(refine(long_lists).distinct())
 
 
+def _components(printed: DataFrame, first: DataFrame, found: DataFrame, prints: list[str]) -> DataFrame:
+    """Component of each row of `printed`, by links between the first documents of equal fingerprints."""
+    joined = connected_components(found, "a", "b")
+    groups = first.join(joined, first.node == joined.node, "left").select(*prints, "first", F.coalesce("component", first.node).alias("component"))
+    smallest = groups.groupBy("component").agg(F.min("first").alias("component_id"))
+    by_print = groups.join(smallest, "component").select(*prints, "component_id")
+    return printed.join(by_print, prints)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """Rows (doc_id, fingerprint long, component_id): the smallest doc_id reachable over fingerprint links.
 
@@ -194,11 +201,98 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     small_batches(docs.sparkSession)
     printed = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), width).alias("fp")))
-    first = printed.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    joined = connected_components(links(first.select("fp")), "a", "b")
-    groups = first.join(joined, first.fp == joined.node, "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")
-    )
-    smallest = groups.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = groups.join(smallest, "component").select("fp", "component_id")
-    return printed.join(by_fp, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    first = printed.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.col("fp"))
+    found = links(first.select("fp"))
+    return _components(printed, first, found, ["fp"]).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+
+
+# Near copies of a wider radius: three fingerprints over distinct words, posted under three bytes each.
+
+WIDE = 3
+#: Byte positions 1 to 7 in the seven lines of the Fano plane: any two positions share one line.
+LINES = [c for c in itertools.combinations(range(1, 8), 3) if c[0] ^ c[1] ^ c[2] == 0]
+WIDE_PRINTS = [f"f{k}" for k in range(WIDE)]
+#: Of 192 bits. Copies with a fortieth of their words changed differ in about 17, unrelated texts in about 85.
+WIDE_BITS = 20
+#: Positional bytes that a pair must share: 20 bits leave at least four of 24 bytes equal.
+WIDE_SHARED = 4
+
+
+def wide_fingerprint(text: Column) -> Column:
+    """A struct of WIDE fingerprints over the distinct lower-cased words; zeros for texts without words."""
+
+    def of(texts: pa.Array) -> pa.Array:
+        sets = [set((x or "").lower().encode().split()) for x in texts.to_pylist()]
+        sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+        raw = b"".join(map(xxhash.xxh3_128_digest, itertools.chain.from_iterable(sets)))
+        halves = np.frombuffer(raw, dtype=np.uint64).reshape(-1, 2)
+        mixed = (halves[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (halves[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
+        mixed ^= mixed >> np.uint64(31)
+        prints = [majority_bits(h, sizes).view(np.int64) for h in (np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]), mixed * np.uint64(0xD6E8FEB86659FD93))]
+        return pa.StructArray.from_arrays([pa.array(x) for x in prints], WIDE_PRINTS)
+
+    return F.arrow_udf(of, f"struct<{','.join(f'{x}:long' for x in WIDE_PRINTS)}>").asNondeterministic()(text)
+
+
+def _lines(which: list[int]) -> Column:
+    """Array of the keys under which a row with columns f0, f1, f2 is posted, for some of the fingerprints."""
+    keys = []
+    for j in which:
+        for k, line in enumerate(LINES):
+            key = F.lit((j * len(LINES) + k) << 24).cast("long")
+            for place, position in enumerate(line):
+                key = key.bitwiseOR(F.shiftleft(_byte(F.col(f"f{j}"), position), 8 * place))
+            keys.append(key)
+    return F.array(*keys)
+
+
+def wide_links(first: DataFrame, most: int = MOST) -> DataFrame:
+    """Rows (a, b) between nodes of a table (node, f0, f1, f2) that share a posted line and are close.
+
+    Lists longer than `most` are posted again under a line of each other fingerprint, and then once more; what
+    still shares 72 bits with more than `most` others is ordered and compared in runs of `most`, which overlap.
+    """
+
+    def compared(batches):
+        for batch in batches:
+            lists = batch["members"]
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            node = flat.field("node").to_numpy(zero_copy_only=False)
+            members = np.column_stack([flat.field(x).to_numpy(zero_copy_only=False) for x in WIDE_PRINTS]).view(np.uint64)
+            a, b = linked(members, sizes, WIDE_SHARED, WIDE_BITS) if len(sizes) else (np.empty(0, int), np.empty(0, int))
+            yield pa.record_batch([pa.array(node[a], pa.int64()), pa.array(node[b], pa.int64())], ["a", "b"])
+
+    member = F.struct("node", *WIDE_PRINTS)
+    keys = [f"k{j}" for j in range(WIDE)]
+    posted = first.select("node", *WIDE_PRINTS, F.explode(_lines(list(range(WIDE)))).alias("k0"), F.lit(-1).cast("long").alias("k1"), F.lit(-1).cast("long").alias("k2"))
+    found = None
+    for level in range(WIDE):
+        counted = posted.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+        short = counted.where((F.col("n") > 1) & (F.col("n") <= most))
+        part = short.groupBy(*keys).agg(F.collect_list(member).alias("members")).select("members").mapInArrow(compared, "a long, b long")
+        found = part if found is None else found.unionAll(part)
+        sizes = posted.groupBy(*keys).count().where(F.col("count") > most).drop("count")
+        long_lists = posted.join(sizes, keys)
+        if long_lists.isEmpty():
+            return found
+        if level < WIDE - 1:
+            line = F.explode(_lines(list(range(WIDE))))
+            again = long_lists.withColumn("next", line).where(F.shiftright("next", 24) >= (F.shiftright(F.greatest(*keys), 24) / len(LINES)).cast("int") * len(LINES) + len(LINES))
+            posted = cut(again.withColumn(keys[level + 1], F.col("next")).drop("next"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*WIDE_PRINTS)) - 1
+    run = F.floor(place / (most - 1))
+    runs = long_lists.withColumn("run", F.explode(F.when((place % (most - 1) == 0) & (place > 0), F.array(run, run - 1)).otherwise(F.array(run))))
+    part = runs.groupBy(*keys, "run").agg(F.collect_list(member).alias("members")).select("members").mapInArrow(compared, "a long, b long")
+    return found.unionAll(part)
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, f0, f1, f2, component_id) for copies with few words changed, exact copies included.
+
+    Null and empty texts have fingerprints 0 and are copies of each other.
+    """
+    small_batches(docs.sparkSession)
+    printed = cut(docs.select(F.col(doc_id).alias("doc_id"), wide_fingerprint(F.col(text)).alias("p")).select("doc_id", "p.*"))
+    first = cut(printed.groupBy(*WIDE_PRINTS).agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64(*WIDE_PRINTS)))
+    return _components(printed, first, wide_links(first.select("node", *WIDE_PRINTS)), WIDE_PRINTS)
