@@ -161,4 +161,28 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
        CAST(size * (last // 4294967296 - (last - units) // 4294967296) AS BIGINT) AS taken
 FROM summed
 """
-ORACLES: dict[str, str] = {"op3_source_mixing": OP3_SQL}
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
+  FROM documents
+), pos AS (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8),
+keyed AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS k FROM pos),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM keyed) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(len(lines) AS BIGINT) AS n_lines, coalesce(n, 0) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
+         length(regexp_replace(t, '[^!]', '', 'g')) AS n_marks
+  FROM w LEFT JOIN covered USING (doc_id)
+), bits AS (
+  SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
+            + CASE WHEN 100 * n_symbols > 25 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
+            + CASE WHEN 100 * n_upper > 60 * word_chars THEN 16 ELSE 0 END + CASE WHEN 100 * n_marks > 40 * n_words THEN 32 ELSE 0 END
+            + CASE WHEN word_chars > 25 * n_words THEN 64 ELSE 0 END AS b
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b % 4 <> 0 AS base_failed, b = 0 AS kept, CAST(b AS BIGINT) AS fail_bits FROM bits
+"""
+ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op3_source_mixing": OP3_SQL}

@@ -102,7 +102,7 @@ def postings(fps: DataFrame) -> DataFrame:
 def _parts(mask: int) -> list[int]:
     """The bits outside a mask in four parts, as masks."""
     free = [k for k in range(64) if not mask >> k & 1]
-    return [sum(1 << k for k in part) for part in np.array_split(free, MAX_BITS + 1)]
+    return [sum(1 << int(k) for k in part) for part in np.array_split(free, MAX_BITS + 1)]
 
 
 def refine(long_lists: DataFrame) -> DataFrame:
@@ -280,9 +280,10 @@ def wide_links(first: DataFrame, most: int = MOST) -> DataFrame:
             line = F.explode(_lines(list(range(WIDE))))
             again = long_lists.withColumn("next", line).where(F.shiftright("next", 24) >= (F.shiftright(F.greatest(*keys), 24) / len(LINES)).cast("int") * len(LINES) + len(LINES))
             posted = cut(again.withColumn(keys[level + 1], F.col("next")).drop("next"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*WIDE_PRINTS)) - 1
-    run = F.floor(place / (most - 1))
-    runs = long_lists.withColumn("run", F.explode(F.when((place % (most - 1) == 0) & (place > 0), F.array(run, run - 1)).otherwise(F.array(run))))
+    placed = long_lists.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*WIDE_PRINTS)) - 1)
+    run = F.floor(F.col("place") / (most - 1))
+    shared = (F.col("place") % (most - 1) == 0) & (F.col("place") > 0)  # the first of a run ends the run before, too
+    runs = placed.withColumn("run", F.explode(F.when(shared, F.array(run, run - 1)).otherwise(F.array(run))))
     part = runs.groupBy(*keys, "run").agg(F.collect_list(member).alias("members")).select("members").mapInArrow(compared, "a long, b long")
     return found.unionAll(part)
 
