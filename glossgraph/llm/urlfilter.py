@@ -87,11 +87,12 @@ def templates(addresses: DataFrame, depth: int = DEPTH) -> DataFrame:
         share, other = (F.col("bad") + 1) / (F.col("labelled") + 2), (other_bad + 1) / (others + 2)
         error = F.sqrt(share * (1 - share) / (F.col("labelled") + 2) + other * (1 - other) / (others + 2))
         variable = (F.col("many") >= MANY) & (F.col("all_n") < F.col("many") * FEW_EACH)
-        alone = (F.col("many") == 1) & ~F.col("segment").contains(WILD)
         apart = F.abs(share - other) >= APART * error
-        decided = children.join(parents, ["host", "template"]).select(
-            "host", "template", "segment", F.when(variable, F.lit(WILD)).when(alone | apart, F.col("segment")).otherwise(F.lit(WILD)).alias("branch")
-        )
+        marked = children.join(parents, ["host", "template"]).select("host", "template", "segment", variable.alias("variable"), apart.alias("apart"))
+        alike = marked.where(~F.col("apart")).groupBy("host", "template").agg(F.count("*").alias("alike"))
+        # a branch that is like no other isn't merged
+        merges = F.col("variable") | (~F.col("apart") & (F.col("alike") > 1))
+        decided = marked.join(alike, ["host", "template"], "left").select("host", "template", "segment", F.when(merges, WILD).otherwise(F.col("segment")).alias("branch"))
         state = state.join(decided, ["host", "template", "segment"], "left").withColumn(
             "template", F.when(F.size("shape") > level, F.concat_ws("/", "template", "branch")).otherwise(F.col("template"))
         )
