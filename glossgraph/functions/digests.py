@@ -33,7 +33,7 @@ def number_text(x: float) -> str:
     d, e = digits.replace(".", ""), int(exponent)
     if 0 <= e < 21:
         text = d.ljust(e + 1, "0") if len(d) <= e + 1 else f"{d[: e + 1]}.{d[e + 1 :]}"
-    elif -7 <= e < 0:
+    elif -7 < e < 0:
         text = "0." + "0" * (-e - 1) + d
     else:
         text = (d if len(d) == 1 else f"{d[0]}.{d[1:]}") + ("e+" if e > 0 else "e") + str(e)

@@ -24,7 +24,7 @@ OPTIONAL = {"node": ("feature",), "edge": ("value",)}
 
 XML_ROW = T.StructType(
     [T.StructField(f"_{c}", T.StringType()) for c in ("kind", "relation", "target", "node", "feature", "value", "from", "to", "evidence", "note")]
-    + [T.StructField("_VALUE", T.StringType())]
+    + [T.StructField("body", T.StringType())]
 )
 XML_ROOT = T.StructType([T.StructField(f"_{c}", T.StringType()) for c in ("corpus", "source", "corpusVersion")])
 
@@ -35,7 +35,7 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
     Attributes of the root are joined to its rows by the file's name, so each corpus is one file.
     """
     name = F.input_file_name()
-    rows = spark.read.format("xml").option("rowTag", "map").schema(XML_ROW).load(path).withColumn("file", name)
+    rows = spark.read.format("xml").option("rowTag", "map").option("valueTag", "body").schema(XML_ROW).load(path).withColumn("file", name)
     roots = spark.read.format("xml").option("rowTag", "mappings").schema(XML_ROOT).load(path).withColumn("file", name)
     renamed = rows.select("file", *(F.col(f"_{c}").alias({"from": "from_node", "to": "to_node"}.get(c, c)) for c in ("kind", "relation", "target", "node", "feature", "value", "from", "to", "evidence", "note")))
     heads = roots.select("file", F.col("_corpus").alias("corpus"), F.col("_source").alias("source"), F.col("_corpusVersion").alias("corpus_version"))
