@@ -29,6 +29,8 @@ STRENGTH = 8.0
 DECLARED_RIGHT = 0.9
 DECLARED_WEIGHT = 20.0
 KEEP = 0.5
+#: Rows of an Arrow batch, whose trigrams are looked up together.
+ROWS = 200
 
 
 @dataclass(frozen=True)
@@ -65,7 +67,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
 
     The driver gets one row for each language and bucket. Without labelled documents there are no languages.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, ROWS)
     chosen = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = chosen.select(F.col("doc_id").alias("chosen"), F.col("lang").alias("language"))
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"))  # at most `sample` short rows
@@ -126,7 +128,7 @@ def identify(rows: DataFrame, model: LanguageModel) -> DataFrame:
     hierarchy is a grouped sum with as many rows as it has keys; a key with a large part of the rows is summed
     up before the shuffle, and its rows are joined by plain equality, so that Spark can split them.
     """
-    small_batches(rows.sparkSession)
+    small_batches(rows.sparkSession, ROWS)
     languages, n = list(model.languages), len(model.languages)
     if not n:
         return rows.drop("text").withColumns({"text_lang": F.lit(None).cast("string"), "lang": F.lit(None).cast("string"), "p": F.lit(0.0), "kept": F.lit(False)})
