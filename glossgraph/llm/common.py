@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows that one Arrow batch may hold, so that a few long texts don't fill a Python worker.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 
 
 def words(text: Column) -> Column:
