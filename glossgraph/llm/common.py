@@ -24,11 +24,18 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of a small table that one checkpoint file may hold.
+FILE_ROWS = 200_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
-    A folder is set here only where none is configured, as in tests on one machine.
+    A folder is set here only where none is configured, as in tests on one machine. Where the number of rows is
+    known to be at most `rows`, there are no more files than they need: a process starts for each file.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:

@@ -18,7 +18,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = cut(
         links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
     )
-    before = _state(edges)
+    before = _state(edges)  # a star has no more links than the links that it was made from, and its nodes
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -28,7 +28,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         # each node v points to its smallest neighbour; its other smaller neighbours point there, too
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(down, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v"))
-        edges = cut(small.where("u <> v").distinct())
+        edges = cut(small.where("u <> v").distinct(), 2 * before[0])
         after = _state(edges)
         if after == before:
             break

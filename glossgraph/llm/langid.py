@@ -139,7 +139,7 @@ def identify(rows: DataFrame, model: LanguageModel) -> DataFrame:
     scored = cut(scored.withColumn("_own", _softmax(F.col("_ll"))))
     order = F.array(*map(F.lit, languages))
 
-    by_host = cut(scored.groupBy("_suffix", "_domain", "_host").agg(_sum_arrays("_own", n).alias("_in_host"), F.count("*").alias("_n_host")))
+    by_host = scored.groupBy("_suffix", "_domain", "_host").agg(_sum_arrays("_own", n).alias("_in_host"), F.count("*").alias("_n_host"))
     by_domain = by_host.groupBy("_suffix", "_domain").agg(_sum_arrays("_in_host", n).alias("_in_domain"), F.sum("_n_host").alias("_n_domain"))
     by_suffix = by_domain.groupBy("_suffix").agg(_sum_arrays("_in_domain", n).alias("_in_suffix"), F.sum("_n_domain").alias("_n_suffix"))
     total = by_suffix.agg(_sum_arrays("_in_suffix", n).alias("s"), F.sum("_n_suffix").alias("n")).first()

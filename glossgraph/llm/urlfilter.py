@@ -79,6 +79,7 @@ def templates(addresses: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Rows (host, shape, template, n, labelled, bad) from (host, shape, n, labelled, bad), one for each shape."""
     sums = lambda: [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
     state = cut(addresses.withColumn("template", F.lit("")))
+    rows = state.count()
     for level in range(depth + 1):
         state = state.withColumn("segment", F.coalesce(F.get("shape", F.lit(level)), F.lit("")))
         children = state.where(F.size("shape") > level).groupBy("host", "template", "segment").agg(*sums())
@@ -96,7 +97,7 @@ def templates(addresses: DataFrame, depth: int = DEPTH) -> DataFrame:
         state = state.join(decided, ["host", "template", "segment"], "left").withColumn(
             "template", F.when(F.size("shape") > level, F.concat_ws("/", "template", "branch")).otherwise(F.col("template"))
         )
-        state = cut(state.select("host", "shape", "template", "n", "labelled", "bad"))  # each level reads it twice
+        state = cut(state.select("host", "shape", "template", "n", "labelled", "bad"), rows)  # each level reads it twice
     return state
 
 
