@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glossgraph.derived import catalog, catalog_sql
 from glossgraph.functions import digests
 from glossgraph.operators import accounting, census, correspondence, ordering, paths, selectors, sets
-from glossgraph.plans import prerequisites, resolver
+from glossgraph.plans import prerequisites, references, resolver
 from glossgraph.sources import catalog as catalogs
 from glossgraph.sources.graph import SPAN, activity, all_corpora, commerce, library
 from glossgraph.streaming import tables as streams
@@ -594,6 +594,59 @@ def row_digest(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", digests.row_digest(fields).alias("digest"))
 
 
+# References and closures
+
+
+@query(
+    """SELECT u.user_id, CASE WHEN c_custkey IS NULL THEN 'no_reference' ELSE 'resolved' END AS status, 'urn:customer:' || c_custkey AS entity
+    FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN customer ON c_custkey = user_id"""
+)
+def identity_resolution(spark, sf_dir):
+    users = read(spark, sf_dir, "events").select("user_id").distinct()
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("urn:customer:"), "c_custkey").alias("entity"))
+    rows = users.join(customers, "user_id", "left").withColumn("strength", F.when(F.col("entity").isNotNull(), references.EXECUTABLE).otherwise("unknown"))
+    return references.resolve_identities(rows, ["user_id"])
+
+
+@query(
+    """SELECT doc_id, 'urn:x:1.0:lex:' || (doc_id + 1) || ':form:' || substr(sha256(source), 1, 16) AS iri, '1.0' AS revision, doc_id + 1 AS node, substr(sha256(source), 1, 16) AS form FROM documents"""
+)
+def lexical_iris(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", references.lexical_iri("urn:x", "1.0", F.col("doc_id") + 1, F.col("source")).alias("iri"))
+    revision, number, form = references.lexical_parts(F.col("iri"))
+    return docs.select("doc_id", "iri", revision.alias("revision"), number.alias("node"), form.alias("form"))
+
+
+@query("SELECT DISTINCT doc_id, quality FROM labels WHERE quality = 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def evidence_closure(spark, sf_dir):
+    """Bindings whose evidence isn't there."""
+    bound = read(spark, sf_dir, "labels").where("quality = 0").select("doc_id", "quality").distinct()
+    return sets.subset_violations(bound, read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id"), ["doc_id"])
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'click')")
+def overlapping_sets(spark, sf_dir):
+    events = read(spark, sf_dir, "events")
+    of = lambda kind: events.where(F.col("event_type") == kind).select("user_id")
+    return sets.disjointness_violations(of("purchase"), of("click"), ["user_id"])
+
+
+@query(ITEMS.strip("()"))
+def denominator_items(spark, sf_dir):
+    return _items(spark, sf_dir)
+
+
+@query(
+    "SELECT role, "
+    + ", ".join(f"count(*) FILTER (WHERE d = '{d}') AS {d}" for d in ("accept", "reject", "pending"))
+    + " FROM (SELECT role, CASE WHEN length(text) > 400 THEN 'accept' WHEN length(text) > 200 THEN 'reject' ELSE 'pending' END AS d FROM conversations) GROUP BY role"
+)
+def disposition_counts(spark, sf_dir):
+    size = F.length("text")
+    turns = read(spark, sf_dir, "conversations").withColumn("owner", F.when(size > 400, "accept").when(size > 200, "reject").otherwise("pending"))
+    return accounting.queue(turns, "role", ("accept", "reject", "pending"))
+
+
 # Streams
 
 
