@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -143,18 +144,16 @@ def correspondence_nodes(spark, sf_dir):
     origin = correspondence.map_native(rows, "logistics", kind="value", node="line", feature="l_linestatus", value="F")
     pairs = correspondence.correspondences(rows, "logistics").join(origin.select("target").distinct(), "target", "left_semi")
     corpora = all_corpora(spark, sf_dir)
-    wanted = pairs.where(F.col("a_feature") == "l_linestatus").select("b_corpus", "b_node", "b_feature", "b_value", "target").distinct()
-    parts = None
-    for c in corpora.values():
-        for otype in c.node_types():
-            rows_of = wanted.where((F.col("b_corpus") == c.name) & (F.col("b_node") == otype))
-            for feature in [r[0] for r in rows_of.select("b_feature").distinct().collect()]:
-                nodes = c.nodes(otype).select("node", F.col(feature).cast("string").alias("b_value"))
-                part = nodes.join(rows_of.where(F.col("b_feature") == feature), "b_value").select(
-                    F.col("b_corpus").alias("corpus"), F.col("b_node").alias("node_type"), F.col("b_feature").alias("feature"), F.col("b_value").alias("value"), "target", "node"
-                )
-                parts = part if parts is None else parts.unionByName(part)
-    return parts
+    wanted = pairs.where("a_feature = 'l_linestatus'").select("b_corpus", "b_node", "b_feature", "b_value", "target").distinct()
+    # selectors without their values: as many rows as the schemas have features
+    kinds = [r for r in wanted.select("b_corpus", "b_node", "b_feature").distinct().collect() if r.b_corpus in corpora and r.b_node in corpora[r.b_corpus].tables]
+    parts = []
+    for r in kinds:
+        rows_of = wanted.where((F.col("b_corpus") == r.b_corpus) & (F.col("b_node") == r.b_node) & (F.col("b_feature") == r.b_feature))
+        nodes = corpora[r.b_corpus].nodes(r.b_node).select("node", F.col(r.b_feature).cast("string").alias("b_value"))
+        named = {"b_corpus": "corpus", "b_node": "node_type", "b_feature": "feature", "b_value": "value"}
+        parts.append(nodes.join(rows_of, "b_value").select(*(F.col(c).alias(n) for c, n in named.items()), "target", "node"))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query(
