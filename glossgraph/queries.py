@@ -140,7 +140,7 @@ def catalog_nodes(spark, sf_dir):
 )
 def correspondence_nodes(spark, sf_dir):
     """From one native category to the nodes of the corpora that share it."""
-    rows = catalog(spark, sf_dir)
+    rows = catalog(spark, sf_dir).cache()  # distinct values alone, read several times
     origin = correspondence.map_native(rows, "logistics", kind="value", node="line", feature="l_linestatus", value="F")
     pairs = correspondence.correspondences(rows, "logistics").join(origin.select("target").distinct(), "target", "left_semi")
     corpora = all_corpora(spark, sf_dir)
