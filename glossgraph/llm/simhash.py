@@ -295,5 +295,5 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     small_batches(docs.sparkSession)
     printed = cut(docs.select(F.col(doc_id).alias("doc_id"), wide_fingerprint(F.col(text)).alias("p")).select("doc_id", "p.*"))
-    first = cut(printed.groupBy(*WIDE_PRINTS).agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64(*WIDE_PRINTS)))
+    first = printed.groupBy(*WIDE_PRINTS).agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64(*WIDE_PRINTS))
     return _components(printed, first, wide_links(first.select("node", *WIDE_PRINTS)), WIDE_PRINTS)
