@@ -288,7 +288,7 @@ def wide_links(first: DataFrame, most: int = MOST) -> DataFrame:
     return found.unionAll(part)
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """Rows (doc_id, f0, f1, f2, component_id) for copies with few words changed, exact copies included.
 
     Null and empty texts have fingerprints 0 and are copies of each other.
@@ -296,4 +296,4 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     small_batches(docs.sparkSession)
     printed = cut(docs.select(F.col(doc_id).alias("doc_id"), wide_fingerprint(F.col(text)).alias("p")).select("doc_id", "p.*"))
     first = printed.groupBy(*WIDE_PRINTS).agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64(*WIDE_PRINTS))
-    return _components(printed, first, wide_links(first.select("node", *WIDE_PRINTS)), WIDE_PRINTS)
+    return _components(printed, first, wide_links(first.select("node", *WIDE_PRINTS), most), WIDE_PRINTS)

@@ -102,9 +102,7 @@ def test_near_copies_find_edited_texts_and_leave_others(spark):
             rows.append((len(rows), " ".join(copy)))
     df = spark.createDataFrame([*rows, (1000, None), (1001, "")], "doc_id long, text string")
     for most in (simhash.MOST, 3):
-        simhash.wide_links.__defaults__ = (most,)
-        comp = {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()}
-        simhash.wide_links.__defaults__ = (simhash.MOST,)
+        comp = {r.doc_id: r.component_id for r in simhash.near_copies(df, most=most).collect()}
         assert comp[1000] == comp[1001] == 1000
         assert sum(comp[d] == 5 * g for d, g in groups.items()) >= 148
         assert all(comp[d] // 5 == g for d, g in groups.items())
