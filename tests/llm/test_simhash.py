@@ -117,3 +117,21 @@ def test_majority_bits_of_long_runs():
         part = hashed[at : at + n].tolist()
         at += n
         assert g == sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in part) > n)
+
+
+def some_words(rng, n):
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(n)]
+
+
+def test_lists_longer_than_the_bound_lose_no_copy(spark):
+    rng = random.Random(7)
+    rows = []
+    for g in range(3):
+        base = some_words(rng, 200)
+        for _ in range(40):
+            copy = list(base)
+            copy[rng.randrange(200)] = some_words(rng, 1)[0]
+            rows.append((len(rows), " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (simhash.MOST, 3):
+        assert all(r.component_id == r.doc_id // 40 * 40 for r in simhash.near_copies(df, most=most).collect())
