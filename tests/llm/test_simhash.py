@@ -135,3 +135,15 @@ def test_lists_longer_than_the_bound_lose_no_copy(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for most in (simhash.MOST, 3):
         assert all(r.component_id == r.doc_id // 40 * 40 for r in simhash.near_copies(df, most=most).collect())
+
+
+def test_blocks_of_a_long_list_meet_every_pair_that_can_be_alike(spark):
+    sizes = {k: 100 + 3 * k for k in range(50)}
+    rows = [(key, k, n) for key in (1, 2) for k, n in sizes.items()] + [(3, 0, 100), (3, 1, 103), (4, 7, 121)]
+    posted = spark.createDataFrame(rows, "key long, node long, size long").repartition(5)
+    tasks = {}
+    for r in simhash.band_tasks(posted, 7, 0.8).collect():
+        tasks.setdefault((r.key, r.a, r.b), set()).add(r.node)
+    met = {(a, b) for members in tasks.values() for a in members for b in members if a < b}
+    assert {(a, b) for a in sizes for b in sizes if a < b and sizes[a] >= 0.8 * sizes[b]} <= met
+    assert max(map(len, tasks.values())) <= 16 and len({k for k, _, _ in tasks}) == 2
