@@ -147,3 +147,31 @@ def test_blocks_of_a_long_list_meet_every_pair_that_can_be_alike(spark):
     met = {(a, b) for members in tasks.values() for a in members for b in members if a < b}
     assert {(a, b) for a in sizes for b in sizes if a < b and sizes[a] >= 0.8 * sizes[b]} <= met
     assert max(map(len, tasks.values())) <= 16 and len({k for k, _, _ in tasks}) == 2
+
+
+def five_grams(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_copies_are_found_whatever_the_edit(spark):
+    rng = random.Random(11)
+    edits = {
+        "end cut off": lambda w: w[: int(len(w) * 0.85)],
+        "text appended": lambda w: w + some_words(rng, len(w) // 6),
+        "block replaced": lambda w: w[: len(w) // 2] + some_words(rng, len(w) // 14) + w[len(w) // 2 + len(w) // 14 :],
+        "words replaced": lambda w: [some_words(rng, 1)[0] if rng.random() < 0.018 else x for x in w],
+    }
+    rows, wanted = [], {}
+    for kind, edit in edits.items():
+        for _ in range(40):
+            words = some_words(rng, rng.randint(60, 600))
+            texts = " ".join(words), " ".join(edit(words))
+            a, b = map(five_grams, texts)
+            wanted[len(rows)] = kind, len(a & b) / len(a | b) >= 0.8
+            rows += [(len(rows), texts[0]), (len(rows) + 1, texts[1])]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), least=0.8).collect()}
+    for kind in edits:
+        alike = [d for d, (k, near) in wanted.items() if k == kind and near]
+        assert len(alike) > 15 and sum(got[d + 1] == d for d in alike) >= len(alike) - 1, kind
+    assert all(got[d + 1] == d + 1 for d, (_, near) in wanted.items() if not near)
