@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from glossgraph.llm import mixing
 
@@ -39,3 +41,23 @@ def test_odd_documents_pass_through(spark):
     assert sizes["toxicity"] == 6 and sizes["simhash_near_dedup"] == sizes["pii"] == 4
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long"), "/root/testdata/sf0.001").count() == 0
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def kept(spark, texts):
+    """Numbers of the (id, text) pairs that the near-duplicate stage keeps."""
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(texts)], DOCS)
+    return {r.n_chars for r in corpus_pipeline.drop_near_duplicates(spark, docs, "/root/testdata/sf0.001").collect()}
+
+
+def test_only_texts_of_similar_shingles_are_copies(spark):
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(204)]
+    shuffled = rng.sample(words, 204)
+    # 5 scattered words leave 175 of 225 shingles, 4 leave 180 of 220
+    loose, near = ([f"x{k}" if k % 40 == 20 and k < 40 * n else w for k, w in enumerate(words)] for n in (5, 4))
+    assert kept(spark, [(1, " ".join(words)), (2, " ".join(shuffled))]) == {0, 1}
+    assert kept(spark, [(1, " ".join(words)), (2, " ".join(loose))]) == {0, 1}
+    assert kept(spark, [(1, " ".join(words)), (2, " ".join(near))]) == {0}
