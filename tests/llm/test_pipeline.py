@@ -61,3 +61,11 @@ def test_only_texts_of_similar_shingles_are_copies(spark):
     assert kept(spark, [(1, " ".join(words)), (2, " ".join(shuffled))]) == {0, 1}
     assert kept(spark, [(1, " ".join(words)), (2, " ".join(loose))]) == {0, 1}
     assert kept(spark, [(1, " ".join(words)), (2, " ".join(near))]) == {0}
+
+
+def test_one_of_a_group_stays_where_ids_are_null_or_shared(spark):
+    words = [f"w{k}" for k in range(204)]
+    copies = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in (20, 90, 150)]
+    for key in (None, 5):
+        left = kept(spark, [*((key, t) for t in copies), (key, "a text like none of the others here"), (9, copies[0])])
+        assert len(left & {0, 1, 2, 4}) == 1 and 3 in left
