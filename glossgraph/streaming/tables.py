@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +23,22 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days
 
 
 def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a small stream's query to its end and read its result; for aggregates of bounded size."""
-    name = f"drained_{uuid.uuid4().hex}"
-    writer = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if shared := df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        writer = writer.option("checkpointLocation", f"{shared}/{name}")
-    run = writer.start()
+    """Run a stream's query to its end and read its result, which is written as Parquet in the shared folder."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = f"{shared}/drained_{uuid.uuid4().hex}"
+    written = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result-{number}")
+        written.append(f"{folder}/result-{number}")
+
+    run = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return df.sparkSession.table(name)
+    if not written:
+        return spark.createDataFrame([], df.schema)
+    # in complete mode each batch has the whole result
+    return spark.read.schema(df.schema).parquet(*(written[-1:] if mode == "complete" else written))
 
 
 def event_census(spark: SparkSession, sf_dir: str) -> DataFrame:

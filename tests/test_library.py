@@ -234,3 +234,14 @@ def test_item_ids(spark):
     kind, feature, value = accounting.item_parts(F.col("i"))
     r = df.withColumn("i", item).select("i", kind.alias("k"), feature.alias("f"), value.alias("v"), accounting.pointer_token(F.lit("a/b~c")).alias("p")).first()
     assert (r.k, r.f, r.v, r.p) == ("value", "f", '"q\\"\\\\/~é"', "a~1b~0c")
+
+
+def test_drained_streams_lie_in_files_and_not_in_the_driver(spark):
+    from glossgraph.streaming import tables
+
+    folder = "/root/testdata/sf0.001"
+    pairs = tables.event_stream(spark, folder).groupBy("event_type", "user_id").agg(F.count("*").alias("k"))
+    drained = tables.drain(pairs)
+    assert drained.inputFiles()
+    want = spark.read.parquet(f"{folder}/events.parquet").groupBy("event_type", "user_id").agg(F.count("*").alias("k"))
+    assert sorted(map(tuple, drained.collect())) == sorted(map(tuple, want.collect()))
