@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 
 from glossgraph.llm.common import cut
 
-#: Levels of the tree; segments below are one wildcard.
-DEPTH = 4
 #: A node's children are variable if there are at least MANY, with fewer than FEW_EACH addresses for each.
 MANY = 8
 FEW_EACH = 4.0
@@ -31,7 +29,7 @@ APART = 2.0
 STRENGTH = 5.0
 REJECT = 0.5
 MOST_RULES = 1000
-WILD, REST = "*", "**"
+WILD = "*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,20 +67,39 @@ def ruled(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column,
     return rule, verdict
 
 
-def segments(path: Column, depth: int = DEPTH) -> Column:
-    """The path's segments with digits as a wildcard; what lies below `depth` is one wildcard."""
-    shaped = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "{n}"), "/")
-    return F.when(F.size(shaped) > depth, F.concat(F.slice(shaped, 1, depth), F.array(F.lit(REST)))).otherwise(shaped)
+def segments(path: Column) -> Column:
+    """The path's segments with digits as a wildcard."""
+    return F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "{n}"), "/")
 
 
-def templates(addresses: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Rows (host, shape, template, n, labelled, bad) from (host, shape, n, labelled, bad), one for each shape."""
+def _past_common(state: DataFrame) -> DataFrame:
+    """Move each node's addresses past the segments that all of them share: a lone branch keeps its name."""
+    ends = state.groupBy("host", "template").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+    # what the first and the last in order share, all share
+    differs = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), False)
+    shared = ends.select("host", "template", F.when(differs > 0, differs - 1).otherwise(F.size("low")).cast("int").alias("shared"))
+    moved = state.join(shared, ["host", "template"])
+    begin, rest = F.slice("rest", F.lit(1), F.col("shared")), F.slice("rest", F.col("shared") + 1, F.size("rest"))
+    return moved.select("host", "shape", F.concat_ws("/", "template", begin).alias("template"), rest.alias("rest"), "n", "labelled", "bad")
+
+
+def templates(addresses: DataFrame) -> DataFrame:
+    """Rows (host, shape, template, n, labelled, bad) from (host, shape, n, labelled, bad), one for each shape.
+
+    Goes on until no path has a further segment. Each turn takes every open node to its next fork and through it.
+    """
     sums = lambda: [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
-    state = cut(addresses.withColumn("template", F.lit("")))
-    rows = state.count()
-    for level in range(depth + 1):
-        state = state.withColumn("segment", F.coalesce(F.get("shape", F.lit(level)), F.lit("")))
-        children = state.where(F.size("shape") > level).groupBy("host", "template", "segment").agg(*sums())
+    state = cut(addresses.withColumns({"template": F.lit(""), "rest": F.col("shape")}))
+    rows, columns = state.count(), ["host", "shape", "template", "n", "labelled", "bad"]
+    done = state.where(F.size("rest") == 0).select(*columns)
+    while True:
+        state = cut(_past_common(state.where(F.size("rest") > 0)), rows)
+        done = done.unionAll(state.where(F.size("rest") == 0).select(*columns))
+        state = state.where(F.size("rest") > 0)
+        if state.isEmpty():
+            return done
+        state = state.withColumn("segment", F.get("rest", F.lit(0)))
+        children = state.groupBy("host", "template", "segment").agg(*sums())
         parents = children.groupBy("host", "template").agg(F.count("*").alias("many"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")))
         others, other_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         share, other = (F.col("bad") + 1) / (F.col("labelled") + 2), (other_bad + 1) / (others + 2)
@@ -94,11 +111,9 @@ def templates(addresses: DataFrame, depth: int = DEPTH) -> DataFrame:
         # a branch that is like no other isn't merged
         merges = F.col("variable") | (~F.col("apart") & (F.col("alike") > 1))
         decided = marked.join(alike, ["host", "template"], "left").select("host", "template", "segment", F.when(merges, WILD).otherwise(F.col("segment")).alias("branch"))
-        state = state.join(decided, ["host", "template", "segment"], "left").withColumn(
-            "template", F.when(F.size("shape") > level, F.concat_ws("/", "template", "branch")).otherwise(F.col("template"))
-        )
-        state = cut(state.select("host", "shape", "template", "n", "labelled", "bad"), rows)  # each level reads it twice
-    return state
+        state = state.join(decided, ["host", "template", "segment"]).withColumns({"template": F.concat_ws("/", "template", "branch"), "rest": F.slice("rest", F.lit(2), F.size("rest"))})
+        state = cut(state.select(*columns, "rest"), rows)  # each turn reads it twice
+        done = done.unionAll(state.where(F.size("rest") == 0).select(*columns))
 
 
 def purity(leaves: DataFrame) -> DataFrame:
@@ -113,7 +128,7 @@ def purity(leaves: DataFrame) -> DataFrame:
     )
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...], url: str = "url", bad: str = "bad", depth: int = DEPTH, reject: float = REJECT) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...], url: str = "url", bad: str = "bad", reject: float = REJECT) -> DataFrame:
     """Add host, path, rule, template, bad_share and verdict; `bad` is a label of 0 or 1, null without one.
 
     Null addresses and those without `://` have empty host and path and share a template. Repeated rows are
@@ -122,11 +137,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], url: str = "url", bad: str
     host, path = parse(F.col(url))
     made = ["host", "path", "rule", "template", "bad_share", "verdict"]
     parsed = pages.drop(*made).withColumns({"host": host, "path": path})
-    parsed = parsed.withColumn("_shape", segments(F.col("path"), depth))
+    parsed = parsed.withColumn("_shape", segments(F.col("path")))
     counted = parsed.groupBy("host", F.col("_shape").alias("shape")).agg(
         F.count("*").alias("n"), F.count(bad).alias("labelled"), F.coalesce(F.sum(bad), F.lit(0)).alias("bad")
     )
-    leaves = templates(counted, depth)
+    leaves = templates(counted)
     judged = leaves.select("host", F.col("shape").alias("_shape"), "template").join(purity(leaves), ["host", "template"])
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("bad_share") >= reject, "block").otherwise("allow")

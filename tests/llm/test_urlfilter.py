@@ -61,3 +61,9 @@ def test_similar_siblings_share_a_wildcard(spark):
     rows = [(k, f"http://h.org/{'ab'[k % 2]}/x", int(k % 4 < 2)) for k in range(200)]
     judged = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, bad int"), ()).collect()
     assert {r.template for r in judged} == {"/*/x"}
+
+
+def test_branches_far_below_are_judged_apart(spark):
+    rows = [(k, f"http://h.org/a/b/{'cd'[k // 2 % 2]}/d/e/{('spam', 'news')[k % 2]}/{k}", 1 - k % 2) for k in range(200)]
+    judged = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, bad int"), ()).collect()
+    assert {(r.page_id % 2, r.template, r.verdict) for r in judged} == {(0, "/a/b/*/d/e/spam/{n}", "block"), (1, "/a/b/*/d/e/news/{n}", "allow")}
