@@ -1,8 +1,10 @@
 """URL filters: explicit rules first, then a path-template tree with smoothed labelled purity.
 
-Rules name a host with its subdomains and a beginning of the path; the longest rule that fits decides. Other
-addresses are judged by the template of their path. Within each host, paths form a tree. Digits in a segment
-are a wildcard from the start. Level by level, all children of a node become one wildcard where there are many
+Rules name a host with its subdomains and a beginning of the path; the longest rule that fits decides, and of
+equally long ones the last by code point. Rules are a table: hosts meet them by an equi-join on their suffixes,
+so lists of any length will do. Other addresses are judged by the template of their path. Within each host,
+paths form a tree. Digits in a segment are a wildcard, written {n}, from the start; a star or brace that stands
+in an address is written {* or {{, so it's never taken for a wildcard. Level by level, all children of a node become one wildcard where there are many
 children and few addresses for each (names, ids, dates), and otherwise those children whose labelled share
 can't be told from that of their siblings are merged into one. A template is rejected where its bad share among
 labelled addresses, smoothed by its host's and that by the whole table's, reaches a threshold.
@@ -13,9 +15,10 @@ summed up before any shuffle.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossgraph.llm.common import cut
@@ -28,7 +31,6 @@ APART = 2.0
 #: Labelled addresses that the level above counts as.
 STRENGTH = 5.0
 REJECT = 0.5
-MOST_RULES = 1000
 WILD = "*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,21 +57,40 @@ def parse(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
-def ruled(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
-    """The longest rule that fits, and its verdict; null where none fits."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    rule = verdict = F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: (len(r.text), r.text)):  # the longest is asked first
-        its_host, its_path = r.parts
-        fits = ((host == its_host) | host.endswith("." + its_host)) & path.startswith(its_path)
-        rule, verdict = F.when(fits, F.lit(r.text)).otherwise(rule), F.when(fits, F.lit(r.verdict)).otherwise(verdict)
-    return rule, verdict
+RULE = "struct<host:string,path:string,rule:string,verdict:string>"
+
+
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rows (host, path, rule, verdict): the rules as a table of one literal."""
+    rows = [dict(zip(("host", "path", "rule", "verdict"), (*r.parts, r.text, r.verdict), strict=True)) for r in rules]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<{RULE}>")))
+
+
+def host_rules(hosts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rows (host, rules): for each host with any, its rules, the longest first.
+
+    A rule's host equals one of the host's suffixes of as many labels, so suffixes longer than the longest rule's
+    aren't made.
+    """
+    table = rule_table(hosts.sparkSession, rules)
+    labels = max((r.parts[0].count(".") + 1 for r in rules), default=1)
+    suffixes = F.expr(f"array_distinct(transform(sequence(1, {labels}), k -> substring_index(host, '.', -k)))")
+    found = hosts.select("host").distinct().select(F.col("host").alias("of"), F.explode(suffixes).alias("host")).join(table, "host")
+    entry = F.struct((-F.length("rule")).alias("shorter"), "rule", "path", "verdict")
+    longest_first = lambda a, b: F.when(a["shorter"] != b["shorter"], a["shorter"] - b["shorter"]).when(a["rule"] > b["rule"], -1).when(a["rule"] < b["rule"], 1).otherwise(0)
+    return found.groupBy(F.col("of").alias("host")).agg(F.array_sort(F.collect_list(entry), longest_first).alias("rules"))
+
+
+def ruled(path: Column, rules: Column) -> tuple[Column, Column]:
+    """The first rule of a host's list that fits the path, and its verdict; null where none fits."""
+    first = F.get(F.filter(rules, lambda r: F.startswith(path, r["path"])), F.lit(0))
+    return first["rule"], first["verdict"]
 
 
 def segments(path: Column) -> Column:
-    """The path's segments with digits as a wildcard."""
-    return F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "{n}"), "/")
+    """The path's segments with digits as a wildcard; literal braces and stars are escaped."""
+    escaped = F.replace(F.replace(F.regexp_replace(path, "^/", ""), F.lit("{"), F.lit("{{")), F.lit("*"), F.lit("{*"))
+    return F.split(F.regexp_replace(escaped, "[0-9]+", "{n}"), "/")
 
 
 def _past_common(state: DataFrame) -> DataFrame:
@@ -121,7 +142,7 @@ def purity(leaves: DataFrame) -> DataFrame:
     by_template = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     by_host = by_template.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad"))
     whole = by_host.agg(F.sum("host_labelled").alias("labelled"), F.sum("host_bad").alias("bad")).first()
-    base = ((whole.bad or 0) + 1.0) / ((whole.labelled or 0) + 2.0)
+    base = (whole.bad + 1.0) / (whole.labelled + 2.0) if whole.labelled else 0.0  # without a label nothing is rejected
     host_share = (F.col("host_bad") + STRENGTH * base) / (F.col("host_labelled") + STRENGTH)
     return by_template.join(by_host, "host").select(
         "host", "template", ((F.col("bad") + STRENGTH * host_share) / (F.col("labelled") + STRENGTH)).alias("bad_share")
@@ -132,18 +153,21 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...], url: str = "url", bad: str
     """Add host, path, rule, template, bad_share and verdict; `bad` is a label of 0 or 1, null without one.
 
     Null addresses and those without `://` have empty host and path and share a template. Repeated rows are
-    judged alike. An empty table stays empty. Input columns of these names are replaced.
+    judged alike, and so are ties. An empty table stays empty. Input columns of these names, and those that begin
+    with _url_, are replaced; addresses of any length are read whole.
     """
     host, path = parse(F.col(url))
-    made = ["host", "path", "rule", "template", "bad_share", "verdict"]
+    made = ["host", "path", "rule", "template", "bad_share", "verdict", "_url_shape", "_url_rules"]
     parsed = pages.drop(*made).withColumns({"host": host, "path": path})
-    parsed = parsed.withColumn("_shape", segments(F.col("path")))
-    counted = parsed.groupBy("host", F.col("_shape").alias("shape")).agg(
+    parsed = parsed.withColumn("_url_shape", segments(F.col("path")))
+    counted = parsed.groupBy("host", F.col("_url_shape").alias("shape")).agg(
         F.count("*").alias("n"), F.count(bad).alias("labelled"), F.coalesce(F.sum(bad), F.lit(0)).alias("bad")
     )
     leaves = templates(counted)
-    judged = leaves.select("host", F.col("shape").alias("_shape"), "template").join(purity(leaves), ["host", "template"])
-    rule, verdict = ruled(F.col("host"), F.col("path"), rules)
+    # one row for each host and shape, so the pages are joined once
+    judged = leaves.select("host", F.col("shape").alias("_url_shape"), "template").join(purity(leaves), ["host", "template"])
+    judged = judged.join(host_rules(judged, rules).withColumnRenamed("rules", "_url_rules"), "host", "left")
+    rule, verdict = ruled(F.col("path"), F.col("_url_rules"))
     by_method = F.when(F.col("bad_share") >= reject, "block").otherwise("allow")
-    return parsed.join(judged, ["host", "_shape"]).drop("_shape").withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_method)})
-
+    joined = parsed.join(judged, ["host", "_url_shape"]).withColumns({"rule": rule, "verdict": F.coalesce(verdict, by_method)})
+    return joined.drop("_url_shape", "_url_rules")

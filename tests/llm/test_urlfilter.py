@@ -1,3 +1,4 @@
+import random
 import re
 
 from glossgraph.llm import urlfilter
@@ -57,6 +58,99 @@ def test_bad_branches_are_rejected_and_variable_ones_merged(spark):
     assert {r.template for r in by["user"]} == {"/user/*/profile"}
 
 
+def test_stars_and_braces_in_addresses_are_no_wildcards(spark):
+    rows = [(k, f"http://h.org/{('*', '{n}', str(k))[k % 3]}/x", int(k % 3 < 2)) for k in range(300)]
+    judged = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, bad int"), ()).collect()
+    found = {}
+    for r in judged:
+        found.setdefault(r.page_id % 3, set()).add(r.verdict)
+    assert found == {0: {"block"}, 1: {"block"}, 2: {"allow"}}
+    assert {r.template for r in judged if r.page_id % 3 == 2} == {"/{n}/x"}
+
+
+def test_thousands_of_rules_are_a_table(spark):
+    rules = tuple(urlfilter.Rule(("allow", "block")[k % 2], f"{'abc'[k % 3]}{k // 9}.org/{'x' * (k % 5)}") for k in range(5000)) + (urlfilter.Rule("block", "org/"), urlfilter.Rule("allow", "/none"))
+    urls = [f"http://{'w.' * (k % 3)}{'abcd'[k % 4]}{k}.org/{'x' * (k % 7)}" for k in range(600)] + ["", "x:///none/a", "x://a..org/", "x://org./", "x://" + "o." * 3000 + "org/"]
+    rows = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "CAST(NULL AS INT) AS bad"), rules).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        fits = [(len(x.text), x.text, x.verdict) for x in rules if (r.host == x.parts[0] or r.host.endswith("." + x.parts[0])) and r.path.startswith(x.parts[1])]
+        assert (r.rule, r.verdict) == (max(fits)[1:] if fits else (None, "allow")), urls[r.page_id]
+
+
+def tree(addresses):
+    """Templates by the same rules in plain loops: {(host, shape): template} from {(host, shape): [n, labelled, bad]}."""
+    out, state = {}, {key: ("", list(key[1])) for key in addresses}
+    while state:
+        groups, following = {}, {}
+        for key, (template, rest) in state.items():
+            groups.setdefault((key[0], template), []).append(key)
+        for (_, template), keys in groups.items():
+            rests = sorted((state[k][1] for k in keys), key=lambda r: [x.encode() for x in r])
+            low, high = rests[0], rests[-1]
+            shared = next((i for i in range(max(len(low), len(high))) if i >= min(len(low), len(high)) or low[i] != high[i]), len(low))
+            grown = "/".join([template, *low[:shared]])
+            for key in keys:
+                rest = state[key][1][shared:]
+                if not rest:
+                    out[key] = grown
+            keys = [k for k in keys if k not in out]
+            children = {}
+            for key in keys:
+                sums = children.setdefault(state[key][1][shared], [0, 0, 0])
+                for j in range(3):
+                    sums[j] += addresses[key][j]
+            whole = [sum(c[j] for c in children.values()) for j in range(3)]
+            apart = {}
+            for name, (_, labelled, bad) in children.items():
+                p, q = (bad + 1) / (labelled + 2), (whole[2] - bad + 1) / (whole[1] - labelled + 2)
+                error = (p * (1 - p) / (labelled + 2) + q * (1 - q) / (whole[1] - labelled + 2)) ** 0.5
+                apart[name] = abs(p - q) >= urlfilter.APART * error
+            variable = len(children) >= urlfilter.MANY and whole[0] < len(children) * urlfilter.FEW_EACH
+            alike = sum(not x for x in apart.values())
+            for key in keys:
+                name = state[key][1][shared]
+                branch = urlfilter.WILD if variable or (not apart[name] and alike > 1) else name
+                following[key] = (f"{grown}/{branch}", state[key][1][shared + 1 :])
+        out.update({k: t for k, (t, rest) in following.items() if not rest})
+        state = {k: v for k, v in following.items() if v[1]}
+    return out
+
+
+def test_tree_and_purity_match_plain_loops(spark):
+    rng = random.Random(5)
+    part = lambda: rng.choice(["news", "spam", "user", "a", "b", "*", "2020", f"n{rng.randrange(40)}x", ""])
+    rows = []
+    for k in range(1500):
+        parts = [part() for _ in range(rng.randrange(6))]
+        bad = None if rng.random() < 0.3 else int(("spam" in parts) != (rng.random() < 0.1))
+        rows.append((k, f"http://{rng.choice(['h.org', 'g.org'])}/{'/'.join(parts)}", bad))
+    judged = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, bad int"), ()).collect()
+    addresses, of = {}, {}
+    for k, url, bad in rows:
+        host, path = brute(url)[:2]
+        shape = tuple(re.sub("[0-9]+", "{n}", path.removeprefix("/").replace("{", "{{").replace("*", "{*")).split("/"))
+        of[k] = (host, shape)
+        sums = addresses.setdefault((host, shape), [0, 0, 0])
+        sums[0] += 1
+        sums[1] += bad is not None
+        sums[2] += bad or 0
+    want = tree(addresses)
+    template, hosts, table = {}, {}, [0, 0]
+    for key, (_, labelled, bad) in addresses.items():
+        for sums in (template.setdefault((key[0], want[key]), [0, 0]), hosts.setdefault(key[0], [0, 0]), table):
+            sums[0] += labelled
+            sums[1] += bad
+    base = (table[1] + 1) / (table[0] + 2)
+    for r in judged:
+        assert r.template == want[of[r.page_id]], (r.url, r.template, want[of[r.page_id]])
+        labelled, bad = hosts[r.host]
+        above = (bad + urlfilter.STRENGTH * base) / (labelled + urlfilter.STRENGTH)
+        labelled, bad = template[r.host, r.template]
+        share = (bad + urlfilter.STRENGTH * above) / (labelled + urlfilter.STRENGTH)
+        assert abs(r.bad_share - share) < 1e-9 and r.verdict == ("block" if r.bad_share >= urlfilter.REJECT else "allow")
+
+
 def test_similar_siblings_share_a_wildcard(spark):
     rows = [(k, f"http://h.org/{'ab'[k % 2]}/x", int(k % 4 < 2)) for k in range(200)]
     judged = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, bad int"), ()).collect()
