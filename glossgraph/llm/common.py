@@ -44,8 +44,13 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder from the session, or a temporary one where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """The shared folder from the session, or, on one machine alone, a temporary one where it is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

@@ -8,12 +8,31 @@ from pyspark.sql import functions as F
 from glossgraph.llm.common import cut
 
 
+#: Rows of a key from which on it counts as hot, and hot keys that there may be at most.
+HOT_ROWS = 1000
+HOT_KEYS = 50_000
+
+
+def join_one(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame:
+    """Join rows (at most `total`) with the only row that `one` has for each key, n being how many rows a key has.
+
+    Hot keys are those with more rows than their fair share of HOT_KEYS, so they are HOT_KEYS at most: their part
+    of `one` is broadcast, and their rows aren't moved. All other keys have few rows each and meet by a shuffle.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot, cold = one.where(F.col("n") > limit).drop("n"), one.where(F.col("n") <= limit).drop("n")
+    of_hot = rows.join(F.broadcast(hot), key)
+    of_cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return of_cold.unionByName(of_hot)
+
+
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Rows (node, component): each linked node with the smallest node that it reaches.
 
     Alternates large-star and small-star steps until no link changes. Each step takes a minimum by node,
-    which Spark sums up before its shuffle, and joins it back to the links, so no task gathers the
-    neighbours of a node. Self-links, repeated links and empty tables are fine. Each round is checkpointed.
+    which Spark sums up before its shuffle, and joins it back to the links: links of very many to one node are
+    joined where they lie, so no task gathers the neighbours of a node. Null ends, self-links, repeated links
+    and empty tables are fine. Each round is checkpointed.
     """
     edges = cut(
         links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
@@ -21,13 +40,13 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     before = _state(edges)  # a star has no more links than the links that it was made from, and its nodes
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
         large = (
-            both.where("v > u").join(least, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+            join_one(both.where("v > u"), least, "u", 2 * before[0]).select(F.col("m").alias("u"), "v").where("u <> v").distinct()
         )
         # each node v points to its smallest neighbour; its other smaller neighbours point there, too
-        down = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(down, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v"))
+        down = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+        small = join_one(large, down, "v", 2 * before[0]).select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v"))
         edges = cut(small.where("u <> v").distinct(), 2 * before[0])
         after = _state(edges)
         if after == before:

@@ -20,6 +20,10 @@ RULES = tuple(
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by rule or path template; null and odd addresses have an empty host and path.
+
+    The tables label documents and not pages, so a page's label comes from its text, see README.
+    """
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", langid.visible_text(F.col("html")).alias("visible"))
     # a page is labelled by its text: bad if symbols stand beside a good part of its words
     symbols = F.length("visible") - F.length(F.translate("visible", "#*$%|", ""))
@@ -28,6 +32,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's measurements and failure bits, and the latest policy's verdict; null texts fail as empty ones do."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.judge(quality.ledger(docs))
     measures = [F.col(f"ledger.{x}").alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -42,6 +47,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it; null sources are one source, null texts have size 0."""
     docs = _table(spark, sf_dir, "documents")
     sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     mixed = mixing.mix(sized, "size")
@@ -49,28 +55,33 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the licences found in it, the best one and its Dice coefficient; none for null texts."""
     found = licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    best = F.element_at("licenses", 1)
+    best = F.get("licenses", F.lit(0))
     return found.select(
         "doc_id",
         F.size("licenses").cast("long").alias("n_matches"),
-        F.when(F.size("licenses") > 0, best["license"]).alias("license"),
-        F.when(F.size("licenses") > 0, best["dice"]).alias("dice"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"]))), ",").alias("licenses"),
+        best["license"].alias("license"),
+        best["dice"].alias("dice"),
+        best["passage"].alias("passage"),
+        F.array_join(F.array_sort(F.transform("licenses", lambda x: x["license"])), ",").alias("licenses"),
     )
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest id that links of at most three bits reach."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.withColumn("fingerprint", simhash.hex_digits(F.col("fingerprint")))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a packed sequence; null texts have the separator alone."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(cut(packing.pieces(docs, packing.tokenizer_path())))
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a WAV file that was read back: digests, and its peak pairs as time codes and hashes."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     stored = media.with_media(docs).withColumn("n_bytes", F.octet_length("text").cast("long")).drop("text")
     read = stored.withColumn("read", media.media_features(F.col("media")))
@@ -84,10 +95,13 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(":", F.size("read.hashes").cast("string"), F.sha2(pairs, 256)).alias("feature"),
+        "read.times",
+        "read.hashes",
     )
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and page with its language and how sure it is; null texts go by their host and declaration."""
     docs, pages = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages")
     model = langid.fit(docs.select("doc_id", "text", "lang"))
     none = F.lit(None).cast("string")
@@ -100,12 +114,15 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected severity and grade, by a model of the documents that have labels."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    labels = _table(spark, sf_dir, "labels").withColumn("grade", toxicity.given_grade())
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
     return scored.select("doc_id", "toxicity.severity", "toxicity.p_toxic", "toxicity.grade", F.col("toxicity.rejected").alias("toxic"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans of personal data; null texts have none."""
     found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(

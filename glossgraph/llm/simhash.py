@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossgraph.llm.common import cut, small_batches
-from glossgraph.llm.components import connected_components
+from glossgraph.llm.components import connected_components, join_one
 
 BYTES = 8
 MAX_BITS = 3
@@ -176,12 +176,13 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
 
     posted, found = postings(fps), None
     while True:
-        counted = posted.withColumn("n", F.count("*").over(Window.partitionBy("key", "mask")))
-        lists = counted.where((F.col("n") > 1) & (F.col("n") <= most))
-        lists = lists.groupBy("key", "mask").agg(F.collect_list("fp").alias("members")).select("members")
+        # sizes are summed up before the shuffle; the postings of a long list are never brought together
+        sizes = posted.groupBy("key", "mask").count().where("count > 1")
+        short = posted.join(sizes.where(F.col("count") <= most).drop("count"), ["key", "mask"])
+        lists = short.groupBy("key", "mask").agg(F.collect_list("fp").alias("members")).select("members")
         part = lists.mapInArrow(compared, "a long, b long")
         found = part if found is None else found.unionAll(part)
-        long_lists = posted.join(posted.groupBy("key", "mask").count().where(F.col("count") > most).drop("count"), ["key", "mask"])
+        long_lists = posted.join(sizes.where(F.col("count") > most).drop("count"), ["key", "mask"])
         if long_lists.isEmpty():
             return found
         posted = cut(refine(long_lists).distinct())
@@ -190,10 +191,11 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
 def _components(printed: DataFrame, first: DataFrame, found: DataFrame, prints: list[str]) -> DataFrame:
     """Component of each row of `printed`, by links between the first documents of equal fingerprints."""
     joined = connected_components(found, "a", "b").withColumnRenamed("node", "_node")
-    groups = first.join(joined, F.col("node") == F.col("_node"), "left").select(*prints, "first", F.coalesce("component", "node").alias("component"))
-    smallest = groups.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_print = groups.join(smallest, "component").select(*prints, "component", "component_id")
-    return printed.join(by_print, prints)
+    linked = cut(first.join(joined, F.col("node") == F.col("_node")).select(*dict.fromkeys([*prints, "node"]), "first", "component"))
+    smallest = linked.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    grouped = join_one(linked, smallest, "component", linked.count()).select(*prints, "component", "component_id")
+    alone = first.join(linked.select("node"), "node", "left_anti").select(*prints, F.col("node").alias("component"), F.col("first").alias("component_id"))
+    return printed.join(grouped.unionAll(alone), prints)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -231,13 +233,9 @@ def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes())
 
 
-def shingle_node(text: Column) -> Column:
-    """A number for the text's set of shingles."""
-
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([_node(x) for x in shingle_sets(texts)], dtype=np.uint64).view(np.int64), pa.int64())
-
-    return F.arrow_udf(of, "long").asNondeterministic()(text)
+def text_print(text: Column) -> Column:
+    """A number for a whole text, null texts included."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _banded(text: Column) -> Column:
@@ -349,15 +347,15 @@ def similar_links(tasks: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST, least: float = SIMILAR) -> DataFrame:
-    """Rows (doc_id, node, component, component_id) for texts of similar five-word shingles, exact copies included.
+    """Rows (doc_id, print, node, component, component_id) for texts of similar five-word shingles, exact copies included.
 
     Two texts are linked where they share a band and at least `least` of all their distinct shingles; copies are
-    what links join. `node` stands for a set of shingles, `component` for a group of copies and component_id is
-    its smallest doc_id. Null and empty texts are copies of each other.
+    what links join. `print` stands for a text, `node` for a set of shingles, `component` for a group of copies
+    and component_id is its smallest doc_id. Null and empty texts are copies of each other.
     """
     small_batches(docs.sparkSession)
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    printed = cut(named.select("doc_id", _banded(F.col("text")).alias("p")).select("doc_id", "p.*"))
+    printed = cut(named.select("doc_id", text_print(F.col("text")).alias("print"), _banded(F.col("text")).alias("p")).select("doc_id", "print", "p.*"))
     first = printed.groupBy("node").agg(F.min("doc_id").alias("first"))
     posted = printed.select("node", "size", F.explode("bands").alias("key")).distinct()
     tasks = cut(band_tasks(posted, most, least))
@@ -366,4 +364,4 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
     texts = named.join(holders, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     sets = texts.select(_node_and_shingles(F.col("text")).alias("s")).select("s.*").join(candidates, "node", "left_semi")
     found = similar_links(tasks, sets.groupBy("node").agg(F.first("shingles").alias("shingles")), least)
-    return _components(printed.select("doc_id", "node"), first, found, ["node"])
+    return _components(printed.select("doc_id", "print", "node"), first, found, ["node"])

@@ -1,9 +1,9 @@
 """Toxicity severity by cumulative-link ordinal regression over sparse word features.
 
-Labels say toxic or not. Severity grades are made from them: 0 for documents labelled clean, and for those
-labelled toxic the number of their words that the labels single out, up to TOP_GRADE. All thresholds share
-one weight vector: P(grade > k) = sigmoid(score - threshold[k]), thresholds ascending. A document's expected
-severity is the sum of these probabilities, and it is rejected where P(grade > 0) reaches the cut.
+Severity grades are given from outside, as whole numbers from 0. The query takes them from both given labels: 0 for
+good documents, 1 for those of bad quality, TOXIC for toxic ones. All thresholds share one weight vector:
+P(grade > k) = sigmoid(score - threshold[k]), thresholds ascending. A document's expected severity is the sum of
+these probabilities, and it is rejected where P(grade >= TOXIC) reaches the cut.
 """
 
 from __future__ import annotations
@@ -13,18 +13,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossgraph.llm.common import cut, small_batches
+from glossgraph.llm.simhash import WIDE_WORDS, shingle_hashes
 
 #: Labelled documents that the model is fitted on, at most; they are chosen by a hash of their id.
 SAMPLE = 12_000
-#: Words that may become features, at most: those that separate the labels best.
-VOCABULARY = 400
 PREFIXES = (4, 5, 6, 7)
-TOP_GRADE = 3
-CUT = 0.5
+#: Passes of the fit over the sampled rows.
+STEPS = 400
+CUT = 0.25
+#: The grade from which on a document is toxic.
+TOXIC = 2
 #: Log-likelihood ratio statistic that a feature must reach: about one chance in 200,000.
 LEAST_GAIN = 24.0
 #: Everything that isn't part of an ASCII word ends it; bytes of other letters are kept.
@@ -56,7 +58,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, width: int, ridge: float = 1.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, width: int, ridge: float = 1.0, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that maximise the penalised likelihood; rows have the present features' numbers.
 
     Gradient ascent with adaptive steps (Adam); thresholds are kept ascending as a first one and
@@ -89,44 +91,57 @@ def fit_cumulative_link(rows: list[list[int]], grades: np.ndarray, width: int, r
     return theta[:width], np.concatenate([[theta[width]], theta[width] + np.cumsum(gaps)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = VOCABULARY) -> OrdinalModel:
-    """Fit on at most `sample` labelled documents (columns doc_id, text; doc_id, toxic), chosen by a hash of the id.
+def given_grade() -> Column:
+    """Grade by the labels `toxic` and `quality`; null without a label of toxicity."""
+    return F.when(F.col("toxic") > 0, TOXIC).when(F.col("toxic").isNotNull(), F.when(F.col("quality") == 0, 1).otherwise(0))
 
-    Spark counts the features of the sample's whole texts; the driver gets the telling ones, at most `most`, and
-    for each sampled document the numbers of those that it has. Null texts count as empty, null labels are left
-    out, repeated rows count once each. Without labelled rows, or with labels of one kind alone, the model has
-    no weights and rejects nothing.
+
+def _least_shingle(text: Column) -> Column:
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([min(shingle_hashes(x, WIDE_WORDS), default=0) for x in texts.to_pylist()], dtype=np.uint64).view(np.int64), pa.int64())
+
+    return F.arrow_udf(of, "long").asNondeterministic()(text)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grade: str = "grade") -> OrdinalModel:
+    """Fit on at most `sample` graded documents (columns doc_id, text; doc_id, grade), chosen by a hash of the id.
+
+    Spark counts the features of the sample's whole texts; the driver gets all telling ones, and for each sampled
+    document the numbers of those that it has, so both are bounded by the sample. Null texts count as empty, null
+    grades are left out, copies and near copies of one grade count once. Without graded rows, or with toxic ones or others
+    alone, the model has no weights and rejects nothing.
     """
     small_batches(docs.sparkSession)
     chosen = (
-        labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-        .select(F.col("doc_id").alias("labelled"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("labelled"), "labelled")
+        labels.where(F.col(grade).isNotNull() & F.col("doc_id").isNotNull())
+        .select(F.col("doc_id").alias("labelled"), F.greatest(F.col(grade).cast("int"), F.lit(0)).alias("grade"))
+        .orderBy(F.xxhash64("labelled"), "labelled", "grade")
         .limit(sample)
     )
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))  # at most `sample` rows of two numbers
-    sampled = cut(joined.select("toxic", "text"))
+    # near copies would make their own words look telling: of those that share the least hash of a shingle one stays
+    graded = joined.select("labelled", "grade", "text", _least_shingle(F.col("text")).alias("least"))
+    alone = graded.groupBy("least", "grade").agg(F.min_by("text", F.struct(F.xxhash64("labelled"), "labelled", "text")).alias("text"))
+    sampled = cut(alone.select("grade", (F.col("grade") >= TOXIC).cast("int").alias("toxic"), "text"))
     sizes = {r.toxic: r["count"] for r in sampled.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        return OrdinalModel({}, (math.inf,))
-    telling = [bytes(r.feature) for r in _telling(sampled, sizes, most).collect()]
+        return OrdinalModel({}, (math.inf,) * TOXIC)
+    telling = [bytes(r.feature) for r in _telling(sampled, sizes).collect()]
     number = {w: k for k, w in enumerate(telling)}
 
     def find(batches):
         for batch in batches:
             found = [sorted(number[w] for w in number.keys() & features(x)) for x in batch["text"].to_pylist()]
-            yield pa.record_batch([batch["toxic"], pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
-
-    rows = sampled.mapInArrow(find, "toxic int, found array<int>").collect()
-    found, toxic = [r.found for r in rows], np.array([r.toxic for r in rows], dtype=np.int64)
-    # labelled toxic without any telling word: the lowest toxic grade, as the label says
-    words = [len({telling[x].rstrip(b"*")[: PREFIXES[0]] for x in r}) for r in found]
-    grades = np.where(toxic == 1, np.clip(words, 1, TOP_GRADE), 0)
-    weights, thresholds = fit_cumulative_link(found, grades, len(telling))
+            yield pa.record_batch([batch["grade"], pa.array(found, pa.list_(pa.int32()))], ["grade", "found"])
+
+    rows = sampled.mapInArrow(find, "grade int, found array<int>").collect()
+    # in one order, whichever task came first
+    rows.sort(key=lambda r: (r.found, r.grade))
+    weights, thresholds = fit_cumulative_link([r.found for r in rows], np.array([r.grade for r in rows], dtype=np.int64), len(telling))
     return OrdinalModel({w: float(weights[k]) for w, k in number.items()}, tuple(float(x) for x in thresholds))
 
 
-def _telling(sampled: DataFrame, sizes: dict[int, int], most: int) -> DataFrame:
+def _telling(sampled: DataFrame, sizes: dict[int, int]) -> DataFrame:
     """Features that appear in toxic documents more often than chance allows, the most telling first."""
 
     def count(batches):
@@ -142,13 +157,14 @@ def _telling(sampled: DataFrame, sizes: dict[int, int], most: int) -> DataFrame:
     good, bad, n = F.col("good"), F.col("bad"), F.col("good") + F.col("bad")
     share = sizes[1] / (sizes[0] + sizes[1])
     gain = 2 * (bad * F.log(bad / (n * share)) + F.when(good > 0, good * F.log(good / (n * (1 - share)))).otherwise(0.0))
-    return sums.where((bad > 0) & (bad > n * share)).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(most).select("feature")
+    return sums.where((bad > 0) & (bad > n * share)).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").select("feature")
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", cut: float = CUT) -> DataFrame:
     """Add `toxicity`: a struct of severity (expected grade), p_toxic, grade (the likeliest) and rejected.
 
-    Whole texts are read; null and empty ones have no features and get the model's floor. Input columns stay.
+    Whole texts are read; null and empty ones have no features and get the model's floor. Of grades that are equally
+    likely the lowest is taken. Rows stay as they are, repeated ones too; a column named `toxicity` is replaced.
     """
     small_batches(docs.sparkSession)
     weights, thresholds = model.weights, np.array(model.thresholds)
@@ -158,7 +174,8 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", cut: float =
         above = _sigmoid(totals[:, None] - thresholds[None, :])
         above[:, np.isinf(thresholds)] = 0.0
         each = np.hstack([np.ones((len(totals), 1)), above]) - np.hstack([above, np.zeros((len(totals), 1))])
-        columns = [above.sum(axis=1), above[:, 0], each.argmax(axis=1).astype(np.int32), above[:, 0] >= cut]
+        toxic = above[:, TOXIC - 1]
+        columns = [above.sum(axis=1), toxic, each.argmax(axis=1).astype(np.int32), toxic >= cut]
         return pa.StructArray.from_arrays([pa.array(c) for c in columns], ["severity", "p_toxic", "grade", "rejected"])
 
     kind = "struct<severity:double,p_toxic:double,grade:int,rejected:boolean>"
