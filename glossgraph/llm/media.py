@@ -105,7 +105,10 @@ def features(stored: bytes) -> tuple[int, str, int, np.ndarray, np.ndarray]:
 
 
 def with_media(docs: DataFrame, text: str = "text", into: str = "media") -> DataFrame:
-    """Add each whole text as a WAV file in a binary column; null counts as empty. Equal texts give equal files."""
+    """Add each whole text as a WAV file in a binary column; null counts as empty. Equal texts give equal files.
+
+    Rows stay as they are, repeated ones and those with null ids too; an input column of that name is replaced.
+    """
     small_batches(docs.sparkSession, ROWS)
     store = F.arrow_udf(lambda texts: pa.array([to_wav(payload(x)) for x in texts.to_pylist()], pa.binary()), "binary")
     return docs.withColumn(into, store(F.col(text)))

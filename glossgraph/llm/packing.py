@@ -318,9 +318,11 @@ def places(planned: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
 def pack(pieced: DataFrame, sequence: int = SEQUENCE, slots: int = SLOTS) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, length and any more columns).
 
-    Pieces should come from a checkpoint or a table, as they are read twice. An empty table stays empty.
+    Pieces should come from a checkpoint or a table, as they are read twice. An empty table stays empty. Null ids
+    count as one document's; repeated rows are packed once each; columns of the new names are replaced.
     """
     spark = pieced.sparkSession
+    pieced = pieced.drop("sequence_id", "offset")
     slotted = pieced.withColumn("_slot", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slots)).cast("int"))
     counts = cut(slotted.groupBy("length", "_slot").agg(F.count("*").alias("_n")))  # at most sequence x slots rows
     histogram = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `sequence` rows
@@ -328,7 +330,8 @@ def pack(pieced: DataFrame, sequence: int = SEQUENCE, slots: int = SLOTS) -> Dat
 
     before = Window.partitionBy("length").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_slot").orderBy("doc_id", "piece")
+    # rows that agree in all of these are alike, so a task that runs again numbers them as before
+    within = Window.partitionBy("length", "_slot").orderBy("doc_id", "piece", *(c for c in ("start", "ids_crc32") if c in pieced.columns))
     numbered = slotted.withColumn("_rank", F.row_number().over(within)).join(starts, ["length", "_slot"])
 
     def placed(lengths: pa.Array, numbers: pa.Array) -> pa.Array:

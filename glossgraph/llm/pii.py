@@ -95,13 +95,16 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _running(sizes: Column) -> Column:
-    """Sums of an array's items before each item, in blocks, so that the work stays near the array's length."""
-    plus = lambda a, x: a + x
+def _plus(a: Column, x: Column) -> Column:
+    return a + x
+
+
+def _running(sizes: Column, plus=_plus) -> Column:
+    """Sums (or another fold from 0) of an array's items before each item, in blocks, so that the work stays near the array's length."""
     total = lambda items: F.aggregate(items, F.lit(0), plus)
     last = F.greatest(F.floor((F.size(sizes) - 1) / BLOCK).cast("int"), F.lit(0))
     blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(sizes, b * BLOCK + 1, BLOCK))
-    within = lambda b, base: F.transform(b, lambda _, j: base + total(F.slice(b, F.lit(1), j)))
+    within = lambda b, base: F.transform(b, lambda _, j: plus(base, total(F.slice(b, F.lit(1), j))))
     return _let(
         blocks,
         lambda parts: _let(
@@ -167,13 +170,15 @@ def digest(spans: Column, kinds: tuple[Kind, ...] = ALL_KINDS) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans leave the first one's mark."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda a, x: F.when(
-        x["start"] >= a["at"],
-        F.struct(
-            x["end"].alias("at"),
-            F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))).alias("out"),
-        ),
-    ).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out")))
-    done = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    ends = F.transform(spans, lambda x: x["end"])
+
+    def built(before: Column) -> Column:
+        # where a span begins before an earlier one ends, it adds nothing
+        part = lambda x, i: F.when(
+            x["start"] >= F.get(before, i),
+            F.concat(F.substring(text, F.get(before, i) + 1, x["start"] - F.get(before, i)), F.lit("["), F.upper(x["kind"]), F.lit("]")),
+        ).otherwise("")
+        return F.concat(F.array_join(F.transform(spans, part), ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
+
+    done = _let(_running(ends, lambda a, x: F.greatest(a, x)), built)
     return F.when(F.size(spans) > 0, done).otherwise(text)

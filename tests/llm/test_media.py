@@ -29,6 +29,8 @@ def test_query_reads_back_what_it_stored(spark):
             f.writeframes(raw)
         assert (r.n_bytes, r.payload_bytes) == (len(texts[r.doc_id].encode()), len(raw))
         assert r.payload_sha256 == hashlib.sha256(raw).hexdigest() and r.tail_crc32 == zlib.crc32(raw[-64:])
+        times, hashes = media.features(out.getvalue())[3:]
+        assert (r.times, r.hashes) == (times.tolist(), hashes.tolist())
         assert r.media_bytes == len(out.getvalue()) and r.media_sha256 == hashlib.sha256(out.getvalue()).hexdigest()
     same = {}
     for r in rows:
