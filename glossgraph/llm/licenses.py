@@ -6,14 +6,15 @@ only if its size lies within bounds. A template inside a longer passage is found
 whole text, whatever its line breaks: as many words as the template has, laid so that one of its bigrams stands
 where the template has it.
 
-A passage that reaches the least Dice coefficient has at least two thirds (at 0.8) of a template's bigrams, so of
-any third and one more it has one. These few, with rare words first, are a template's anchors; a text without any
-anchor's word is compared with nothing, and one with anchors only with their templates. The templates are one
+A passage that reaches the least Dice coefficient has at least two thirds (at 0.8) of a template's bigrams. A few
+words are chosen so that no template keeps as many without them. A text without these words is compared with
+nothing, and another one only with templates that share one of their bigrams with it. The templates are one
 literal table, so their number doesn't change the plan.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 from dataclasses import dataclass
 
@@ -161,11 +162,25 @@ class Template:
         low, high = b * least / (2 - least), b * (2 - least) / least
         return -int(-low // 1), int(high)
 
-    def anchors(self, least: float) -> tuple[str, ...]:
-        """Bigrams of which a passage that reaches `least` has one: as many as it may lack, and one more."""
-        may_lack = int(len(self.bigrams) * (1 - least / (2 - least)) + 1e-9)
-        rare_first = sorted(self.bigrams, key=lambda g: (-max(map(len, g.split())), g))
-        return tuple(rare_first[: may_lack + 1])
+
+def anchor_words(known: list[Template], least: float) -> list[str]:
+    """Few words, so that a passage without any of them can't reach `least` with any template.
+
+    Greedy: each turn takes the word of most bigrams that templates still share with such a passage; words of
+    six letters or more go first, as they are rarer in other texts.
+    """
+    out: list[str] = []
+    left = {k: set(t.bigrams) for k, t in enumerate(known)}
+    while left := {k: g for k, g in left.items() if g and 2 * len(g) >= least * (len(g) + len(known[k].bigrams)) - 1e-9}:
+        gain: dict[str, float] = {}
+        for k, grams in left.items():
+            for gram in grams:
+                for word in set(gram.split()):
+                    gain[word] = gain.get(word, 0.0) + 1 / len(known[k].bigrams)
+        best = max(gain, key=lambda w: (len(w) >= 6, gain[w], w))
+        out.append(best)
+        left = {k: {g for g in grams if best not in g.split()} for k, grams in left.items()}
+    return out
 
 
 def templates(texts: tuple[tuple[str, str], ...] | None = None) -> list[Template]:
@@ -217,13 +232,13 @@ def scan(docs: DataFrame, text: str = "text", known: list[Template] | None = Non
     none = F.array().cast(FOUND)
     if not known:
         return docs.withColumn(into, none)
-    rows = []
+    first_words, rows = anchor_words(known, least), []
     for t in known:
         low, high = t.bounds(least)
-        rows.append({"name": t.name, "n_words": t.n_words, "low": low, "high": high, "bigrams": t.bigrams, "places": t.places, "anchors": t.anchors(least)})
+        anchors = [g for g in t.bigrams if not set(first_words).isdisjoint(g.split())]
+        rows.append({"name": t.name, "n_words": t.n_words, "low": low, "high": high, "bigrams": t.bigrams, "places": t.places, "anchors": anchors})
     table = F.from_json(F.lit(json.dumps(rows)), TABLE)  # folded to a literal before the query runs
     all_anchors = sorted({a for r in rows for a in r["anchors"]})
-    longest_words = sorted({max(a.split(), key=lambda w: (len(w), w)) for a in all_anchors})
     literal = lambda items: F.from_json(F.lit(json.dumps(items)), "array<string>")
 
     def compared(t: Column, words: Column, grams: Column) -> Column:
@@ -266,5 +281,7 @@ def scan(docs: DataFrame, text: str = "text", known: list[Template] | None = Non
         first = F.filter(ordered, lambda x, i: F.array_position(names, x["license"]) == i + 1)
         return F.transform(first, lambda x: F.struct(x["license"].alias("license"), (-x["k"]).alias("dice"), x["passage"].alias("passage")))
 
-    asked = lambda w: F.when(F.arrays_overlap(w, literal(longest_words)), _let(_grams(w), lambda g: _let(searched(w, g), best))).otherwise(none)
-    return docs.withColumn(into, F.when(F.col(text).isNotNull(), _let(_words(F.col(text)), asked)).otherwise(none))
+    asked = lambda w: F.when(F.arrays_overlap(w, literal(first_words)), _let(_grams(w), lambda g: _let(searched(w, g), best))).otherwise(none)
+    # a cheap look for the letters comes before the words are parted
+    hinted = _let(F.lower(text), lambda low: functools.reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in first_words)))
+    return docs.withColumn(into, F.when(hinted, _let(_words(F.col(text)), asked)).otherwise(none))
