@@ -163,11 +163,16 @@ class Template:
         return -int(-low // 1), int(high)
 
 
+#: Letters of a word that is looked for inside others as well.
+LONG = 6
+COMMON = ("a", "and", "as", "be", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "with", "work", "you")
+
+
 def anchor_words(known: list[Template], least: float) -> list[str]:
     """Few words, so that a passage without any of them can't reach `least` with any template.
 
     Greedy: each turn takes the word of most bigrams that templates still share with such a passage; words of
-    six letters or more go first, as they are rarer in other texts.
+    LONG letters or more go first, as they are rarer in other texts, and COMMON ones last.
     """
     out: list[str] = []
     left = {k: set(t.bigrams) for k, t in enumerate(known)}
@@ -177,7 +182,7 @@ def anchor_words(known: list[Template], least: float) -> list[str]:
             for gram in grams:
                 for word in set(gram.split()):
                     gain[word] = gain.get(word, 0.0) + 1 / len(known[k].bigrams)
-        best = max(gain, key=lambda w: (len(w) >= 6, gain[w], w))
+        best = max(gain, key=lambda w: (len(w) >= LONG, w not in COMMON, gain[w], w))
         out.append(best)
         left = {k: {g for g in grams if best not in g.split()} for k, grams in left.items()}
     return out
@@ -283,5 +288,8 @@ def scan(docs: DataFrame, text: str = "text", known: list[Template] | None = Non
 
     asked = lambda w: F.when(F.arrays_overlap(w, literal(first_words)), _let(_grams(w), lambda g: _let(searched(w, g), best))).otherwise(none)
     # a cheap look for the letters comes before the words are parted
-    hinted = _let(F.lower(text), lambda low: functools.reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in first_words)))
+    short = "|".join(w for w in first_words if len(w) < LONG)
+    short_ones = lambda low: low.rlike(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])") if short else F.lit(False)
+    has_one = lambda low: functools.reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in first_words if len(w) >= LONG), short_ones(low))
+    hinted = _let(F.lower(text), has_one)
     return docs.withColumn(into, F.when(hinted, _let(_words(F.col(text)), asked)).otherwise(none))
