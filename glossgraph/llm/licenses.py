@@ -14,7 +14,6 @@ literal table, so their number doesn't change the plan.
 
 from __future__ import annotations
 
-import functools
 import json
 from dataclasses import dataclass
 
@@ -163,7 +162,7 @@ class Template:
         return -int(-low // 1), int(high)
 
 
-#: Letters of a word that is looked for inside others as well.
+#: Letters from which on a word counts as rare.
 LONG = 6
 COMMON = ("a", "and", "as", "be", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "with", "work", "you")
 
@@ -287,9 +286,6 @@ def scan(docs: DataFrame, text: str = "text", known: list[Template] | None = Non
         return F.transform(first, lambda x: F.struct(x["license"].alias("license"), (-x["k"]).alias("dice"), x["passage"].alias("passage")))
 
     asked = lambda w: F.when(F.arrays_overlap(w, literal(first_words)), _let(_grams(w), lambda g: _let(searched(w, g), best))).otherwise(none)
-    # a cheap look for the letters comes before the words are parted
-    short = "|".join(w for w in first_words if len(w) < LONG)
-    short_ones = lambda low: low.rlike(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])") if short else F.lit(False)
-    has_one = lambda low: functools.reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in first_words if len(w) >= LONG), short_ones(low))
-    hinted = _let(F.lower(text), has_one)
+    # one cheap look for any of the words comes before a text is parted
+    hinted = F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(first_words)})(?![a-z0-9])")
     return docs.withColumn(into, F.when(hinted, _let(_words(F.col(text)), asked)).otherwise(none))
