@@ -56,4 +56,4 @@ def catalog_sql() -> str:
         f"FROM (SELECT {value} AS v FROM {table}) WHERE v IS NOT NULL"
         for corpus, version, kind, relation, prefix, node, feature, table, value in DERIVED
     ]
-    return "WITH m AS (" + " UNION ALL ".join(rows) + ")"
+    return "WITH m AS MATERIALIZED (" + " UNION ALL ".join(rows) + ")"

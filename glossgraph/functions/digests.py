@@ -6,7 +6,7 @@ import hashlib
 import json
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAFE = 2**53 - 1
@@ -83,3 +83,93 @@ def row_digest(fields: dict[str, Column]) -> Column:
     """Digest of strings and integers as canonical JSON; nulls are written."""
     ordered = sorted(fields, key=lambda k: k.encode("utf-16-be"))
     return F.concat(F.lit(PREFIX), F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in ordered)), {"ignoreNullFields": "false"}), 256))
+
+
+def bundle_digest(files: DataFrame, by: list[str], path: str, file_digest: str) -> DataFrame:
+    """(by, digest): of each bundle's files (path and digest), in the order of their paths; a bundle is as long as its list."""
+    entry = F.struct(F.col(path).alias("_path"), F.struct(F.col(file_digest).alias("file_sha256"), F.col(path).alias("logical_path")).alias("entry"))
+    ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["entry"])
+    return files.groupBy(*by).agg(F.concat(F.lit(PREFIX), F.sha2(F.to_json(ordered), 256)).alias("digest"))
+
+
+def binding_identity(node_type: Column, feature: Column, values: Column) -> Column:
+    """Identity of a value set: its values' order makes no difference."""
+    return row_digest({"node_type": node_type, "feature": feature, "values": F.array_sort(F.array_distinct(values))})
+
+
+#: Fields of mappings that only audits read, at the top and below it, and lists whose order means nothing.
+AUDIT_TOP = frozenset({"review", "mapping_semantic_digest", "rationale", "introduced_in", "changed_in"})
+AUDIT_BELOW = frozenset({"review", "projection_semantic_digest"})
+UNORDERED = frozenset({"native_dependencies", "profiles", "capabilities", "evidence", "projections", "ambiguous_candidates", "external_references", "losses", "values", "match_values"})
+
+
+def semantic_content(value: object, field: str | None = None, dropped: frozenset[str] = AUDIT_BELOW) -> object:
+    """A mapping's or projection's content that has meaning: without audit fields, unordered lists in canonical order."""
+    if isinstance(value, dict):
+        return {k: semantic_content(v, k) for k, v in value.items() if k not in dropped}
+    if isinstance(value, list):
+        items = [semantic_content(x) for x in value]
+        return sorted(items, key=lambda x: canonical_json(x).encode()) if field in UNORDERED else items
+    return value
+
+
+def mapping_digest(mapping: dict) -> str:
+    """Digest of a mapping's meaning."""
+    return digest(semantic_content(mapping, dropped=AUDIT_TOP))
+
+
+def projection_digest(projection: dict) -> str:
+    """Digest of a projection's meaning."""
+    return digest(semantic_content(projection))
+
+
+def evidence_digest(record: dict) -> str:
+    """Digest of an evidence record: what was reviewed and where it comes from."""
+    named = ("evidence_id", "kind", "source_uri", "reviewed_content", "source_revision", "license_ref")
+    if record.get("content_mode") != "normalized-record" or not set(named[:4]) <= record.keys():
+        raise DigestError("an evidence record needs an id, a kind, a source and normalised content")
+    return digest({k: record[k] for k in named if k in record})
+
+
+def profile_digest(profile: dict) -> str:
+    """Digest of a profile: its sets in canonical order, by their ids where they have any."""
+    ids = {"dependencies": "dependency_id", "ontology_locks": "lock_id", "mappings": "mapping_id"}
+    utf16 = lambda x: x.encode("utf-16-be")
+    out = dict(profile)
+    for name, key in ids.items():
+        rows = profile.get(name, [])
+        if len({r[key] for r in rows}) < len(rows):
+            raise DigestError(f"{key} twice")
+        out[name] = sorted(rows, key=lambda r, key=key: utf16(r[key]))
+    out["semantic_domains"] = sorted(profile.get("semantic_domains", []), key=utf16)
+    return digest(out)
+
+
+def parent_manifest_digest(manifest: dict) -> str:
+    """Digest of a manifest's components: locators and licences don't count."""
+    named = ("component_id", "kind", "identity_algorithm", "content_digest")
+    rows = [{k: c[k] for k in named} for c in manifest["components"]]
+    if not rows or len({r["component_id"] for r in rows}) < len(rows):
+        raise DigestError("components must be there, each once")
+    return digest({"components": sorted(rows, key=lambda r: r["component_id"].encode("utf-16-be"))})
+
+
+def fingerprint(algorithm: str, **fields: object) -> str:
+    """Digest of a plan, release or state under the name of its algorithm, so that no two kinds ever agree."""
+    return digest({"algorithm": algorithm, **fields})
+
+
+def payload_digest(files: DataFrame) -> DataFrame:
+    """(digest): of a folder's files (file, sha256), in the order of their names."""
+    named = files.select(F.lit(0).alias("_all"), F.regexp_extract("file", r"([^/]+)$", 1).alias("path"), F.concat(F.lit(PREFIX), "sha256").alias("digest"))
+    return bundle_digest(named, ["_all"], "path", "digest").drop("_all")
+
+
+def evidence_set(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, digest): of the rows of each key, whatever their order; rows are summed up before any shuffle.
+
+    Two sums of 64-bit hashes stand for a set, as lists of all edges would have to be brought together.
+    """
+    others = [c for c in rows.columns if c not in by]
+    wide = lambda salt: F.sum(F.xxhash64(F.lit(salt), *others).cast("decimal(38,0)")).cast("string")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.concat(F.lit(PREFIX), F.sha2(F.concat_ws(":", F.count("*").cast("string"), wide(0), wide(1)), 256)).alias("digest"))

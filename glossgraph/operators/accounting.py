@@ -51,9 +51,10 @@ def weighted_coverage(rows: DataFrame, by: str, weight: str, covered: Column) ->
     )
 
 
-def route(items: DataFrame, routes: DataFrame, on: str, default: str = "H") -> DataFrame:
-    """Each item with its owner: a route's, else the default. An item with two routes is refused by `owners`."""
-    return items.join(routes.select(on, F.col("owner").alias("_owner")), on, "left").withColumn("owner", F.coalesce("_owner", F.lit(default))).drop("_owner")
+def route(items: DataFrame, routes: DataFrame, on: str, default: str = "H", assessed: Column | None = None) -> DataFrame:
+    """Each item with its owner: a route's, else what was assessed, else the default. An item with two routes is refused by `owners`."""
+    residual = F.lit(default) if assessed is None else F.coalesce(assessed, F.lit(default))
+    return items.join(routes.select(on, F.col("owner").alias("_owner")), on, "left").withColumn("owner", F.coalesce(F.col("_owner"), residual)).drop("_owner")
 
 
 def owners(routes: DataFrame, on: str) -> DataFrame:
@@ -83,10 +84,12 @@ def reconcile(defined: DataFrame, observed: DataFrame, on: str) -> DataFrame:
 
 
 def added(new: DataFrame, old: DataFrame, strict: bool = True) -> DataFrame:
-    """What a release adds. If the new release lost or changed a row of the old one, it's refused."""
-    if strict and not old.exceptAll(new).isEmpty():
-        raise SelectionError("not_additive", "inherited rows are missing or changed")
-    return new.exceptAll(old)
+    """What a release adds, repeats counted. If the new release lost or changed a row of the old one, reading it fails."""
+    signed = new.withColumn("_n", F.lit(1)).unionByName(old.withColumn("_n", F.lit(-1)))
+    left = signed.groupBy(*new.columns).agg(F.sum("_n").alias("_n"))
+    lost = F.raise_error(F.lit("not_additive: inherited rows are missing or changed")).cast("long") if strict else F.lit(0)
+    counted = left.withColumn("_n", F.when(F.col("_n") < 0, lost).otherwise(F.col("_n"))).where("_n > 0")
+    return counted.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
 
 
 def overlay(items: DataFrame, delta: DataFrame, on: str, column: str) -> DataFrame:
@@ -111,3 +114,42 @@ def holders_of_all(pairs: DataFrame, holder: str, wanted: DataFrame, on: str) ->
     n = wanted.select(on).distinct().count()
     kept = pairs.join(wanted.select(on).distinct(), on, "left_semi")
     return kept.groupBy(holder).agg(F.count_distinct(on).alias("n")).where(F.col("n") == n).select(holder)
+
+
+def coverage_authorities(items: DataFrame, links: DataFrame) -> DataFrame:
+    """Items by corpus, and how many of them research and production reviewed, and with a target that is shared.
+
+    `links` has (corpus, item_id, production, target): research counts them all.
+    """
+    by = ["corpus", "item_id"]
+    seen = links.groupBy(*by).agg(F.count("target").alias("r"), F.sum(F.col("production").cast("int")).alias("_p"), F.count(F.when(F.col("production"), F.col("target"))).alias("_t"))
+    seen = seen.select(*by, "r", F.when(F.col("_p") > 0, F.col("_t")).alias("p"))
+    one = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    r, p = F.col("r"), F.col("p")
+    return items.join(seen, by, "left").groupBy("corpus").agg(
+        F.count("*").alias("items"), F.count("r").alias("research_reviewed"), one(r > 0).alias("research_common"), F.count("p").alias("production_reviewed"), one(p > 0).alias("production_common"), one(p.isNull()).alias("production_unreviewed")
+    )
+
+
+def assessment_histogram(items: DataFrame, links: DataFrame) -> DataFrame:
+    """(corpus, assessment, n): how many items have each assessment, each item once."""
+    return links.join(items, ["corpus", "item_id"], "left_semi").select("corpus", "item_id", "assessment").distinct().groupBy("corpus", "assessment").agg(F.count("*").alias("n"))
+
+
+def split(links: DataFrame, denominator: DataFrame, on: list[str]) -> DataFrame:
+    """(on, inside, assessments): accounted items, and whether the denominator has them."""
+    per_item = links.groupBy(*on).agg(F.array_join(F.array_sort(F.collect_set("assessment")), "+").alias("assessments"))
+    known = denominator.select(*on).distinct().withColumn("_known", F.lit(True))
+    return per_item.join(known, on, "left").select(*on, F.col("_known").isNotNull().alias("inside"), "assessments")
+
+
+def totals(items: DataFrame, column: str, counts: dict[str, Column]) -> DataFrame:
+    """One row: items, those with a value, and one count for each condition."""
+    one = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0))
+    return items.agg(F.count("*").alias("items"), F.count(column).alias("reviewed"), *(one(c).alias(n) for n, c in counts.items()))
+
+
+def structured(body: Column, marker: str, schema: str) -> Column:
+    """The JSON document after a marker's line, read strictly; null without one."""
+    found = F.regexp_extract(body, rf"(?s)(?:^|\n){marker}\n(.*)$", 1)
+    return F.from_json(F.when(found != "", found), schema, {"mode": "FAILFAST"})

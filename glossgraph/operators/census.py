@@ -52,7 +52,7 @@ def top_values(nodes: DataFrame, feature: str, k: int = 20) -> DataFrame:
 
 
 def sampled_counts(nodes: DataFrame, by: str, sample: int = 3, order: str = "node") -> DataFrame:
-    """For each value, how many nodes have it and the first few of them, in one pass.
+    """For each value, how many nodes have it and the first few of them: a count, and a limited window, joined.
 
     The few come from a window that Spark limits before its shuffle, so no list of all nodes is made.
     """
@@ -63,13 +63,18 @@ def sampled_counts(nodes: DataFrame, by: str, sample: int = 3, order: str = "nod
 
 
 def form_index(nodes: DataFrame, form: str, key: str = "node") -> DataFrame:
-    """(form_hash, n, first, last): written forms that several nodes share, by hash and length of the form.
+    """(form_hash, form_length, key, n): all nodes of written forms that several nodes share.
 
-    Homographs stay apart as nodes: the index counts them and never merges them.
+    Homographs stay apart as nodes: each has its row, and n says how many share its form.
     """
-    return nodes.groupBy(F.sha2(form, 256).alias("form_hash"), F.length(form).alias("form_length")).agg(
-        F.count("*").alias("n"), F.min(key).alias("first"), F.max(key).alias("last")
-    ).where("n > 1")
+    hashed = nodes.select(F.sha2(form, 256).alias("form_hash"), F.length(form).alias("form_length"), key)
+    shared = hashed.groupBy("form_hash", "form_length").agg(F.count("*").alias("n")).where("n > 1")
+    return hashed.join(shared, ["form_hash", "form_length"])
+
+
+def find_form(nodes: DataFrame, form: str, wanted: DataFrame) -> DataFrame:
+    """Nodes with one of some written forms (a table with that column)."""
+    return nodes.join(wanted.select(form).distinct(), form, "left_semi")
 
 
 def domain_state(observed: DataFrame, reviewed: DataFrame, on: str = "value") -> DataFrame:

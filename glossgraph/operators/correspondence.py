@@ -20,18 +20,28 @@ def in_version(version: str | None, column: str = "corpus_version") -> Column:
 
 
 def map_native(mappings: DataFrame, corpus: str, version: str | None = None, **selector: str) -> DataFrame:
-    """Rows for one native selector; fields that aren't given must be null. A version keeps rows without one."""
+    """Rows for one native selector; fields that aren't given must be null. A version keeps rows without one.
+
+    Rows of several versions are refused without a version, no version being one; so are rows that are all of other
+    versions than the given one.
+    """
     if unknown := set(selector) - set(SELECTOR):
         raise SelectionError("selector", f"unknown fields {sorted(unknown)}")
     condition = F.col("corpus") == corpus
     for field in SELECTOR:
         condition = condition & _equal(field, selector.get(field))
-    return mappings.where(condition & in_version(version))
+    rows = mappings.where(condition)
+    if version is None:
+        return require_one_version(rows)
+    kept = rows.where(in_version(version))
+    if kept.isEmpty() and not rows.isEmpty():
+        raise SelectionError("version_unverified", f"{corpus}: selector isn't verified for version {version}")
+    return kept
 
 
 def require_one_version(rows: DataFrame) -> DataFrame:
     """Refuse rows of several versions; a lookup without a version may not mix them."""
-    versions = [r[0] for r in rows.where(F.col("corpus_version").isNotNull()).select("corpus_version").distinct().limit(2).collect()]
+    versions = [r[0] for r in rows.select("corpus_version").distinct().limit(2).collect()]
     if len(versions) > 1:
         raise SelectionError("version_ambiguous", f"several versions match, {versions} among them")
     return rows

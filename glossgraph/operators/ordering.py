@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def latest(events: DataFrame, by: list[Column | str], time: str, tie: str) -> DataFrame:
-    """The last event of each key. What comes of it is for a later filter, so that a revocation counts."""
-    order = Window.partitionBy(*by).orderBy(F.desc(time), F.desc(tie))
-    return events.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    """The last event of each key, summed up before any shuffle. What comes of it is for a later filter, so that a revocation counts."""
+    last = F.max_by(F.struct(*events.columns), F.struct(time, tie))
+    keys = [(F.col(k) if isinstance(k, str) else k).alias(f"_key{i}") for i, k in enumerate(by)]
+    return events.groupBy(*keys).agg(last.alias("_last")).select("_last.*")
 
 
 def last_two(events: DataFrame, by: list[str], time: str, tie: str) -> DataFrame:

@@ -40,15 +40,35 @@ def check(corpus: TableCorpus, steps: list[Step]) -> None:
 
 
 def hop(corpus: TableCorpus, frontier: DataFrame, step: Step) -> DataFrame:
-    """Rows (src, dst[, value]) from a distinct frontier; a null value never matches, an empty string may."""
+    """Rows (src, dst[, value]) from a distinct frontier; a null value never matches, an empty string may.
+
+    Types whose ids lie in a range are told by it; others by a join with their nodes.
+    """
     edges = corpus.edges(step.edge)
     if step.direction == "incoming":
         edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(c for c in edges.columns if c == "value"))
     if step.match_values:
         edges = edges.where(F.col("value").isin(list(step.match_values)))
-    types = corpus.nodes(step.result_type).select(F.col("node").alias("dst"))
-    kept = edges.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi")
-    return kept.join(types, "dst", "left_semi")
+    typed = of_type(corpus, edges, "dst", step.result_type)
+    return typed.join(frontier.withColumnRenamed("node", "src"), "src", "left_semi")
+
+
+def of_type(corpus: TableCorpus, edges: DataFrame, end: str, otype: str) -> DataFrame:
+    """Edges whose one end is of a type."""
+    if otype in corpus.ranges:
+        low, high = corpus.ranges[otype]
+        return edges.where(F.col(end).between(low, high))
+    return edges.join(corpus.nodes(otype).select(F.col("node").alias(end)), end, "left_semi")
+
+
+def dangling(corpus: TableCorpus, edge: str) -> DataFrame:
+    """(dangling, edges): how many edges there are, and of how many an end isn't a node of the edge's type."""
+    kind, edges = corpus.edge_types[edge], corpus.edges(edge)
+    ends = edges
+    for end, otype in (("src", kind.source), ("dst", kind.target)):
+        ends = ends.join(corpus.nodes(otype).select(F.col("node").alias(end), F.lit(1).alias(f"_{end}")), end, "left")
+    gone = F.col("_src").isNull() | F.col("_dst").isNull()
+    return ends.agg(F.coalesce(F.sum(gone.cast("long")), F.lit(0)).alias("dangling"), F.count("*").alias("edges"))
 
 
 def traverse(corpus: TableCorpus, start: DataFrame, steps: list[Step]) -> DataFrame:
@@ -61,29 +81,36 @@ def traverse(corpus: TableCorpus, start: DataFrame, steps: list[Step]) -> DataFr
 
 
 def evidence(corpus: TableCorpus, start: DataFrame, steps: list[Step]) -> DataFrame:
-    """Every edge that a walk kept: step, src, dst, value_present, value as text. Fan-in isn't made distinct."""
+    """Every edge that a walk kept, as it is stored: step (from 0), src, dst, value_present, value as text.
+
+    Fan-in isn't made distinct. A step that walks against its edge keeps the edge's own direction.
+    """
     check(corpus, steps)
     frontier, layers = start.select("node").distinct(), None
-    for k, step in enumerate(steps, 1):
+    for k, step in enumerate(steps):
         kept = hop(corpus, frontier, step)
         value = F.col("value").cast("string") if "value" in kept.columns else F.lit(None).cast("string")
-        layer = kept.select(F.lit(k).alias("step"), "src", "dst", value.isNotNull().alias("value_present"), value.alias("value"))
+        src, dst = ("src", "dst") if step.direction == "outgoing" else ("dst", "src")
+        layer = kept.select(F.lit(k).alias("step"), F.col(src).alias("src"), F.col(dst).alias("dst"), value.isNotNull().alias("value_present"), value.alias("value"))
         layers = layer if layers is None else layers.unionByName(layer)
         frontier = kept.select(F.col("dst").alias("node")).distinct()
     return layers
 
 
 def discovery_order(corpus: TableCorpus, start: DataFrame, steps: list[Step]) -> DataFrame:
-    """(node, ord): nodes at the end, ranked as a walk meets them that takes neighbours by their ids.
+    """(node, ord): nodes at the end, and arrays that sort as a walk meets them that takes neighbours by their ids.
 
-    `start` has (node, ord). Each hop keeps the least (order of the source, neighbour) for each node.
+    The walk begins at `start` in the order of its ids, or of `ord` if it has that column. A node is met first from
+    the first source that has it, so its array is that source's with its own id added, and the least one counts. No
+    task ranks all nodes.
     """
     check(corpus, steps)
-    frontier = start
+    begin = F.col("ord") if "ord" in start.columns else F.col("node")
+    frontier = start.select("node", F.array(begin.cast("long")).alias("ord"))
     for step in steps:
         kept = hop(corpus, frontier.select("node"), step).join(frontier.withColumnRenamed("node", "src"), "src")
-        frontier = kept.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("ord", "dst")).alias("first"))
-        frontier = frontier.select("node", F.col("first.ord").alias("ord"))
+        frontier = kept.groupBy(F.col("dst").alias("node")).agg(F.min("ord").alias("ord"))
+        frontier = frontier.select("node", F.concat("ord", F.array("node")).alias("ord"))
     return frontier
 
 
@@ -94,7 +121,5 @@ def duplicate_pairs(edges: DataFrame) -> DataFrame:
 
 def value_domain(corpus: TableCorpus, edge: str, source: str, target: str) -> DataFrame:
     """(value, n): values between two node types, null for edges without one."""
-    ends = corpus.edges(edge)
-    ends = ends.join(corpus.nodes(source).select(F.col("node").alias("src")), "src", "left_semi")
-    ends = ends.join(corpus.nodes(target).select(F.col("node").alias("dst")), "dst", "left_semi")
+    ends = of_type(corpus, of_type(corpus, corpus.edges(edge), "src", source), "dst", target)
     return ends.groupBy("value").agg(F.count("*").alias("n"))

@@ -77,3 +77,21 @@ def text_value(nodes: DataFrame, feature: str, value: str) -> DataFrame:
 def invalid_nodes(nodes: DataFrame, key: str = "node") -> DataFrame:
     """Ids that aren't positive, are null, or occur more than once, with how often they do."""
     return nodes.groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNull() | (F.col(key) <= 0) | (F.col("n") > 1))
+
+
+def all_values(nodes: DataFrame, wanted: dict[str, list]) -> DataFrame:
+    """Nodes whose features each have one of some values: atoms over one table are one filter, and reach its scan."""
+    condition = F.lit(True)
+    for feature, values in wanted.items():
+        if not values or len(set(map(repr, values))) != len(values):
+            raise SelectionError("value_set", "values must be distinct, and one at least")
+        same_type(nodes, feature, values)
+        condition = condition & F.col(feature).isin(values)
+    return nodes.where(condition).select("node").distinct()
+
+
+def required(nodes: DataFrame, what: str) -> DataFrame:
+    """The nodes, if there are any; a type that was found before and is empty now is an error and no answer."""
+    if nodes.isEmpty():
+        raise SelectionError("invalid_result_nodes", f"{what} has no nodes")
+    return nodes

@@ -48,3 +48,11 @@ def difference(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def all_true(conditions: list[Column]) -> Column:
     return functools.reduce(Column.__and__, conditions)
+
+
+def inclusion(answer: DataFrame, target: DataFrame, by: list[str], key: str) -> DataFrame:
+    """(by, extra, missed, state): what an answer has beyond its target and lacks of it."""
+    both = answer.select(*by, key).distinct().withColumn("_a", F.lit(1)).join(target.select(*by, key).distinct().withColumn("_t", F.lit(1)), [*by, key], "full_outer")
+    extra, missed = F.count(F.when(F.col("_t").isNull(), 1)), F.count(F.when(F.col("_a").isNull(), 1))
+    state = F.when((extra > 0) & (missed > 0), "mixed").when(extra > 0, "overcoverage").when(missed > 0, "undercoverage").otherwise("exact")
+    return both.groupBy(*by).agg(extra.alias("extra"), missed.alias("missed"), state.alias("state"))

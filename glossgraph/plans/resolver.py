@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from glossgraph.operators import paths, selectors, sets
 from glossgraph.operators.correspondence import in_version
 from glossgraph.operators.selectors import SelectionError
+from glossgraph.plans import bindings
 from glossgraph.sources.catalog import RELATIONS
 from glossgraph.sources.graph import TableCorpus
 
@@ -51,19 +52,12 @@ def with_losses(rows: DataFrame) -> DataFrame:
 def choose(rows: DataFrame, accepted: list[str]) -> DataFrame:
     """(corpus, target, status, category): what resolving each target in each corpus gives.
 
-    Exactly one exact row wins. Otherwise just one close, broader or narrower row does, if its losses are accepted.
+    Rows of a catalog are bindings that are all eligible, unless a column `eligible` says otherwise.
     """
-    targeted = rows.where(F.col("target").isNotNull())
-    count = lambda c: F.sum(c.cast("int"))
-    candidate = F.col("relation").isin("close", "broader", "narrower")
-    fits = candidate & (F.size(F.array_except("losses", F.array(*map(F.lit, accepted)).cast("array<string>"))) == 0)
-    g = targeted.groupBy("corpus", "target").agg(count(F.col("relation") == "exact").alias("e"), count(candidate).alias("a"), count(fits).alias("f"))
-    e, a, f = F.col("e"), F.col("a"), F.col("f")
-    status = F.when(e == 1, "exact").when((e == 0) & (f == 1) & (a == 1), "approximate").otherwise("refused")
-    category = (
-        F.when(e == 1, F.lit(None)).when(e > 1, "multiple_exact_bindings").when(a == 0, "no_binding").when(f == 0, "losses_not_accepted").when(a > 1, "multiple_approximations")
-    )
-    return g.select("corpus", "target", status.alias("status"), category.alias("category"))
+    eligible = F.col("eligible") if "eligible" in rows.columns else F.lit(True)
+    row = F.to_json(F.struct(*(c for c in ("kind", "node", "feature", "value") if c in rows.columns)))
+    bound = rows.where(F.col("target").isNotNull()).select("corpus", "target", F.col("relation").alias("assessment"), eligible.alias("eligible"), "losses", row.alias("projection_id"))
+    return bindings.resolve(bound, ("target",), tuple(accepted)).select("corpus", "target", "status", "category")
 
 
 def capability_facts(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -92,20 +86,29 @@ def resolve_exact(rows: DataFrame, corpus: str, targets: list[str], version: str
 
 
 def resolve_approximate(rows: DataFrame, corpus: str, target: str, accepted: tuple[str, ...], version: str | None = None) -> Plan:
-    """The exact plan if there is one; else the only approximation, if all its losses are accepted."""
-    found = rows.where((F.col("corpus") == corpus) & (F.col("target") == target) & F.col("relation").isin(*LOSSES) & F.col("kind").isin("node", "value") & in_version(version)).collect()
+    """The exact plan if there is one; else the only eligible approximation, if all its losses are accepted.
+
+    Which refusal comes first is as in `bindings.resolve`: related rows never stand in, several approximations are
+    refused whatever they lose, and losses are asked about last.
+    """
+    found = rows.where((F.col("corpus") == corpus) & (F.col("target") == target) & F.col("relation").isin(*LOSSES, "related") & F.col("kind").isin("node", "value") & in_version(version)).collect()
     exact = [r for r in found if r.relation == "exact"]
     if len(exact) > 1:
         raise SelectionError("multiple_exact_bindings", target)
     if exact:
         return _plan(exact[0])
     if not found:
-        raise SelectionError("no_binding", target)
-    fitting = [r for r in found if set(LOSSES[r.relation]) <= set(accepted)]
+        raise SelectionError("semantic_tuple_absent", target)
+    stand_ins = [r for r in found if r.relation != "related"]
+    if not stand_ins:
+        raise SelectionError("non_substitutive_mapping", target)
+    fitting = [r for r in stand_ins if getattr(r, "eligible", True)]
     if not fitting:
-        raise SelectionError("losses_not_accepted", target)
-    if len(found) > 1:
-        raise SelectionError("multiple_approximations", target)
+        raise SelectionError("approximation_not_authorized", target)
+    if len(fitting) > 1:
+        raise SelectionError("multiple_approximate_bindings", target)
+    if not set(LOSSES[fitting[0].relation]) <= set(accepted):
+        raise SelectionError("approximation_loss_not_accepted", target)
     return _plan(fitting[0], LOSSES[fitting[0].relation])
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,31 +10,11 @@ from glossgraph.derived import catalog, catalog_sql
 from glossgraph.functions import digests
 from glossgraph.operators import accounting, census, correspondence, ordering, paths, selectors, sets
 from glossgraph.plans import prerequisites, references, resolver
+from glossgraph.registry import query, read
 from glossgraph.sources import catalog as catalogs
 from glossgraph.sources.graph import SPAN, activity, all_corpora, commerce, library
 from glossgraph.streaming import tables as streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Register a function under its name, with its SQL."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def node(type_number: int, key: str) -> str:
     """SQL of a node id."""
     return f"CAST({type_number * SPAN + 1} + {key} AS BIGINT)"
@@ -140,7 +118,7 @@ def catalog_nodes(spark, sf_dir):
 )
 def correspondence_nodes(spark, sf_dir):
     """From one native category to the nodes of the corpora that share it."""
-    rows = catalog(spark, sf_dir).cache()  # distinct values alone, read several times
+    rows = catalog(spark, sf_dir)  # literals of corpus and feature prune all tables that a lookup doesn't need
     origin = correspondence.map_native(rows, "logistics", kind="value", node="line", feature="l_linestatus", value="F")
     pairs = correspondence.correspondences(rows, "logistics").join(origin.select("target").distinct(), "target", "left_semi")
     corpora = all_corpora(spark, sf_dir)
@@ -160,8 +138,8 @@ def correspondence_nodes(spark, sf_dir):
     M
     + f""" SELECT DISTINCT a.corpus, a.node, a.feature, a.value, a.relation AS a, b.relation AS b FROM m a JOIN m b
     ON a.corpus = b.corpus AND a.kind = b.kind AND a.node = b.node AND a.feature = b.feature AND a.value = b.value
-    AND (a.corpus_version IS NULL OR b.corpus_version IS NULL OR a.corpus_version = b.corpus_version) AND a.relation < b.relation
-    WHERE a.relation IN {UNMATCHED} OR b.relation IN {UNMATCHED}"""
+    AND (a.corpus_version IS NULL OR b.corpus_version IS NULL OR a.corpus_version = b.corpus_version) AND (a.relation < b.relation OR (a.relation = b.relation AND coalesce(a.corpus_version, '') < coalesce(b.corpus_version, '')))
+    WHERE (a.relation IN {UNMATCHED} OR b.relation IN {UNMATCHED}) AND NOT (a.relation = 'ambiguous' AND b.relation = 'ambiguous')"""
 )
 def disposition_conflicts(spark, sf_dir):
     found = catalogs.conflicts(catalog(spark, sf_dir))
@@ -169,10 +147,19 @@ def disposition_conflicts(spark, sf_dir):
     return found.select("corpus", part["node"].alias("node"), part["feature"].alias("feature"), part["value"].alias("value"), "a", "b")
 
 
-@query(M + " SELECT corpus, max(corpus_version) FILTER (WHERE false) AS x, count(*) AS n FROM m WHERE target IS NOT NULL AND NOT regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:.+') GROUP BY corpus")
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 10 = 1 THEN 'kind' WHEN p_size % 10 = 2 THEN 'relation' WHEN p_size % 10 = 3 THEN 'selector' WHEN p_size % 10 = 4 THEN 'target_missing' WHEN p_size % 10 = 5 THEN 'target_forbidden' END AS problem
+    FROM part WHERE p_size % 10 BETWEEN 1 AND 5"""
+)
 def catalog_violations(spark, sf_dir):
-    bad = catalogs.row_violations(catalog(spark, sf_dir))
-    return bad.groupBy("corpus").agg(F.lit(None).cast("string").alias("x"), F.count("*").alias("n"))
+    """Rows of a catalog that Spark derives from parts, some of them wrong in one way each."""
+    size, none = F.col("p_size") % 10, F.lit(None).cast("string")
+    row = {
+        "corpus": F.lit("parts"), "kind": F.when(size == 1, "word").otherwise("value"), "relation": F.when(size == 2, "same").when(size == 5, "native-only").otherwise("exact"),
+        "target": F.when(size == 4, "no scheme").otherwise(F.concat(F.lit("urn:brand:"), F.col("p_brand").substr(7, 9))), "node": F.lit("part"), "feature": F.when(size != 3, F.lit("p_brand")), "value": F.col("p_brand"),
+    }
+    rows = read(spark, sf_dir, "part").select("p_partkey", *(row.get(c, none).cast("string").alias(c) for c in catalogs.MAPPING))
+    return catalogs.row_violations(rows).select("p_partkey", "problem")
 
 
 @query(
@@ -192,8 +179,7 @@ def current_release(spark, sf_dir):
 @query(f"SELECT {ORDER('o_orderkey')} AS node FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT {ORDER('o_orderkey')} FROM orders WHERE o_orderpriority = '1-URGENT'")
 def exact_conjunction(spark, sf_dir):
     orders = commerce(spark, sf_dir).nodes("order")
-    atom = lambda f, v: (("orders", "order"), selectors.value_predicate(orders, f, v))
-    return sets.conjunction([atom("o_orderstatus", "F"), atom("o_orderpriority", "1-URGENT")])
+    return selectors.all_values(orders, {"o_orderstatus": ["F"], "o_orderpriority": ["1-URGENT"]})
 
 
 @query(
@@ -206,9 +192,7 @@ def conjunction_three(spark, sf_dir):
     near = c.nodes("nation").where("n_nationkey < 5")
     back = paths.traverse(c, near, [paths.Step("customer_nation", "customer", "incoming"), paths.Step("order_customer", "order", "incoming")])
     domain = ("orders", "order")
-    return sets.conjunction(
-        [(domain, selectors.value_set_predicate(orders, "o_orderstatus", ["F", "O"])), (domain, selectors.value_predicate(orders, "o_orderpriority", "2-HIGH")), (domain, back)]
-    )
+    return sets.conjunction([(domain, selectors.all_values(orders, {"o_orderstatus": ["F", "O"], "o_orderpriority": ["2-HIGH"]})), (domain, back)])
 
 
 @query(f"SELECT DISTINCT {NATION('c_nationkey')} AS node FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'")
@@ -243,7 +227,7 @@ def valued_edge_match(spark, sf_dir):
 
 
 @query(
-    f"""SELECT 1 AS step, {ORDER('l_orderkey')} AS src, {PART('l_partkey')} AS dst, true AS value_present, CAST(line AS VARCHAR) AS value
+    f"""SELECT 0 AS step, {ORDER('l_orderkey')} AS src, {PART('l_partkey')} AS dst, true AS value_present, CAST(line AS VARCHAR) AS value
     FROM {FLAGS} JOIN orders ON l_orderkey = o_orderkey WHERE line IN (1, 2) AND o_orderpriority = '5-LOW'"""
 )
 def valued_edge_evidence(spark, sf_dir):
@@ -253,12 +237,31 @@ def valued_edge_evidence(spark, sf_dir):
 
 
 @query(
-    f"""SELECT node, min(ord) AS ord FROM (SELECT {NATION('c_nationkey')} AS node, {CUSTOMER('c_custkey')} AS ord FROM customer WHERE c_mktsegment = 'MACHINERY') GROUP BY node"""
+    f"""WITH e AS (SELECT {CUSTOMER('c_custkey')} AS c, {NATION('c_nationkey')} AS n, {REGION('n_regionkey')} AS r FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'MACHINERY'),
+    one AS (SELECT n, r, min(c) AS c FROM e GROUP BY 1, 2), two AS (SELECT r, min([c, n]) AS first FROM one GROUP BY 1)
+    SELECT r AS node, array_to_string(list_append(first, r), '.') AS ord FROM two"""
 )
 def first_discovery(spark, sf_dir):
     c = commerce(spark, sf_dir)
-    start = selectors.value_predicate(c.nodes("customer"), "c_mktsegment", "MACHINERY").withColumn("ord", F.col("node"))
-    return paths.discovery_order(c, start, [paths.Step("customer_nation", "nation")])
+    start = selectors.value_predicate(c.nodes("customer"), "c_mktsegment", "MACHINERY")
+    found = paths.discovery_order(c, start, [paths.Step("customer_nation", "nation"), paths.Step("nation_region", "region")])
+    return found.select("node", F.array_join("ord", ".").alias("ord"))
+
+
+@query(f"""SELECT 0 AS step, {ORDER('o_orderkey')} AS src, {CUSTOMER('o_custkey')} AS dst FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'
+    UNION ALL SELECT 1, {ORDER('l_orderkey')}, {PART('l_partkey')} FROM {FLAGS} JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND flag = 'R'""")
+def incoming_evidence(spark, sf_dir):
+    """Edges of a walk against and along their direction, as they are stored."""
+    c = commerce(spark, sf_dir)
+    start = selectors.value_predicate(c.nodes("customer"), "c_mktsegment", "BUILDING")
+    return paths.evidence(c, start, [paths.Step("order_customer", "order", "incoming"), paths.Step("order_part_flag", "part", match_values=("R",))]).select("step", "src", "dst")
+
+
+@query("SELECT CAST(0 AS BIGINT) AS dangling, count(*) AS edges FROM orders")
+def dangling_edges(spark, sf_dir):
+    """Edges whose ends aren't there: hops rely on the ranges of ids, and this query on the nodes themselves."""
+    c = commerce(spark, sf_dir)
+    return paths.dangling(c, "order_customer")
 
 
 @query(f"SELECT flag AS value, count(*) AS n FROM {FLAGS} JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY flag")
@@ -316,19 +319,11 @@ def comparison_state(spark, sf_dir):
     return sets.comparison_state(plans, ["target"])
 
 
-CANDIDATES = (
-    " , c AS (SELECT *, CASE relation WHEN 'exact' THEN 0 ELSE 1 END AS r, CASE relation WHEN 'broader' THEN true WHEN 'exact' THEN true ELSE false END AS accepted FROM m WHERE target IS NOT NULL),"
-    " g AS (SELECT corpus, target, count(*) FILTER (WHERE relation = 'exact') AS exacts, count(*) FILTER (WHERE relation IN ('close', 'broader', 'narrower')) AS approximates,"
-    " count(*) FILTER (WHERE relation = 'broader') AS accepted FROM m WHERE target IS NOT NULL GROUP BY corpus, target)"
-)
-
-
 @query(
     M
-    + CANDIDATES
-    + """ SELECT corpus, target, CASE WHEN exacts = 1 THEN 'exact' WHEN exacts > 1 THEN 'refused' WHEN accepted = 1 AND approximates = 1 THEN 'approximate' ELSE 'refused' END AS status,
-    CASE WHEN exacts = 1 THEN NULL WHEN exacts > 1 THEN 'multiple_exact_bindings' WHEN approximates = 0 THEN 'no_binding' WHEN accepted = 0 THEN 'losses_not_accepted'
-      WHEN approximates > 1 THEN 'multiple_approximations' END AS category FROM g"""
+    + """ SELECT corpus, target, CASE WHEN category IS NOT NULL THEN 'refused' WHEN e = 1 THEN 'exact' ELSE 'approximate' END AS status, category FROM (
+      SELECT *, CASE WHEN e > 1 THEN 'multiple_exact_bindings' WHEN e = 1 THEN NULL WHEN s = 0 THEN 'approximation_not_authorized' WHEN s > 1 THEN 'multiple_approximate_bindings' WHEN b = 0 THEN 'approximation_loss_not_accepted' END AS category
+      FROM (SELECT corpus, target, count(*) FILTER (WHERE relation = 'exact') AS e, count(*) FILTER (WHERE relation IN ('close', 'broader', 'narrower')) AS s, count(*) FILTER (WHERE relation = 'broader') AS b FROM m WHERE target IS NOT NULL GROUP BY 1, 2))"""
 )
 def approximate_choice(spark, sf_dir):
     return resolver.choose(resolver.with_losses(catalog(spark, sf_dir)), ["undercoverage"])
@@ -351,13 +346,10 @@ def capability_facts(spark, sf_dir):
     SELECT g.target, {ORDER('o_orderkey')} AS node FROM g JOIN m USING (target) JOIN orders ON o_orderstatus = m.value WHERE m.corpus = 'commerce'"""
 )
 def execute_exact(spark, sf_dir):
-    c, rows = commerce(spark, sf_dir), catalog(spark, sf_dir)
-    plans = resolver.resolve_exact(rows, "commerce", [f"urn:status:{s}" for s in "FOP"])
-    parts = None
-    for plan in plans:
-        part = resolver.execute(c, plan).select(F.lit(plan.target).alias("target"), "node")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    """All targets that one exact row expresses, and their nodes by one join of a feature with the rows."""
+    rows = catalog(spark, sf_dir).where("corpus = 'commerce' AND target LIKE 'urn:status:%'")
+    chosen = resolver.choose(resolver.with_losses(rows), []).where("status = 'exact'")
+    return correspondence.resolve_nodes(commerce(spark, sf_dir), rows.join(chosen.select("corpus", "target"), ["corpus", "target"], "left_semi"), "1.10").select("target", "node")
 
 
 # Census
@@ -413,22 +405,29 @@ def sampled_counts(spark, sf_dir):
     return found.select("o_orderpriority", "n", F.get("first", F.lit(0)).alias("first_key"), F.get("first", F.lit(2)).alias("third_key"))
 
 
-@query("SELECT sha256(text) AS form_hash, CAST(length(text) AS INT) AS form_length, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents GROUP BY text HAVING count(*) > 1")
+@query("SELECT sha256(text) AS form_hash, doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1")
 def written_form_index(spark, sf_dir):
-    return census.form_index(read(spark, sf_dir, "documents"), "text", "doc_id")
+    return census.form_index(read(spark, sf_dir, "documents"), "text", "doc_id").select("form_hash", "doc_id", "n")
+
+
+@query("SELECT doc_id FROM documents WHERE text = (SELECT text FROM documents WHERE doc_id = 3)")
+def written_form_lookup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return census.find_form(docs, "text", docs.where("doc_id = 3").select("text")).select("doc_id")
 
 
 @query(
-    f"""SELECT {ORDER('o_orderkey')} AS word, {NATION('c_nationkey')} AS lexeme, c_mktsegment = n_name AS agrees FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+    f"""SELECT {ORDER('o_orderkey')} AS word, {NATION('c_nationkey')} AS lexeme, ends_with(c_name, lpad(CAST(o_custkey AS VARCHAR), 9, '0')) AND n_name = 'NATION_' || c_nationkey AS agrees FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
 )
 def word_lexeme_link(spark, sf_dir):
     """Each order's nation over two containments, with exactly one of each, and whether their forms agree."""
     c = commerce(spark, sf_dir)
     up = c.edges("order_customer").join(c.edges("customer_nation").select(F.col("dst").alias("lexeme"), F.col("src").alias("dst")), "dst").select(F.col("src").alias("word"), F.col("dst").alias("holder"), "lexeme")
     once = up.groupBy("word").agg(F.min("lexeme").alias("lexeme"), F.min("holder").alias("holder"), F.count("*").alias("n")).where("n = 1")
-    forms = c.nodes("customer").select(F.col("node").alias("holder"), "c_mktsegment")
+    forms = c.nodes("customer").select(F.col("node").alias("holder"), "c_name", "c_custkey", "c_nationkey")
     names = c.nodes("nation").select(F.col("node").alias("lexeme"), "n_name")
-    return once.join(forms, "holder").join(names, "lexeme").select("word", "lexeme", (F.col("c_mktsegment") == F.col("n_name")).alias("agrees"))
+    named = F.endswith("c_name", F.lpad(F.col("c_custkey").cast("string"), 9, "0")) & (F.col("n_name") == F.concat(F.lit("NATION_"), "c_nationkey"))
+    return once.join(forms, "holder").join(names, "lexeme").select("word", "lexeme", named.alias("agrees"))
 
 
 # Accounting

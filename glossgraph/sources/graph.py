@@ -44,6 +44,8 @@ class TableCorpus:
     tables: dict[str, DataFrame]
     edge_types: dict[str, EdgeType] = field(default_factory=dict)
     edge_tables: dict[str, DataFrame] = field(default_factory=dict)
+    #: Types whose ids fill a range of their own, so that an id tells its type.
+    ranges: dict[str, tuple[int, int]] = field(default_factory=dict)
 
     def node_types(self) -> list[str]:
         return sorted(self.tables)
@@ -117,6 +119,7 @@ def commerce(spark: SparkSession, sf_dir: str) -> TableCorpus:
             "order_part_line": _edge(pairs, "commerce", "order", "l_orderkey", "part", "l_partkey", "line"),
             "order_supplier": _edge(line.select("l_orderkey", "l_suppkey").distinct(), "commerce", "order", "l_orderkey", "supplier", "l_suppkey"),
         },
+        {t: (offset("commerce", t) + 1, offset("commerce", t) + SPAN) for t in keys},
     )
 
 

@@ -55,9 +55,13 @@ def test_paths_types_values_and_order(graph, spark):
     assert ids(paths.traverse(graph, graph.nodes("line"), [paths.Step("score", "word", match_values=(5,))])) == [1]
     assert ids(paths.traverse(graph, graph.nodes("word").where("node = 3"), steps)) == []
     kept = paths.evidence(graph, one, steps).collect()
-    assert sorted((r.step, r.src, r.dst) for r in kept) == [(1, 1, 10), (1, 1, 11), (2, 10, 20), (2, 11, 20), (2, 11, 21)]
-    ranked = paths.discovery_order(graph, one.select("node", F.lit(1).alias("ord")), steps[:1]).collect()
-    assert {r.node for r in ranked} == {10, 11}
+    assert sorted((r.step, r.src, r.dst) for r in kept) == [(0, 1, 10), (0, 1, 11), (1, 10, 20), (1, 11, 20), (1, 11, 21)]
+    back = paths.evidence(graph, graph.nodes("line").where("node = 10"), [paths.Step("word_line", "word", "incoming")]).collect()
+    assert sorted((r.src, r.dst) for r in back) == [(1, 10), (2, 10)]
+    walk = TableCorpus("w", {"x": spark.range(20).selectExpr("id AS node")}, {"e": EdgeType("x", "x")}, {"e": spark.createDataFrame([(1, 3), (1, 2), (2, 10), (3, 9)], "src long, dst long")}, {"x": (0, 19)})
+    ranked = paths.discovery_order(walk, spark.createDataFrame([(1,)], "node long"), [paths.Step("e", "x"), paths.Step("e", "x")]).orderBy("ord").collect()
+    assert [r.node for r in ranked] == [10, 9]
+    assert paths.dangling(walk, "e").first() == (0, 4)
     for step, what in ((paths.Step("no", "line"), "edge_missing"), (paths.Step("word_line", "x"), "node_type_missing"), (paths.Step("word_line", "line", "up"), "direction"), (paths.Step("word_line", "line", match_values=("a",)), "edge_unvalued"), (paths.Step("score", "word", match_values=("5",)), "value_type"), (paths.Step("score", "word", match_values=(True,)), "value_type")):
         with pytest.raises(SelectionError, match=what):
             paths.traverse(graph, one, [step])
@@ -100,17 +104,23 @@ def test_catalog_rules(rows, spark):
     found = catalog.conflicts(rows).collect()
     assert [(r.corpus, r.a, r.b) for r in found] == [("c1", "exact", "unsupported")]
     assert catalog.row_violations(rows).count() == 0
+    twice = rows.where("relation = 'unsupported'").withColumn("corpus_version", F.lit("3.0"))
+    assert sorted((r.a, r.b) for r in catalog.conflicts(rows.unionAll(twice)).collect()) == [("exact", "unsupported"), ("unsupported", "unsupported")]
     bad = rows.limit(1).withColumns({"target": F.lit("no scheme"), "edge": F.lit(1)})
     assert catalog.row_violations(bad).first().problem == "target_missing"
     assert catalog.row_violations(rows.limit(1).withColumn("kind", F.lit("x"))).first().problem == "kind"
     assert catalog.row_violations(rows.limit(1).withColumn("from_node", F.lit("x"))).first().problem == "selector"
+    edge = rows.limit(1).withColumns({"kind": F.lit("edge"), "node": F.lit(None).cast("string"), "value": F.lit(None).cast("string"), "from_node": F.lit("a")})
+    assert catalog.row_violations(edge).count() == 0 and catalog.row_violations(edge.withColumn("from_node", F.lit(" "))).first().problem == "selector"
     assert catalog.duplicates(rows.unionAll(rows.limit(1))).count() == 1
 
 
 def test_lookups_and_correspondences(rows, graph):
     assert correspondence.map_native(rows, "c1", kind="value", node="word", feature="sp", value="verb", version="9").count() == 1
-    with pytest.raises(SelectionError, match="version_ambiguous"):
-        correspondence.require_one_version(correspondence.map_native(rows.unionAll(rows.where("target = 'urn:v'").withColumn("corpus_version", F.lit("2.0"))), "c1", kind="value", node="word", feature="sp", value="verb"))
+    with pytest.raises(SelectionError, match="version_ambiguous"):  # a row without a version and one with
+        correspondence.map_native(rows, "c1", kind="value", node="word", feature="sp", value="verb")
+    with pytest.raises(SelectionError, match="version_unverified"):
+        correspondence.map_native(rows, "c1", kind="value", node="word", feature="sp", value="subs", version="9")
     assert correspondence.find_by_target(rows, "urn:n").count() == 2
     assert correspondence.find_by_target(rows, "urn:n", include_approximate=True).count() == 3
     pairs = correspondence.correspondences(rows, "c1", include_approximate=True).collect()
@@ -128,11 +138,11 @@ def test_resolution_refuses_rather_than_answers_empty(rows, graph):
             resolver.resolve_exact(rows, "tiny", [target])
     assert resolver.resolve_approximate(rows, "c2", "urn:n", ("overcoverage",)).losses == ("overcoverage",)
     assert resolver.resolve_approximate(rows, "tiny", "urn:n", ()).losses == ()
-    for target, accepted, what in (("urn:p", ("overcoverage",), "losses_not_accepted"), ("urn:q", ("undercoverage",), "multiple_approximations"), ("urn:x", (), "no_binding")):
+    for target, accepted, what in (("urn:p", ("overcoverage",), "approximation_loss_not_accepted"), ("urn:q", (), "multiple_approximate_bindings"), ("urn:x", (), "semantic_tuple_absent")):
         with pytest.raises(SelectionError, match=what):
             resolver.resolve_approximate(rows, "c2", target, accepted)
     table = {(r.corpus, r.target): (r.status, r.category) for r in resolver.choose(resolver.with_losses(rows), ["overcoverage"]).collect()}
-    assert table["c2", "urn:n"] == ("approximate", None) and table["c2", "urn:p"] == ("refused", "losses_not_accepted") and table["tiny", "urn:two"] == ("refused", "multiple_exact_bindings")
+    assert table["c2", "urn:n"] == ("approximate", None) and table["c2", "urn:p"] == ("refused", "approximation_loss_not_accepted") and table["tiny", "urn:two"] == ("refused", "multiple_exact_bindings")
     start = resolver.Plan("tiny", "urn:x", "word", "sp", ("nothing",), (paths.Step("word_line", "line"),))
     with pytest.raises(SelectionError, match="empty_start"):
         resolver.execute(graph, start)
@@ -170,8 +180,9 @@ def test_census_of_empty_strings(graph):
 def test_releases_and_overlays(spark):
     new, old = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k long, v string"), spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
     assert [r.k for r in accounting.added(new, old).collect()] == [3]
-    with pytest.raises(SelectionError, match="not_additive"):
-        accounting.added(old, new)
+    assert [r.k for r in accounting.added(new.unionAll(new), old).orderBy("k").collect()] == [1, 2, 3, 3]
+    with pytest.raises(Exception, match="not_additive"):
+        accounting.added(old, new).collect()
     delta = spark.createDataFrame([(2, "b"), (3, "x"), (9, "y")], "k long, v string")
     assert {r.k: r.v for r in accounting.overlay(new, delta, "k", "v").collect()} == {1: "a", 2: "b", 3: "c"}
     assert sorted(r.k for r in accounting.overlay_conflicts(new, delta, "k", "v").collect()) == [3, 9]
@@ -220,12 +231,16 @@ def test_feature_files(spark, tmp_path):
 
 
 def test_xml_catalog(spark, tmp_path):
-    (tmp_path / "c1.xml").write_text('<?xml version="1.0"?><mappings corpus="c1" source="s" corpusVersion="1.0"><map kind="value" relation="exact" target="urn:n" node="word" feature="sp" value="subs"/><map kind="edge" relation="native-only" from="a" to="b" feature="e">note</map></mappings>')
+    (tmp_path / "c1.xml").write_text('<?xml version="1.0"?><mappings corpus="c1" source="s" corpusVersion="1.0"><map kind="value" relation="exact" target="urn:n" node="word" feature="sp" value="subs"/><map corpusVersion="2.0" kind="node" relation="exact" target="urn:w" node="word"/><map kind="edge" relation="native-only" from="a" to="b" feature="e">note</map></mappings>')
     (tmp_path / "c2.xml").write_text('<mappings corpus="c2" source="t"><map kind="node" relation="close" target="urn:n" node="w"/></mappings>')
     rows = catalog.read_xml(spark, f"{tmp_path}/*.xml")
     got = {(r.corpus, r.corpus_version, r.kind, r.relation, r.target, r.from_node) for r in rows.collect()}
-    assert got == {("c1", "1.0", "value", "exact", "urn:n", None), ("c1", "1.0", "edge", "native-only", None, "a"), ("c2", None, "node", "close", "urn:n", None)}
+    assert got == {("c1", "1.0", "value", "exact", "urn:n", None), ("c1", "2.0", "node", "exact", "urn:w", None), ("c1", "1.0", "edge", "native-only", None, "a"), ("c2", None, "node", "close", "urn:n", None)}
     assert [r.corpus for r in catalog.corpora(rows).collect()] == ["c1", "c2"] and catalog.row_violations(rows).count() == 0
+    assert catalog.unknown_attributes(spark, f"{tmp_path}/*.xml").count() == 0 and catalog.misnamed(spark, f"{tmp_path}/*.xml").count() == 0
+    (tmp_path / "c3.xml").write_text('<mappings corpus="other" source="t"><map kind="node" relation="close" target="urn:n" node="w" colour="red"/></mappings>')
+    assert [r.attribute for r in catalog.unknown_attributes(spark, f"{tmp_path}/*.xml").collect()] == ["colour"]
+    assert [r.corpus for r in catalog.misnamed(spark, f"{tmp_path}/*.xml").collect()] == ["other"] and catalog.load(spark, str(tmp_path), "c2").count() == 1
 
 
 def test_item_ids(spark):

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from glossgraph import queries
+from glossgraph import registry as queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
