@@ -8,7 +8,7 @@ where the template has it.
 
 A passage that reaches the least Dice coefficient has at least two thirds (at 0.8) of a template's bigrams. A few
 words are chosen so that no template keeps as many without them. A text without these words is compared with
-nothing, and another one only with templates that share one of their bigrams with it. The templates are one
+nothing, and another one only with templates of which it has two thirds of the bigrams. The templates are one
 literal table, so their number doesn't change the plan.
 """
 
@@ -220,7 +220,7 @@ def passages(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.concat(lines, blocks, F.array(text)), _words), lambda w: F.size(w) > 1))
 
 
-TABLE = "array<struct<name:string,n_words:int,low:int,high:int,bigrams:array<string>,places:array<int>,anchors:array<string>>>"
+TABLE = "array<struct<name:string,n_words:int,low:int,high:int,bigrams:array<string>,places:array<int>>>"
 FOUND = "array<struct<license:string,dice:double,passage:string>>"
 
 
@@ -239,10 +239,9 @@ def scan(docs: DataFrame, text: str = "text", known: list[Template] | None = Non
     first_words, rows = anchor_words(known, least), []
     for t in known:
         low, high = t.bounds(least)
-        anchors = [g for g in t.bigrams if not set(first_words).isdisjoint(g.split())]
-        rows.append({"name": t.name, "n_words": t.n_words, "low": low, "high": high, "bigrams": t.bigrams, "places": t.places, "anchors": anchors})
+        rows.append({"name": t.name, "n_words": t.n_words, "low": low, "high": high, "bigrams": t.bigrams, "places": t.places})
     table = F.from_json(F.lit(json.dumps(rows)), TABLE)  # folded to a literal before the query runs
-    all_anchors = sorted({a for r in rows for a in r["anchors"]})
+    all_bigrams = sorted({g for t in known for g in t.bigrams})
     literal = lambda items: F.from_json(F.lit(json.dumps(items)), "array<string>")
 
     def compared(t: Column, words: Column, grams: Column) -> Column:
@@ -255,10 +254,10 @@ def scan(docs: DataFrame, text: str = "text", known: list[Template] | None = Non
         sized = F.filter(found, lambda p: F.size(F.array_distinct(p["grams"])).between(t["low"], t["high"]))
         return F.flatten(F.transform(sized, lambda p: compared(t, p["words"], p["grams"])))
 
-    def windows(t: Column, words: Column, grams: Column) -> Column:
-        # where a window would begin if this bigram stood at its place; far off for bigrams that the template lacks
-        begin = lambda g, i: _let(F.array_position(t["bigrams"], g), lambda at: F.when(at > 0, i - F.get(t["places"], at.cast("int") - 1)))
-        begins = F.array_distinct(F.filter(F.transform(grams, begin), lambda b: b.isNotNull()))
+    def windows(t: Column, words: Column, grams: Column, hits: Column) -> Column:
+        # where a window would begin if this bigram stood at its place; null for bigrams that the template lacks
+        begin = lambda h: _let(F.array_position(t["bigrams"], h["gram"]), lambda at: F.when(at > 0, h["at"] - F.get(t["places"], at.cast("int") - 1)))
+        begins = F.array_distinct(F.filter(F.transform(hits, begin), lambda b: b.isNotNull()))
 
         def one(b: Column) -> Column:
             first = F.greatest(b, F.lit(0))
@@ -269,15 +268,19 @@ def scan(docs: DataFrame, text: str = "text", known: list[Template] | None = Non
         return F.flatten(F.transform(begins, one))
 
     def searched(words: Column, grams: Column) -> Column:
-        here = F.array_intersect(grams, literal(all_anchors))
-        chosen = lambda anchors: F.filter(table, lambda t: F.arrays_overlap(t["anchors"], anchors))
         parts = F.transform(passages(F.col(text)), lambda w: F.struct(w.alias("words"), _grams(w).alias("grams")))
 
-        def matches(candidates: Column) -> Column:
-            every = lambda found: F.flatten(F.transform(candidates, lambda t: F.concat(whole(t, found), windows(t, words, grams))))
-            return F.when(F.size(candidates) > 0, _let(parts, every)).otherwise(none)
+        def matches(candidates: Column, hits: Column) -> Column:
+            every = lambda found: F.flatten(F.transform(candidates, lambda t: F.concat(whole(t, found), windows(t, words, grams, hits))))
+            return _let(parts, every)
 
-        return _let(here, lambda anchors: F.when(F.size(anchors) > 0, _let(chosen(anchors), matches)).otherwise(none))
+        def counted(here: Column) -> Column:
+            # a passage shares no more bigrams with a template than the whole text does
+            candidates = F.filter(table, lambda t: F.size(F.array_intersect(t["bigrams"], here)) >= t["low"])
+            hits = F.filter(F.transform(grams, lambda g, i: F.struct(g.alias("gram"), i.alias("at"))), lambda h: F.array_contains(here, h["gram"]))
+            return _let(candidates, lambda c: F.when(F.size(c) > 0, _let(hits, lambda h: matches(c, h))).otherwise(none))
+
+        return _let(F.array_intersect(grams, literal(all_bigrams)), lambda here: F.when(F.size(here) > 0, counted(here)).otherwise(none))
 
     def best(found: Column) -> Column:
         ordered = F.array_sort(F.transform(found, lambda x: F.struct((-x["dice"]).alias("k"), x["license"].alias("license"), x["passage"].alias("passage"))))
@@ -286,6 +289,4 @@ def scan(docs: DataFrame, text: str = "text", known: list[Template] | None = Non
         return F.transform(first, lambda x: F.struct(x["license"].alias("license"), (-x["k"]).alias("dice"), x["passage"].alias("passage")))
 
     asked = lambda w: F.when(F.arrays_overlap(w, literal(first_words)), _let(_grams(w), lambda g: _let(searched(w, g), best))).otherwise(none)
-    # one cheap look for any of the words comes before a text is parted
-    hinted = F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(first_words)})(?![a-z0-9])")
-    return docs.withColumn(into, F.when(hinted, _let(_words(F.col(text)), asked)).otherwise(none))
+    return docs.withColumn(into, F.when(F.col(text).isNotNull(), _let(_words(F.col(text)), asked)).otherwise(none))
