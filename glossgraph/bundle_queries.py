@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glossgraph.bundles import table, with_tables
 from glossgraph.functions import digests
-from glossgraph.operators import accounting, changes, sets
+from glossgraph.operators import accounting, changes, ordering, sets
 from glossgraph.operators import violations as rules
 from glossgraph.plans import bindings
 from glossgraph.registry import query, read
@@ -712,3 +712,23 @@ def structured_bodies(spark, sf_dir):
     parsed = accounting.structured(F.col("body"), "DECISION", "decision string, turn long")
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body")).withColumn("p", parsed)
     return rows.select("conv_id", "turn", "p.decision", F.col("p.turn").alias("said"))
+
+
+# Contexts
+
+
+@query(
+    """SELECT l_orderkey, CASE WHEN count(DISTINCT l_linestatus) > 1 THEN 'several_variants' WHEN count(*) > count(DISTINCT l_partkey) THEN 'duplicate_component' END AS problem
+    FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linestatus) > 1 OR count(*) > count(DISTINCT l_partkey)"""
+)
+def context_problems(spark, sf_dir):
+    """Corpora (here orders) that were loaded as several variants, or with a component twice."""
+    line = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linestatus").alias("variant"), F.col("l_partkey").alias("component_id"))
+    return bindings.context_problems(line, "l_orderkey")
+
+
+@query("SELECT event_id, epoch_us(ts) AS at FROM events")
+def review_times(spark, sf_dir):
+    """Times that reviews write as text, as keys that sort; null where they are none."""
+    written = read(spark, sf_dir, "events").select("event_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("text"))
+    return written.select("event_id", F.unix_micros(ordering.time_key(F.col("text"))).alias("at"))

@@ -39,3 +39,8 @@ def utf16(c: Column) -> Column:
 def version_key(c: Column) -> Column:
     """Sort key of dotted versions, number by number."""
     return F.transform(F.split(c, r"\."), lambda x: x.cast("int"))
+
+
+def time_key(text: Column) -> Column:
+    """A time written by ISO 8601 as a timestamp; null where the text is none."""
+    return F.try_to_timestamp(text)

@@ -30,6 +30,13 @@ def compiled(mappings: DataFrame, projections: DataFrame) -> DataFrame:
     return projections.where("reviewed").drop("reviewed").withColumn("losses", losses).join(native, ["corpus", "mapping_id"])
 
 
+def context_problems(contexts: DataFrame, corpus: str = "corpus") -> DataFrame:
+    """(corpus, problem) of loaded components (corpus, variant, component_id): one variant a corpus, each component once."""
+    n, variants, distinct = F.count("*"), F.count_distinct("variant"), F.count_distinct("component_id")
+    found = contexts.groupBy(corpus).agg(F.when(variants > 1, "several_variants").when(n > distinct, "duplicate_component").alias("problem"))
+    return found.where("problem IS NOT NULL")
+
+
 def compile_problems(variants: DataFrame) -> DataFrame:
     """(corpus, release, category): variants that come twice, and releases of several signatures."""
     by = variants.groupBy("corpus", "release").agg(F.count("*").alias("n"), F.count_distinct("fingerprint", "parent_digest", F.coalesce("bundle_digest", F.lit(""))).alias("signatures"))

@@ -134,3 +134,9 @@ def test_digests_of_meaning(spark, tmp_path):
 
     files = [{"file_sha256": "sha256:" + hashlib.sha256(t.encode()).hexdigest(), "logical_path": n} for n, t in (("a", "x"), ("b", "y"))]
     assert digests.payload_digest(inventory(spark, f"{tmp_path}/*")).first().digest == digests.digest(files)
+
+
+def test_canonical_order_of_results(spark):
+    df = spark.createDataFrame([("b", 2), ("b", None), (None, 1), ("\U00010000", 1), ("￮", 1), ("b", 10)], "k string, n int")
+    assert [tuple(r) for r in bindings.ordered(df, "k", "n").collect()] == [(None, 1), ("b", None), ("b", 2), ("b", 10), ("\U00010000", 1), ("￮", 1)]
+    assert [r.n for r in bindings.first_of(df.where("k = 'b' AND n IS NOT NULL"), ["k"], ["n"]).collect()] == [2]
