@@ -120,17 +120,19 @@ def correspondence_nodes(spark, sf_dir):
     """From one native category to the nodes of the corpora that share it."""
     rows = catalog(spark, sf_dir)  # literals of corpus and feature prune all tables that a lookup doesn't need
     origin = correspondence.map_native(rows, "logistics", kind="value", node="line", feature="l_linestatus", value="F")
-    pairs = correspondence.correspondences(rows, "logistics").join(origin.select("target").distinct(), "target", "left_semi")
+    targets = [r.target for r in origin.select("target").distinct().collect()]  # of one selector: a few
+    pairs = correspondence.correspondences(rows.where(F.col("target").isin(targets)), "logistics")
     corpora = all_corpora(spark, sf_dir)
     wanted = pairs.where("a_feature = 'l_linestatus'").select("b_corpus", "b_node", "b_feature", "b_value", "target").distinct()
-    # selectors without their values: as many rows as the schemas have features
-    kinds = [r for r in wanted.select("b_corpus", "b_node", "b_feature").distinct().collect() if r.b_corpus in corpora and r.b_node in corpora[r.b_corpus].tables]
+    # selectors of one category: metadata, as many rows as catalogs have selectors for it
+    found = [r for r in wanted.collect() if r.b_corpus in corpora and r.b_node in corpora[r.b_corpus].tables]
     parts = []
-    for r in kinds:
-        rows_of = wanted.where((F.col("b_corpus") == r.b_corpus) & (F.col("b_node") == r.b_node) & (F.col("b_feature") == r.b_feature))
-        nodes = corpora[r.b_corpus].nodes(r.b_node).select("node", F.col(r.b_feature).cast("string").alias("b_value"))
-        named = {"b_corpus": "corpus", "b_node": "node_type", "b_feature": "feature", "b_value": "value"}
-        parts.append(nodes.join(rows_of, "b_value").select(*(F.col(c).alias(n) for c, n in named.items()), "target", "node"))
+    for corpus, node_type, feature in sorted({(r.b_corpus, r.b_node, r.b_feature) for r in found}):
+        chosen = [(r.b_value, r.target) for r in found if (r.b_corpus, r.b_node, r.b_feature) == (corpus, node_type, feature)]
+        rows_of = spark.createDataFrame(chosen, "value string, target string")
+        nodes = corpora[corpus].nodes(node_type).select("node", F.col(feature).cast("string").alias("value"))
+        nodes = nodes.where(F.col("value").isin([v for v, _ in chosen])).join(F.broadcast(rows_of), "value")
+        parts.append(nodes.select(F.lit(corpus).alias("corpus"), F.lit(node_type).alias("node_type"), F.lit(feature).alias("feature"), "value", "target", "node"))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
