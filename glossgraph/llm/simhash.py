@@ -22,7 +22,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossgraph.llm.common import cut, small_batches
@@ -221,6 +221,8 @@ BAND = 5
 SIMILAR = 0.7
 #: Shingles of a block of members; two blocks at most are in memory together.
 BLOCK_SHINGLES = 1 << 19
+#: Classes of size for each factor of e.
+CLASSES = 8
 _SALTS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * BAND), dtype=np.uint64)
 
 
@@ -299,17 +301,23 @@ def similar(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]
 def band_tasks(posted: DataFrame, most: int, least: float) -> DataFrame:
     """Rows (key, a, b, node): the members of each comparison, from rows (key, node, size).
 
-    Lists of the same members count once. The members of a list are put in order of size and cut into blocks of
-    at most `most` members and about BLOCK_SHINGLES shingles, and each block is compared with itself and with
-    each other one, but where no two sizes of theirs can reach `least`. So no list is too long: it has more tasks.
+    Lists of the same members count once. A list that is too long for one block (of about BLOCK_SHINGLES shingles, each
+    member counting for at least a `most`-th of them) is cut by classes of size, and each class into as many parts
+    as its sum asks for, by a hash; sums are by groups, so no task holds a whole list. Each block is compared with
+    itself and with each other one, but where no two sizes of theirs can reach `least`. So no list is too long: it
+    has more tasks.
     """
-    mixed = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)]
-    lists = posted.groupBy("key").agg(F.count("*").alias("n"), *mixed).where("n > 1")
-    kept = lists.groupBy("n", "x0", "x1").agg(F.min("key").alias("key")).select("key")
-    members = posted.join(kept, "key", "left_semi")
     weight = F.greatest(F.col("size"), F.lit(-(-BLOCK_SHINGLES // most)))
-    before = F.sum(weight).over(Window.partitionBy("key").orderBy("size", "node")) - weight
-    members = cut(members.withColumn("block", F.floor(before / BLOCK_SHINGLES).cast("long")))
+    mixed = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.sum(weight).alias("sum"), *mixed).where("n > 1")
+    kept = lists.groupBy("n", "sum", "x0", "x1").agg(F.min("key").alias("key")).select("key", "sum")
+    members = cut(posted.join(kept, "key"))
+    whole = members.where(F.col("sum") <= BLOCK_SHINGLES).withColumn("block", F.lit(0).cast("long"))
+    classed = members.where(F.col("sum") > BLOCK_SHINGLES).withColumn("class", F.floor(F.log("size") * CLASSES))
+    parts = classed.groupBy("key", "class").agg(F.ceil(F.sum(weight) / BLOCK_SHINGLES).alias("parts"))
+    part = F.pmod(F.xxhash64("node", F.lit(len(mixed))), F.col("parts"))
+    parted = classed.join(parts, ["key", "class"]).withColumn("block", F.shiftleft("class", 40) + part)
+    members = whole.select("key", "node", "size", "block").unionAll(parted.select("key", "node", "size", "block"))
     blocks = members.groupBy("key", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     one = blocks.select("key", F.col("block").alias("a"), F.col("high"))
     other = blocks.select("key", F.col("block").alias("b"), F.col("low"))
