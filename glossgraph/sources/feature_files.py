@@ -15,9 +15,13 @@ MARKERS = ("node", "edge", "config")
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, line) of whole files; positions begin with 0."""
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    unix = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
-    return whole.select("file", F.posexplode(F.split(unix, "\n")).alias("pos", "line"))
+    return text_lines(spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name()), "file", "value")
+
+
+def text_lines(rows: DataFrame, file: str, text: str) -> DataFrame:
+    """(file, pos, line) of texts that are whole feature files."""
+    unix = F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), "\r\n?", "\n")
+    return rows.select(F.col(file).alias("file"), F.posexplode(F.split(unix, "\n")).alias("pos", "line"))
 
 
 def headers(numbered: DataFrame) -> DataFrame:
@@ -30,8 +34,8 @@ def headers(numbered: DataFrame) -> DataFrame:
     kinds = F.collect_set(F.when(plain & key.isin(*MARKERS), key))
     entries = F.map_from_entries(F.collect_list(F.when(~plain | (key == "edgeValues"), F.struct(key, value))))
     found = head.groupBy("file").agg(kinds.alias("kinds"), entries.alias("entries"))
-    problem = F.when(F.size("kinds") != 1, "marker").when(F.map_contains_key("entries", F.lit("edgeValues")) & (F.element_at("kinds", 1) != "edge"), "edge_values")
-    return found.select("file", F.element_at("kinds", 1).alias("marker"), "entries", problem.alias("problem"))
+    problem = F.when(F.size("kinds") != 1, "marker").when(F.map_contains_key("entries", F.lit("edgeValues")) & (F.get("kinds", F.lit(0)) != "edge"), "edge_values")
+    return found.select("file", F.when(F.size("kinds") == 1, F.get("kinds", F.lit(0))).alias("marker"), "entries", problem.alias("problem"))
 
 
 def ranges(numbered: DataFrame) -> DataFrame:

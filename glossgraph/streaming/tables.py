@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossgraph.session import shared_folder
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as they arrive: files of the table's schema."""
@@ -25,12 +26,7 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days
 def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream's query to its end and read its result, which is written as Parquet in the shared folder."""
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    folder = f"{shared}/drained_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/drained_{uuid.uuid4().hex}"
     written = []
 
     def write(batch: DataFrame, number: int) -> None:

@@ -12,7 +12,7 @@ from glossgraph.operators import changes, paths, sets
 from glossgraph.operators import violations as rules
 from glossgraph.operators.selectors import SelectionError
 from glossgraph.plans import bindings
-from glossgraph.sources import corpus_files
+from glossgraph.sources import corpus_files, feature_files
 
 
 def test_corpus_from_feature_files(spark, tmp_path):
@@ -37,6 +37,13 @@ def test_corpus_from_feature_files(spark, tmp_path):
         corpus_files.load(spark, str(tmp_path), "tiny")
 
 
+def test_headers_without_one_kind(spark):
+    texts = [("a", "@nod\n@x=1\n\n1\tv"), ("b", "@node\n@edge\n\n1\tv"), ("c", "@node\n@edgeValues\n\n1\tv"), ("d", "\ufeff@edge\r\n@edgeValues\r\n\r\n1\t2\t3")]
+    numbered = feature_files.text_lines(spark.createDataFrame(texts, "file string, text string"), "file", "text")
+    found = {r.file: (r.marker, r.problem) for r in feature_files.headers(numbered).collect()}
+    assert found == {"a": (None, "marker"), "b": (None, "marker"), "c": ("node", "edge_values"), "d": ("edge", None)}
+
+
 def test_documents_bundles_and_releases(spark, tmp_path):
     item = lambda i, p: {"item_id": i, "kind": "value", "accounting": {"research": None, "production": p}}
     layer = {"assessments": ["exact"], "common_target": True, "source_ids": ["s"]}
