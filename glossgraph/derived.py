@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glossgraph.sources.catalog import MAPPING
 
@@ -29,21 +28,15 @@ DERIVED = (
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The MAPPING rows of DERIVED: one for each distinct value."""
+    quoted = lambda x: "NULL" if x is None else f"'{x}'"
+    # a table is opened once, however many selectors it has
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in dict.fromkeys(row[7] for row in DERIVED)}
     parts = []
     for corpus, version, kind, relation, prefix, node, feature, table, value in DERIVED:
-        values = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(F.expr(value).alias("value")).distinct().where("value IS NOT NULL")
-        row = {
-            "corpus": F.lit(corpus),
-            "source": F.lit(table),
-            "corpus_version": F.lit(version),
-            "kind": F.lit(kind),
-            "relation": F.lit(relation),
-            "target": F.concat(F.lit(prefix), "value") if prefix else F.lit(None),
-            "node": F.lit(node),
-            "feature": F.lit(feature),
-            "value": F.col("value"),
-        }
-        parts.append(values.select(*(row.get(c, F.lit(None)).cast("string").alias(c) for c in MAPPING)))
+        values = tables[table].selectExpr(f"{value} AS value").distinct().where("value IS NOT NULL")
+        row = {c: quoted(x) for c, x in (("corpus", corpus), ("source", table), ("corpus_version", version), ("kind", kind), ("relation", relation), ("node", node), ("feature", feature))}
+        row |= {"target": f"'{prefix}' || value" if prefix else "NULL", "value": "value"}
+        parts.append(values.selectExpr(*(f"CAST({row.get(c, 'NULL')} AS STRING) AS {c}" for c in MAPPING)))
     return functools.reduce(DataFrame.unionByName, parts)
 
 

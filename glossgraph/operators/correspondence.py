@@ -86,8 +86,9 @@ def resolve_nodes(corpus: TableCorpus, rows: DataFrame, version: str | None = No
     work is one scan of a type, however many values its catalog lists.
     """
     rows = rows.where((F.col("corpus") == corpus.name) & (F.col("relation") == "exact") & in_version(version))
-    features = rows.where("kind = 'value'").select("node", "feature").distinct().collect()  # features, not values: bounded by the schema
-    guards = rows.where("kind = 'node'").select("node", "feature", "target").distinct().collect()
+    # in one look: value rows by feature, which the schema bounds, and node rows with their targets
+    heads = rows.where("kind IN ('node', 'value')").select("kind", "node", "feature", F.when(F.col("kind") == "node", F.col("target")).alias("target")).distinct().collect()
+    features, guards = ([r for r in heads if r.kind == kind] for kind in ("value", "node"))
     parts = []
     for r in features:
         if r.node in corpus.tables and r.feature in corpus.tables[r.node].columns:

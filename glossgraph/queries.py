@@ -12,7 +12,7 @@ from glossgraph.operators import accounting, census, correspondence, ordering, p
 from glossgraph.plans import prerequisites, references, resolver
 from glossgraph.registry import query, read
 from glossgraph.sources import catalog as catalogs
-from glossgraph.sources.graph import SPAN, activity, all_corpora, commerce, library
+from glossgraph.sources.graph import CORPORA, SPAN, activity, all_corpora, commerce, library
 from glossgraph.streaming import tables as streams
 
 def node(type_number: int, key: str) -> str:
@@ -122,10 +122,11 @@ def correspondence_nodes(spark, sf_dir):
     origin = correspondence.map_native(rows, "logistics", kind="value", node="line", feature="l_linestatus", value="F")
     targets = [r.target for r in origin.select("target").distinct().collect()]  # of one selector: a few
     pairs = correspondence.correspondences(rows.where(F.col("target").isin(targets)), "logistics")
-    corpora = all_corpora(spark, sf_dir)
     wanted = pairs.where("a_feature = 'l_linestatus'").select("b_corpus", "b_node", "b_feature", "b_value", "target").distinct()
     # selectors of one category: metadata, as many rows as catalogs have selectors for it
-    found = [r for r in wanted.collect() if r.b_corpus in corpora and r.b_node in corpora[r.b_corpus].tables]
+    found = wanted.collect()
+    corpora = {name: load(spark, sf_dir) for name, load in CORPORA.items() if name in {r.b_corpus for r in found}}  # no other is opened
+    found = [r for r in found if r.b_corpus in corpora and r.b_node in corpora[r.b_corpus].tables]
     parts = []
     for corpus, node_type, feature in sorted({(r.b_corpus, r.b_node, r.b_feature) for r in found}):
         chosen = [(r.b_value, r.target) for r in found if (r.b_corpus, r.b_node, r.b_feature) == (corpus, node_type, feature)]

@@ -77,18 +77,13 @@ def offset(corpus: str, otype: str) -> int:
     return (TYPES[corpus].index(otype)) * SPAN
 
 
-def _numbered(df: DataFrame, corpus: str, otype: str, key) -> DataFrame:
-    key = F.col(key) if isinstance(key, str) else key
-    return df.withColumn("node", (key.cast("long") + F.lit(offset(corpus, otype) + 1)).cast("long"))
+def _numbered(df: DataFrame, corpus: str, otype: str, key: str) -> DataFrame:
+    return df.withColumn("node", F.expr(f"CAST({key} AS BIGINT) + {offset(corpus, otype) + 1}L"))
 
 
-def _edge(df: DataFrame, corpus: str, source: str, src: str, target: str, dst: str, value=None) -> DataFrame:
-    ends = df.select(
-        (F.col(src).cast("long") + (offset(corpus, source) + 1)).alias("src"),
-        (F.col(dst).cast("long") + (offset(corpus, target) + 1)).alias("dst"),
-        *([F.col(value).alias("value")] if value else []),
-    )
-    return ends
+def _edge(df: DataFrame, corpus: str, source: str, src: str, target: str, dst: str, value: str | None = None) -> DataFrame:
+    ends = (f"CAST({c} AS BIGINT) + {offset(corpus, t) + 1}L AS {end}" for c, t, end in ((src, source, "src"), (dst, target, "dst")))
+    return df.selectExpr(*ends, *([f"{value} AS value"] if value else []))
 
 
 def commerce(spark: SparkSession, sf_dir: str) -> TableCorpus:
@@ -144,7 +139,7 @@ def library(spark: SparkSession, sf_dir: str) -> TableCorpus:
         {
             "document": _numbered(read("documents"), "library", "document", "doc_id"),
             "page": _numbered(pages, "library", "page", "page_id"),
-            "turn": _numbered(read("conversations"), "library", "turn", F.col("conv_id") * 1000 + F.col("turn")),
+            "turn": _numbered(read("conversations"), "library", "turn", "conv_id * 1000 + turn"),
             "item": _numbered(read("benchmark"), "library", "item", "item_id"),
             "vector": _numbered(read("embeddings"), "library", "vector", "vec_id"),
         },
@@ -153,6 +148,10 @@ def library(spark: SparkSession, sf_dir: str) -> TableCorpus:
     )
 
 
+#: How each corpus is opened.
+CORPORA = {"commerce": commerce, "activity": activity, "library": library}
+
+
 def all_corpora(spark: SparkSession, sf_dir: str) -> dict[str, TableCorpus]:
     """The three corpora by name."""
-    return {c.name: c for c in (commerce(spark, sf_dir), activity(spark, sf_dir), library(spark, sf_dir))}
+    return {name: load(spark, sf_dir) for name, load in CORPORA.items()}
