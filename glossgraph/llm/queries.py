@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossgraph.llm import langid, licenses, media, mixing, packing, pii, quality, simhash, toxicity, urlfilter
+from glossgraph.llm import langid, licenses, media, mixing, packing, pii, quality, secrets, simhash, toxicity, urlfilter
 from glossgraph.llm.common import cut, n_words
 
 
@@ -133,6 +133,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans of secrets; null texts have none."""
+    found = secrets.find(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    names = [k.name for k in secrets.BASE_KINDS]
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *map(count, [*names, secrets.ENTROPY]),
+        F.sha2(secrets.digest(F.col("secrets"), tuple(names)), 256).alias("base_sha256"),
+        secrets.digest(F.col("secrets")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -144,6 +157,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op12_secret_scan": op12_secret_scan,
 }
 OP3_SQL = r"""
 WITH sized AS (
@@ -202,4 +216,41 @@ m AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b % 4 <> 0 AS base_failed, b = 0 AS kept, CAST(b AS BIGINT) AS fail_bits FROM bits
 """
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op3_source_mixing": OP3_SQL}
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: Windows are counted anew one by one here, and spans placed by sums over all pieces before them.
+OP12_SQL = rf"""
+WITH kinds(kind, rank, pattern, part, least) AS (
+  VALUES {", ".join(f"({_quoted(k.name)}, {n}, {_quoted(k.pattern.replace('++', '+').replace('}+', '}').replace('?+', '?').replace('*+', '*'))}, {k.group}, {k.least})" for n, k in enumerate((*secrets.BASE_KINDS, secrets.Base(secrets.ENTROPY, secrets.CANDIDATE, 0, secrets.WINDOW, ""))))}
+), classes(letters, most) AS (VALUES {", ".join(f"({_quoted(k.characters)}, {k.most})" for k in secrets.CLASSES)}),
+found AS (
+  SELECT doc_id, kind, rank, least, regexp_extract_all(coalesce(text, ''), pattern) AS m, CASE part WHEN 1 THEN regexp_extract_all(coalesce(text, ''), pattern, 1) ELSE regexp_extract_all(coalesce(text, ''), pattern) END AS g,
+         string_split_regex(coalesce(text, ''), pattern) AS pieces
+  FROM documents, kinds
+), placed AS (
+  SELECT doc_id, kind, rank, least, m[i] AS x, g[i] AS part, list_sum(list_transform(pieces[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda p: length(p))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found)
+), candidates AS (
+  SELECT DISTINCT x FROM placed WHERE kind = {_quoted(secrets.ENTROPY)} AND regexp_matches(x, '[0-9]') AND NOT regexp_matches(x, {_quoted("|".join(f"(?:{a})" for a in secrets.ALLOWED))})
+), windows AS (
+  SELECT x, letters, most, string_split(substr(x, i, {secrets.WINDOW}), '') AS w
+  FROM (SELECT x, unnest(range(1, length(x) - {secrets.WINDOW} + 2)) AS i FROM candidates), classes
+), telling AS (
+  SELECT DISTINCT x FROM windows
+  WHERE len(list_filter(w, lambda c: strpos(letters, c) = 0)) = 0
+    AND list_sum(list_transform(list_distinct(w), lambda c: ({list(secrets.SURPRISE)})[1 + len(list_filter(w, lambda d: d = c))])) <= most
+), spans AS (
+  SELECT doc_id, kind, rank, start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(x) AS BIGINT) AS span
+  FROM placed WHERE CASE WHEN kind = {_quoted(secrets.ENTROPY)} THEN x IN (SELECT x FROM telling) ELSE length(part) >= least END
+), summed AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (kind = 'entropy') AS n_entropy,
+         string_agg(span, ',' ORDER BY start, rank) FILTER (kind <> 'entropy') AS base, string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN summed USING (doc_id)
+"""
+ORACLES: dict[str, str] = {"op12_secret_scan": OP12_SQL, "op2_quality_rules": OP2_SQL, "op3_source_mixing": OP3_SQL}
