@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossgraph.llm import langid, licenses, media, mixing, packing, pii, quality, secrets, simhash, toxicity, urlfilter
+from glossgraph.llm import collocations, langid, licenses, media, mixing, packing, pii, quality, secrets, simhash, toxicity, urlfilter
 from glossgraph.llm.common import cut, n_words
 
 
@@ -146,6 +146,11 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language over all documents; null texts have none."""
+    return collocations.mine(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -158,6 +163,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
     "op12_secret_scan": op12_secret_scan,
+    "op13_collocations": op13_collocations,
 }
 OP3_SQL = r"""
 WITH sized AS (
@@ -253,4 +259,27 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN summed USING (doc_id)
 """
-ORACLES: dict[str, str] = {"op12_secret_scan": OP12_SQL, "op2_quality_rules": OP2_SQL, "op3_source_mixing": OP3_SQL}
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), parted AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+places AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM parted, (VALUES (1), (2), (3), (4)) AS lengths(k) WHERE len(ws) >= k),
+counted AS (SELECT lang, k, ws[i:i + k - 1] AS ws, count(*) AS n FROM places GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang),
+often AS (SELECT * FROM counted WHERE n >= 30),
+cuts AS (SELECT lang, ws, n AS a, unnest(range(1, k)) AS c FROM often WHERE k > 1),
+priced AS (
+  SELECT cuts.lang, cuts.ws, a, c, x.n AS l, y.n AS r, (CAST(2000000 AS HUGEINT) * a) // (x.n + y.n) AS score
+  FROM cuts JOIN often x ON x.lang = cuts.lang AND x.ws = cuts.ws[1:c] JOIN often y ON y.lang = cuts.lang AND y.ws = cuts.ws[c + 1:]
+), lowest AS (SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, c) = 1),
+inner_phrases AS (
+  SELECT lang, ws[i:i + m - 1] AS ws, n FROM (SELECT lang, ws, k, m, n, unnest(range(1, k - m + 2)) AS i FROM often, (VALUES (2), (3)) AS shorter(m) WHERE k > m)
+), covering AS (SELECT lang, ws, max(n) AS n FROM inner_phrases GROUP BY ALL),
+free AS (
+  SELECT lowest.*, array_to_string(lowest.ws, ' ') AS phrase FROM lowest LEFT JOIN covering ON covering.lang = lowest.lang AND covering.ws = lowest.ws
+  WHERE covering.n IS NULL OR CAST(100 AS HUGEINT) * covering.n < CAST(80 AS HUGEINT) * a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT ranked.lang, rank, phrase, a, l, r, totals.n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+"""
+ORACLES: dict[str, str] = {"op12_secret_scan": OP12_SQL, "op13_collocations": OP13_SQL, "op2_quality_rules": OP2_SQL, "op3_source_mixing": OP3_SQL}
