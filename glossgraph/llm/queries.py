@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossgraph.llm import collocations, langid, licenses, media, mixing, packing, pii, quality, secrets, simhash, toxicity, urlfilter
+from glossgraph.llm import collocations, langid, licenses, media, mixing, packing, pii, prefix_trie, quality, secrets, simhash, toxicity, urlfilter
 from glossgraph.llm.common import cut, n_words
 
 
@@ -133,6 +133,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations that begin with turns of others; rows without conv_id are left out."""
+    return prefix_trie.prefix_trie(*prefix_trie.borrowed(prefix_trie.numbered(_table(spark, sf_dir, "conversations"))))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's spans of secrets; null texts have none."""
     found = secrets.find(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets")
@@ -162,6 +167,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_secret_scan": op12_secret_scan,
     "op13_collocations": op13_collocations,
 }
@@ -282,4 +288,36 @@ free AS (
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
 SELECT ranked.lang, rank, phrase, a, l, r, totals.n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
 """
-ORACLES: dict[str, str] = {"op12_secret_scan": OP12_SQL, "op13_collocations": OP13_SQL, "op2_quality_rules": OP2_SQL, "op3_source_mixing": OP3_SQL}
+#: A node is known by the joined digests of its turns; CRC-32 is computed bit by bit.
+OP11_SQL = r"""
+WITH ordered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), sizes AS (SELECT conv_id, count(*) AS own FROM ordered GROUP BY conv_id),
+bits AS (
+  SELECT conv_id, own, list_reduce(flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, (crc & 1) * 3988292384) END, CAST(4294967295 AS BIGINT)) AS crc
+  FROM sizes
+), plan AS (SELECT bits.conv_id, bits.own, xor(crc, 4294967295) % 9 AS h, bits.conv_id - bits.conv_id % 5 AS base FROM bits),
+full_plan AS (SELECT plan.*, least(h, coalesce(sizes.own, 0)) AS k FROM plan LEFT JOIN sizes ON sizes.conv_id = plan.base),
+turns AS (
+  SELECT p.conv_id, pos, role, text FROM full_plan p JOIN ordered o ON o.conv_id = p.base WHERE pos <= h
+  UNION ALL
+  SELECT p.conv_id, pos - h + k, role, text FROM full_plan p JOIN ordered o ON o.conv_id = p.conv_id WHERE pos > h
+), paths AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS depth, '' AS node, CAST(0 AS BIGINT) AS bytes FROM full_plan
+  UNION ALL
+  SELECT conv_id, CAST(pos AS BIGINT), string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY pos), octet_length(encode(text)) FROM turns
+), lengths AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+nodes AS (SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes, CASE WHEN depth > 0 THEN left(node, 32 * (depth - 1)) END AS parent FROM paths GROUP BY node, depth),
+children AS (SELECT parent AS node, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+above AS (
+  SELECT p.node, sum((u.n_convs - 1) * u.bytes) AS saved, count(*) FILTER (u.node NOT IN (SELECT node FROM children)) AS leaves
+  FROM nodes u JOIN paths p ON p.conv_id = u.conv_id AND p.depth <= u.depth GROUP BY p.node
+), ends AS (
+  SELECT p.node, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) AS ids FROM paths p JOIN lengths l ON l.conv_id = p.conv_id AND l.depth = p.depth GROUP BY p.node
+)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, CAST(a.leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes up ON up.node = n.parent LEFT JOIN children c ON c.node = n.node JOIN above a ON a.node = n.node LEFT JOIN ends e ON e.node = n.node
+"""
+ORACLES: dict[str, str] = {"op11_prefix_trie": OP11_SQL, "op12_secret_scan": OP12_SQL, "op13_collocations": OP13_SQL, "op2_quality_rules": OP2_SQL, "op3_source_mixing": OP3_SQL}
