@@ -42,6 +42,8 @@ BATCH = 1 << 21
 BUCKET_WORDS = 1 << 21
 FILTER_BITS = 27
 PROBES = 3
+#: Phrases that a task of the last scans holds at once.
+SPELLED = 1 << 20
 #: Parts into which the phrases of one language are dealt to be ranked.
 RANK_PARTS = 64
 #: Everything that ends a piece becomes a full stop, a tab becomes a space, A-Z become a-z.
@@ -229,6 +231,13 @@ def _merged(sums: DataFrame, step: int, shards: int, least: int) -> DataFrame:
     return sums.groupBy("k", "bucket").applyInArrow(of, _STATE)
 
 
+def _hashed(batches):
+    for batch in batches:
+        pairs = zip(batch["lang"].to_pylist(), batch["word"].to_pylist(), strict=True)
+        keys = np.array([word_hashes(lang, [word.encode()])[0] for lang, word in pairs], dtype=np.uint64)
+        yield pa.record_batch([pa.array([1], pa.int32()), pa.array([keys.tobytes()], pa.binary())], ["k", "reached"])
+
+
 def _filters(state: DataFrame) -> dict[int, Filter]:
     """A filter for each length of which phrases reached the threshold, of at most 2^FILTER_BITS bits."""
     sizes = {r.k: r.n for r in state.groupBy("k").agg(F.sum(F.length("reached") / 8).cast("long").alias("n")).collect() if r.n}
@@ -258,28 +267,41 @@ def _filters(state: DataFrame) -> dict[int, Filter]:
     return out
 
 
-def _exact(paged: DataFrame, filters, longest: int) -> DataFrame:
-    """Rows (lang, k, phrase, n): the occurrences of all phrases that the filters have."""
+def _exact(paged: DataFrame, filters, lengths: range) -> DataFrame:
+    """Rows (lang, k, phrase, n): the occurrences of all phrases of these lengths that the filters have."""
 
     def counted(batches):
+        held: dict[tuple[str, int], dict[bytes, int]] = {}
+
+        def flush():
+            for (lang, k), sums in held.items():
+                yield pa.record_batch(
+                    [pa.array([lang] * len(sums), pa.string()), pa.array(np.full(len(sums), k, dtype=np.int32)), pa.array(list(sums), pa.binary()).cast(pa.string()), pa.array(list(sums.values()), pa.int64())],
+                    ["lang", "k", "phrase", "n"],
+                )
+            held.clear()
+
         for batch in batches:
             for lang, words, codes in zip(batch["lang"].to_pylist(), batch["words"], batch["codes"].to_pylist(), strict=True):
                 dictionary = words.values
-                for k, parts, counts, hashes, _ in phrases_of(np.frombuffer(codes, np.int32), word_hashes(lang, words.as_py()), filters.value, longest):
-                    kept = np.flatnonzero(_latest(filters.value.get(k, {}), hashes) >= 0)
-                    spelled = [dictionary.take(pa.array(parts[kept, j])) for j in range(k)]
-                    phrase = spelled[0] if k == 1 else pc.binary_join_element_wise(*spelled, b" ")
-                    yield pa.record_batch(
-                        [pa.array([lang] * len(kept), pa.string()), pa.array(np.full(len(kept), k, dtype=np.int32)), phrase.cast(pa.string()), pa.array(counts[kept].astype(np.int64))],
-                        ["lang", "k", "phrase", "n"],
-                    )
+                for k, parts, counts, hashes, _ in phrases_of(np.frombuffer(codes, np.int32), word_hashes(lang, words.as_py()), filters.value, lengths[-1]):
+                    kept = np.flatnonzero(_latest(filters.value.get(k, {}), hashes) >= 0) if k in lengths else ()
+                    if len(kept):
+                        spelled = [dictionary.take(pa.array(parts[kept, j])) for j in range(k)]
+                        phrases = spelled[0] if k == 1 else pc.binary_join_element_wise(*spelled, b" ")
+                        sums = held.setdefault((lang, k), {})
+                        for phrase, n in zip(phrases.to_pylist(), counts[kept].tolist(), strict=True):
+                            sums[phrase] = sums.get(phrase, 0) + n
+                if sum(map(len, held.values())) >= SPELLED:
+                    yield from flush()
+        yield from flush()
 
     found = paged.select("lang", "words", "codes").mapInArrow(counted, "lang string, k int, phrase string, n long")
     return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
 
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (lang, k, phrase, n) of all phrases up to `longest` words with n >= least, and (lang, n) of all words."""
+    """Two tables: (lang, k, phrase, n) of all phrases of 2 to `longest` words with n >= least and of their words, and (lang, n) of all words."""
     spark = docs.sparkSession
     folder = f"{checkpoint_dir(spark)}/collocations-{uuid.uuid4().hex}"
     pages(docs, text, lang, shards).write.partitionBy("shard").option("compression", "zstd").parquet(folder)
@@ -300,8 +322,11 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
         for k, made in _filters(state).items():
             filters = {**filters, k: {**filters.get(k, {}), step: made}}
         step += 1
-    exact = _exact(paged, spark.sparkContext.broadcast(filters), longest)
-    return cut(exact.where(F.col("n") >= least)), totals
+    exact = cut(_exact(paged, spark.sparkContext.broadcast(filters), range(2, longest + 1)).where(F.col("n") >= least))
+    # words count where a phrase has them alone
+    parts = _filters(exact.where("k = 2").select("lang", F.explode(F.split("phrase", " ")).alias("word")).distinct().mapInArrow(_hashed, "k int, reached binary"))
+    words = _exact(paged, spark.sparkContext.broadcast({k: {0: f} for k, f in parts.items()}), range(1, 2)).where(F.col("n") >= least)
+    return cut(exact.unionByName(words)), totals
 
 
 def _joined(words: Column, first: Column | int, n: Column | int) -> Column:

