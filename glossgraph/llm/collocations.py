@@ -7,7 +7,7 @@ leave out its last or its first word have reached the threshold: from the next s
 occurs, while shorter phrases are still being counted in the same scans. It stays for one full cycle, so that it has
 seen each shard once, whatever shard it began with. The scans end when no phrase is active.
 
-In these scans a phrase is known by a 64-bit hash. Each task sums up its phrases and sends them to buckets of hashes,
+In these scans a phrase is known by a hash of KEY_BITS bits. Each task sums up its phrases and sends them to buckets of hashes,
 where they are added to the phrases that are still being counted; a bucket has a bounded number of them, and phrases that
 completed their cycle leave. Those that reached the threshold in a step become a Bloom filter of at most FILTER_BITS
 bits, by which later scans know what to activate. Hashes that collide and filters that are full only make for more
@@ -42,6 +42,10 @@ BATCH = 1 << 21
 BUCKET_WORDS = 1 << 21
 FILTER_BITS = 27
 PROBES = 3
+#: Bits of a hash that count, and bytes of a key in sums: the bits below.
+KEY_BITS = 48
+_KEY_BYTES = 6
+_MOST = 2**31 - 1
 #: Phrases that a task of the last scans holds at once.
 SPELLED = 1 << 20
 #: Parts into which the phrases of one language are dealt to be ranked.
@@ -67,7 +71,8 @@ def pages(docs: DataFrame, text: str, lang: str, shards: int) -> DataFrame:
     """Rows of pages: shard, language, number of words, dictionary (separator first) and codes."""
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
-        lists = pa.array([r["words"].to_pylist() for r in rows], pa.list_(pa.binary()))
+        words = pa.concat_arrays([r["words"] for r in rows])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r["words"]) for r in rows)]), pa.int32()), words)
         return pa.record_batch(
             [pa.array([r["shard"] for r in rows], pa.int32()), pa.array([r["lang"] for r in rows]), pa.array([r["n_words"] for r in rows], pa.int64()), lists, pa.array([r["codes"] for r in rows], pa.binary())],
             ["shard", "lang", "n_words", "words", "codes"],
@@ -108,7 +113,7 @@ class Filter:
 
     @staticmethod
     def places(hashes: np.ndarray, log: int) -> list[np.ndarray]:
-        return [(hashes * np.uint64(odd)) >> np.uint64(64 - log) for odd in _ODD[:PROBES]]
+        return [(_key(hashes) * np.uint64(odd)) >> np.uint64(64 - log) for odd in _ODD[:PROBES]]
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         found = np.ones(len(hashes), dtype=bool)
@@ -126,6 +131,20 @@ def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(head + w) for w in words], dtype=np.uint64)
 
 
+def _key(hashes: np.ndarray) -> np.ndarray:
+    return hashes & np.uint64(2**KEY_BITS - 1)
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // _KEY_BYTES, 8), dtype=np.uint8)
+    out[:, :_KEY_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _KEY_BYTES)
+    return out.view("<u8").ravel()
+
+
 def _joined_hash(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
     mixed = (phrase ^ (phrase >> np.uint64(31))) * np.uint64(_ODD[0]) + word
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(_ODD[1])
@@ -155,8 +174,12 @@ def phrases_of(codes: np.ndarray, hashes: np.ndarray, filters: Filters, longest:
         p = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
         if not len(p):
             return
-        _, first, inverse, counts = np.unique(ids[p] * v + codes[p + k - 1], return_index=True, return_inverse=True, return_counts=True)
-        begin = p[first]
+        pairs = ids[p] * v + codes[p + k - 1]
+        order = np.argsort(pairs)
+        fresh = np.diff(pairs[order], prepend=-1) != 0
+        starts, inverse = np.flatnonzero(fresh), np.empty(len(p), dtype=np.int64)
+        inverse[order] = np.cumsum(fresh) - 1
+        counts, begin = np.diff(starts, append=len(p)), p[order[starts]]
         found = _joined_hash(id_hashes[ids[begin]], hashes[codes[begin + k - 1]])
         yield k, codes[begin[:, None] + np.arange(k)], counts, found, np.maximum(at[begin], at[begin + 1]) + 1
         reach = _latest(filters.get(k, {}), found)
@@ -185,12 +208,12 @@ def _scan(paged: DataFrame, filters, step: int, shards: int, longest: int, bucke
             nonlocal size
             for k, parts in held.items():
                 keys, counts, starts = _summed(*_folds(*map(np.concatenate, zip(*parts, strict=True))))
-                bucket = (keys >> np.uint64(64 - buckets_log)).astype(np.int64)
+                bucket = (keys >> np.uint64(KEY_BITS - buckets_log)).astype(np.int64)
                 edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else np.zeros(1, dtype=np.int64)
                 cuts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-                column = lambda a, cuts=cuts: pa.array([a[x:y].tobytes() for x, y in cuts], pa.binary())
+                column = lambda a, raw=np.ndarray.tobytes, cuts=cuts: pa.array([raw(a[x:y]) for x, y in cuts], pa.binary())
                 yield pa.record_batch(
-                    [pa.array([k] * len(cuts), pa.int32()), pa.array(bucket[edges[:-1]]), pa.array([False] * len(cuts)), column(keys), column(counts.astype(np.int64)), column(starts.astype(np.int16))],
+                    [pa.array([k] * len(cuts), pa.int32()), pa.array(bucket[edges[:-1]]), pa.array([False] * len(cuts)), column(keys, _packed), column(np.minimum(counts, _MOST).astype(np.int32)), column(starts.astype(np.int16))],
                     ["k", "bucket", "old", "keys", "counts", "starts"],
                 )
             held.clear()
@@ -201,7 +224,7 @@ def _scan(paged: DataFrame, filters, step: int, shards: int, longest: int, bucke
                 for k, _, counts, hashes, starts in phrases_of(np.frombuffer(codes, np.int32), word_hashes(lang, words.as_py()), filters.value, longest):
                     active = np.flatnonzero(starts > step - shards)
                     if len(active):
-                        held.setdefault(k, []).append((hashes[active], counts[active], starts[active]))
+                        held.setdefault(k, []).append((_key(hashes[active]), counts[active], starts[active]))
                         size += len(active)
                 if size >= BATCH:
                     yield from flush()
@@ -219,14 +242,15 @@ def _merged(sums: DataFrame, step: int, shards: int, least: int) -> DataFrame:
 
     def of(table: pa.Table) -> pa.Table:
         column = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()])
-        keys, counts, starts = column("keys", np.uint64), column("counts", np.int64), column("starts", np.int16)
-        sizes = [len(x) // 8 for x in table["keys"].to_pylist()]
+        keys = np.concatenate([_unpacked(x) for x in table["keys"].to_pylist()])
+        counts, starts = column("counts", np.int32).astype(np.int64), column("starts", np.int16)
+        sizes = [len(x) // _KEY_BYTES for x in table["keys"].to_pylist()]
         before = np.where(np.repeat(table["old"].to_numpy(), sizes), counts, 0)
         keys, counts, starts, before = _summed(keys, (np.add, counts), (np.maximum, starts), (np.add, before))
         reached = keys[(counts >= least) & (before < least)]
         active = starts + shards - 1 > step
-        out = [keys[active], counts[active], starts[active], reached]
-        return pa.table([table["k"][:1], table["bucket"][:1], *(pa.array([x.tobytes()], pa.binary()) for x in out)], ["k", "bucket", "keys", "counts", "starts", "reached"])
+        out = [_packed(keys[active]), np.minimum(counts[active], _MOST).astype(np.int32).tobytes(), starts[active].tobytes(), reached.tobytes()]
+        return pa.table([table["k"][:1], table["bucket"][:1], *(pa.array([x], pa.binary()) for x in out)], ["k", "bucket", "keys", "counts", "starts", "reached"])
 
     return sums.groupBy("k", "bucket").applyInArrow(of, _STATE)
 
