@@ -9,13 +9,16 @@ where the template has it.
 A passage that reaches the least Dice coefficient has at least two thirds (at 0.8) of a template's bigrams. A few
 words are chosen so that no template keeps as many without them. A text without these words is compared with
 nothing, and another one only with templates of which it has two thirds of the bigrams. The templates are one
-literal table, so their number doesn't change the plan.
+literal table, so their number doesn't change the plan. Each template keeps its best match alone, so the work grows
+with a text's length, and not with its square, however many matches it has.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,10 +159,9 @@ class Template:
     places: tuple[int, ...]
 
     def bounds(self, least: float) -> tuple[int, int]:
-        """Sizes of the bigram sets that can reach `least`: b t / (2 - t) to b (2 - t) / t."""
-        b = len(self.bigrams)
-        low, high = b * least / (2 - least), b * (2 - least) / least
-        return -int(-low // 1), int(high)
+        """Sizes of the bigram sets that can reach `least`: b t / (2 - t) to b (2 - t) / t, in whole numbers."""
+        b, t = len(self.bigrams), Fraction(str(least))
+        return math.ceil(b * t / (2 - t)), math.floor(b * (2 - t) / t)
 
 
 #: Letters from which on a word counts as rare.
@@ -233,7 +235,7 @@ def scan(docs: DataFrame, text: str = "text", known: list[Template] | None = Non
     named `into`.
     """
     known = templates() if known is None else known
-    none = F.array().cast(FOUND)
+    none, nothing = F.array().cast(FOUND), F.array().cast("array<struct<k:double,license:string,passage:string>>")
     if not known:
         return docs.withColumn(into, none)
     first_words, rows = anchor_words(known, least), []
@@ -244,15 +246,15 @@ def scan(docs: DataFrame, text: str = "text", known: list[Template] | None = Non
     all_bigrams = sorted({g for t in known for g in t.bigrams})
     literal = lambda items: F.from_json(F.lit(json.dumps(items)), "array<string>")
 
-    def compared(t: Column, words: Column, grams: Column) -> Column:
-        """The match of some words with a template, in an array, or no match."""
-        dice = 2.0 * F.size(F.array_intersect(grams, t["bigrams"])) / (F.size(F.array_distinct(grams)) + F.size(t["bigrams"]))
-        hit = lambda d: F.array(F.struct(t["name"].alias("license"), d.alias("dice"), F.array_join(words, " ").alias("passage")))
-        return _let(dice, lambda d: F.when(d >= least, hit(d)).otherwise(none))
+    def compared(t: Column, words: Column, grams: Column, size: Column) -> Column:
+        """The match of some words with a template, the better one the smaller; null if there is none."""
+        dice = 2.0 * F.size(F.array_intersect(grams, t["bigrams"])) / (size + F.size(t["bigrams"]))
+        hit = lambda d: F.struct((-d).alias("k"), t["name"].alias("license"), F.array_join(words, " ").alias("passage"))
+        return _let(dice, lambda d: F.when(d >= least, hit(d)))
 
     def whole(t: Column, found: Column) -> Column:
-        sized = F.filter(found, lambda p: F.size(F.array_distinct(p["grams"])).between(t["low"], t["high"]))
-        return F.flatten(F.transform(sized, lambda p: compared(t, p["words"], p["grams"])))
+        sized = F.filter(found, lambda p: p["size"].between(t["low"], t["high"]))
+        return F.transform(sized, lambda p: compared(t, p["words"], p["grams"], p["size"]))
 
     def windows(t: Column, words: Column, grams: Column, hits: Column) -> Column:
         # where a window would begin if this bigram stood at its place; null for bigrams that the template lacks
@@ -262,28 +264,29 @@ def scan(docs: DataFrame, text: str = "text", known: list[Template] | None = Non
         def one(b: Column) -> Column:
             first = F.greatest(b, F.lit(0))
             n = F.least(b + t["n_words"], F.size(words)) - first
-            part = compared(t, F.slice(words, first + 1, n), F.slice(grams, first + 1, n - 1))
-            return F.when((n - 1) >= t["low"], part).otherwise(none)
+            part = _let(F.slice(grams, first + 1, n - 1), lambda g: compared(t, F.slice(words, first + 1, n), g, F.size(F.array_distinct(g))))
+            return F.when((n - 1) >= t["low"], part)
 
-        return F.flatten(F.transform(begins, one))
+        return F.transform(begins, one)
 
     def searched(words: Column, grams: Column) -> Column:
-        parts = F.transform(passages(F.col(text)), lambda w: F.struct(w.alias("words"), _grams(w).alias("grams")))
+        parts = F.transform(passages(F.col(text)), lambda w: _let(_grams(w), lambda g: F.struct(w.alias("words"), g.alias("grams"), F.size(F.array_distinct(g)).alias("size"))))
 
         def matches(candidates: Column, hits: Column) -> Column:
-            every = lambda found: F.flatten(F.transform(candidates, lambda t: F.concat(whole(t, found), windows(t, words, grams, hits))))
-            return _let(parts, every)
+            best_of = lambda t, found: F.array_min(F.concat(whole(t, found), windows(t, words, grams, hits)))
+            return _let(parts, lambda found: F.filter(F.transform(candidates, lambda t: best_of(t, found)), lambda x: x.isNotNull()))
 
         def counted(here: Column) -> Column:
             # a passage shares no more bigrams with a template than the whole text does
             candidates = F.filter(table, lambda t: F.size(F.array_intersect(t["bigrams"], here)) >= t["low"])
-            hits = F.filter(F.transform(grams, lambda g, i: F.struct(g.alias("gram"), i.alias("at"))), lambda h: F.array_contains(here, h["gram"]))
-            return _let(candidates, lambda c: F.when(F.size(c) > 0, _let(hits, lambda h: matches(c, h))).otherwise(none))
+            hits = F.filter(F.transform(grams, lambda g, i: F.struct(g.alias("gram"), i.alias("at"))), lambda h: h["gram"].isin(all_bigrams))
+            return _let(candidates, lambda c: F.when(F.size(c) > 0, _let(hits, lambda h: matches(c, h))).otherwise(nothing))
 
-        return _let(F.array_intersect(grams, literal(all_bigrams)), lambda here: F.when(F.size(here) > 0, counted(here)).otherwise(none))
+        return _let(F.array_intersect(grams, literal(all_bigrams)), lambda here: F.when(F.size(here) > 0, counted(here)).otherwise(nothing))
 
     def best(found: Column) -> Column:
-        ordered = F.array_sort(F.transform(found, lambda x: F.struct((-x["dice"]).alias("k"), x["license"].alias("license"), x["passage"].alias("passage"))))
+        # one match a template at most
+        ordered = F.array_sort(found)
         names = F.transform(ordered, lambda x: x["license"])
         first = F.filter(ordered, lambda x, i: F.array_position(names, x["license"]) == i + 1)
         return F.transform(first, lambda x: F.struct(x["license"].alias("license"), (-x["k"]).alias("dice"), x["passage"].alias("passage")))

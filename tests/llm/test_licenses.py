@@ -1,5 +1,7 @@
 import json
 import re
+import time
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +101,33 @@ def test_no_templates_clashing_columns_and_empty_tables(spark):
     row = licenses.scan(df).first()
     assert row.licenses[0].license == "MIT" and row._license_low == "k"
     assert json.dumps(licenses.templates((("x", "one"),))) == "[]" and licenses.scan(df.select(F.col("text").alias("body")), "body").count() == 1
+
+
+def test_size_bounds_are_those_of_whole_numbers():
+    """No size that can reach the threshold is left out, and none that can't is let in."""
+    for least in (0.8, 0.7, 0.85, 2 / 3):
+        t = Fraction(str(least))
+        for b in range(1, 400):
+            low, high = licenses.Template("x", b + 1, tuple(map(str, range(b))), tuple(range(b))).bounds(least)
+            reach = [a for a in range(1, 4 * b + 4) if Fraction(2 * min(a, b), a + b) >= t]
+            assert (low, high) == (reach[0], reach[-1]), (least, b)
+
+
+def test_matches_at_the_threshold_count(spark):
+    texts = ["licensed under the bsd zero", "some file\nlicensed under the BSD zero\n(2020)", "licensed under the bsd"]
+    rows = licenses.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    found = {r.text: [(x.license, x.dice) for x in r.licenses if x.license == "0BSD"] for r in rows}
+    assert found == {texts[0]: [("0BSD", 0.8)], texts[1]: [("0BSD", 0.8)], texts[2]: []}
+
+
+def test_long_licence_files_take_linear_work(spark):
+    whole = licenses.TEXTS[1][1]
+
+    def seconds(n):
+        began = time.perf_counter()
+        found = licenses.scan(spark.createDataFrame([((whole + " ") * n,)], "text string")).first().licenses
+        assert [x.license for x in found][0] == "MIT" and found[0].dice == 1.0
+        return time.perf_counter() - began
+
+    seconds(2)
+    assert seconds(320) < 8 * seconds(80) + 5  # 16 times as long would be the square
