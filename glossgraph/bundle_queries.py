@@ -8,8 +8,9 @@ from glossgraph.bundles import table, with_tables
 from glossgraph.functions import digests
 from glossgraph.operators import accounting, changes, ordering, sets
 from glossgraph.operators import violations as rules
-from glossgraph.plans import bindings
+from glossgraph.plans import bindings, executor
 from glossgraph.registry import query, read
+from glossgraph.sources.graph import commerce
 
 KEY = ", ".join(bindings.SEMANTIC_KEY)
 #: Bindings in SQL: reviewed projections of reviewed mappings.
@@ -186,29 +187,63 @@ def _requests(bound):
     return bindings.index(bound, "semantic").select(number.alias("request"), *bindings.SEMANTIC_KEY).distinct()
 
 
+#: Every request names both corpora, and each seventh one a corpus that nobody has compiled.
+NAMED = ("parts", "suppliers")
+ABSENT = "annals"
 CONJOINED = (
     BOUND + resolution_sql("s", KEY, "r")
-    + f""", q AS {REQUESTS}, met AS (SELECT request, corpus, count(*) AS met, string_agg(losses, '+') FILTER (WHERE losses <> '') AS l FROM q JOIN (SELECT * FROM rd WHERE status <> 'refused') USING ({KEY}) GROUP BY 1, 2),
-      w AS (SELECT request, corpus, CASE WHEN asked < 2 OR met < asked THEN 'refused' WHEN l IS NOT NULL THEN 'approximate' ELSE 'exact' END AS status,
-        coalesce(array_to_string(list_sort(list_distinct(string_split(l, '+'))), '+'), '') AS losses FROM met JOIN (SELECT request, count(*) AS asked FROM q GROUP BY 1) USING (request))"""
+    + f""", q AS {REQUESTS}, named AS (SELECT request, unnest(CASE WHEN request % 7 = 0 THEN ['parts', 'suppliers', 'annals'] ELSE ['parts', 'suppliers'] END) AS corpus FROM (SELECT DISTINCT request FROM q)),
+      every AS (SELECT request, corpus, {KEY}, coalesce(status, 'refused') AS status, CASE WHEN status IS NULL THEN 'semantic_tuple_absent' ELSE category END AS category, projection_id, coalesce(losses, '') AS losses
+        FROM q JOIN named USING (request) LEFT JOIN rd USING (corpus, {KEY}))"""
 )
+MET = f""", met AS (SELECT request, corpus, count(*) AS n, bool_or(status = 'refused') AS refused, arg_min(category, ({KEY})) FILTER (WHERE status = 'refused') AS first_category, string_agg(losses, '+') FILTER (WHERE losses <> '') AS l FROM every GROUP BY 1, 2),
+      w AS (SELECT request, corpus, CASE WHEN n < 2 OR refused THEN 'refused' WHEN l IS NOT NULL THEN 'approximate' ELSE 'exact' END AS status, CASE WHEN n < 2 THEN 'invalid_semantic_conjunction' ELSE first_category END AS category,
+        CASE WHEN n < 2 OR refused THEN '' ELSE coalesce(array_to_string(list_sort(list_distinct(string_split(l, '+'))), '+'), '') END AS losses FROM met)"""
 
 
-@query(CONJOINED + " SELECT * FROM w")
+def _asked(spark, sf_dir, gated=None, capable=None):
+    requests = _requests(_bound(spark, sf_dir))
+    names = F.array(*map(F.lit, NAMED))
+    corpora = requests.select("request").distinct().select("request", F.explode(F.when(F.col("request") % 7 == 0, F.array_append(names, F.lit(ABSENT))).otherwise(names)).alias("corpus"))
+    return bindings.asked(_resolved(spark, sf_dir), requests, corpora, gated, capable)
+
+
+@query(CONJOINED + " SELECT * FROM every")
+def resolve_requests(spark, sf_dir):
+    """Each key of each request in each corpus that it names; corpora without the key, or unknown ones, are refused rows."""
+    return _flat(_asked(spark, sf_dir))
+
+
+@query(
+    FACTS + resolution_sql("s", KEY, "r") + ", " + CONJOINED[len(BOUND + resolution_sql("s", KEY, "r")) + 2:] + ", "
+    + CHOSEN.removeprefix("WITH ").replace(", c AS (", ", chosen AS (").replace("FROM c LEFT", "FROM chosen c LEFT") + NAMED_GATES
+    + f""", active AS (SELECT f.corpus, f.profile, f.capability, CASE WHEN reviewed_native_support = 0 THEN 'absent' WHEN problem IS NULL THEN 'active' ELSE 'unavailable' END AS state FROM facts f LEFT JOIN gates USING (corpus)),
+      why AS (SELECT e.*, CASE WHEN gates.corpus IS NULL THEN 'missing_prerequisite' WHEN problem IS NOT NULL THEN problem WHEN coalesce(state, 'absent') = 'absent' THEN 'capability_absent' WHEN state <> 'active' THEN 'capability_unavailable' ELSE category END AS reason
+        FROM every e LEFT JOIN gates USING (corpus) LEFT JOIN active USING (corpus, profile, capability))
+    SELECT request, corpus, {KEY}, CASE WHEN reason IS NOT NULL THEN 'refused' ELSE status END AS status, reason AS category, CASE WHEN reason IS NULL THEN projection_id END AS projection_id, CASE WHEN reason IS NULL THEN losses ELSE '' END AS losses FROM why"""
+)
+def resolve_gated_requests(spark, sf_dir):
+    """As resolve_requests, with the reasons that come first: corpora that aren't executable, capabilities that aren't active."""
+    gated = _gates(spark, sf_dir)
+    capable = bindings.capabilities(bindings.facts(table(spark, sf_dir, "mappings"), table(spark, sf_dir, "projections")), gated)
+    return _flat(_asked(spark, sf_dir, gated, capable))
+
+
+@query(CONJOINED + MET + " SELECT * FROM w")
 def resolve_conjunctions(spark, sf_dir):
-    return _flat(bindings.conjunctions(_resolved(spark, sf_dir), _requests(_bound(spark, sf_dir))))
+    """Requests of several keys in each corpus that they name, with what refuses them."""
+    return _flat(bindings.conjunctions(_asked(spark, sf_dir)))
 
 
 @query(
-    CONJOINED
+    CONJOINED + MET
     + """, t AS (SELECT request, bool_or(status = 'refused') AS refused, count(DISTINCT losses) FILTER (WHERE losses <> '') AS shapes FROM w GROUP BY 1)
     SELECT request, CASE WHEN refused THEN 'partial/non-executable' WHEN shapes = 0 THEN 'exactly-comparable' WHEN shapes = 1 THEN 'approximately-comparable' ELSE 'heterogeneous-loss' END AS state,
       NOT refused AND shapes <= 1 AS aggregate_allowed FROM t"""
 )
 def aggregate_permission(spark, sf_dir):
-    """May a request's answers be added up over corpora, if the caller opts in."""
-    conjoined = bindings.conjunctions(_resolved(spark, sf_dir), _requests(_bound(spark, sf_dir)))
-    return bindings.comparison(conjoined, ["request"], opt_in=True)
+    """May a request's answers be added up over the corpora that it names, if the caller opts in."""
+    return bindings.comparison(bindings.conjunctions(_asked(spark, sf_dir)), ["request"], opt_in=True)
 
 
 @query(
@@ -294,6 +329,72 @@ def execute_authority(spark, sf_dir):
     return _flat(bindings.execute(resolved, _bound(spark, sf_dir), _part_nodes(spark, sf_dir), "part", "label"))
 
 
+SELECTED = ", " + with_tables("selectors", "selector_values", "selector_steps").removeprefix("WITH ") + """,
+    nodes AS (SELECT CAST(1000000000001 + n_nationkey AS BIGINT) AS node, 'nation' AS t FROM nation UNION ALL SELECT CAST(2000000000001 + s_suppkey AS BIGINT), 'supplier' FROM supplier UNION ALL SELECT CAST(3000000000001 + c_custkey AS BIGINT), 'customer' FROM customer
+      UNION ALL SELECT CAST(4000000000001 + p_partkey AS BIGINT), 'part' FROM part UNION ALL SELECT CAST(5000000000001 + o_orderkey AS BIGINT), 'order' FROM orders),
+    stored AS (SELECT 'order_customer' AS edge, CAST(5000000000001 + o_orderkey AS BIGINT) AS src, CAST(3000000000001 + o_custkey AS BIGINT) AS dst, CAST(NULL AS VARCHAR) AS value FROM orders
+      UNION ALL SELECT 'customer_nation', CAST(3000000000001 + c_custkey AS BIGINT), CAST(1000000000001 + c_nationkey AS BIGINT), NULL FROM customer UNION ALL SELECT 'supplier_nation', CAST(2000000000001 + s_suppkey AS BIGINT), CAST(1000000000001 + s_nationkey AS BIGINT), NULL FROM supplier
+      UNION ALL SELECT 'order_part_flag', CAST(5000000000001 + l_orderkey AS BIGINT), CAST(4000000000001 + l_partkey AS BIGINT), min(l_returnflag) FROM lineitem GROUP BY l_orderkey, l_partkey),
+    turned AS (SELECT edge, 'outgoing' AS direction, src AS here, dst AS there, value FROM stored UNION ALL SELECT edge, 'incoming', dst, src, value FROM stored),
+    listed AS (SELECT mapping_id, string_agg(value_type || ':' || value, '|' ORDER BY value_type, value) AS vals, count(*) AS n, count(DISTINCT value) AS distinct_n, min(value_type) AS kind FROM selector_values GROUP BY mapping_id),
+    programs AS (SELECT mapping_id, string_agg(edge || '>' || direction || '>' || result_type || '>' || coalesce(match_values, ''), '|' ORDER BY step) AS program, bool_or(edge = 'order_parts') AS unknown, bool_or(match_values IS NOT NULL AND edge <> 'order_part_flag') AS unvalued FROM selector_steps GROUP BY mapping_id),
+    judged AS (SELECT s.*, l.vals, g.program, CASE WHEN shape = 'closure' THEN 'unsupported_native_binding' WHEN node_type = 'warehouse' THEN 'node_type_missing' WHEN feature = 'p_colour' THEN 'feature_missing' WHEN shape LIKE 'value%' AND n <> distinct_n THEN 'value_set'
+        WHEN shape LIKE 'value%' AND kind <> CASE feature WHEN 'p_size' THEN 'int' ELSE 'str' END THEN 'value_type' WHEN shape = 'edge-path' AND unknown THEN 'edge_missing' WHEN shape = 'edge-path' AND unvalued THEN 'edge_unvalued' END AS problem
+      FROM selectors s LEFT JOIN listed l USING (mapping_id) LEFT JOIN programs g USING (mapping_id)),
+    answers AS (SELECT DISTINCT node_type, feature, vals, program, md5(node_type || '/' || coalesce(feature, '') || '/' || coalesce(vals, '') || '/' || coalesce(program, '')) AS answer, first_value(mapping_id) OVER (PARTITION BY node_type, feature, vals, program ORDER BY mapping_id) AS one
+      FROM (SELECT node_type, feature, CASE WHEN shape LIKE 'value%' THEN vals END AS vals, CASE WHEN shape = 'edge-path' THEN program END AS program, mapping_id FROM judged WHERE problem IS NULL)),
+    walk AS (WITH RECURSIVE w AS (SELECT answer, 0 AS step, node FROM answers JOIN nodes ON t = node_type WHERE program IS NOT NULL
+      UNION SELECT w.answer, w.step + 1, e.there FROM w JOIN answers a ON a.answer = w.answer JOIN selector_steps s ON s.mapping_id = a.one AND s.step = w.step JOIN turned e ON e.edge = s.edge AND e.direction = s.direction AND e.here = w.node
+        JOIN nodes n ON n.node = e.there AND n.t = s.result_type WHERE s.match_values IS NULL OR list_contains(string_split(s.match_values, '+'), e.value)) SELECT * FROM w),
+    selected AS (SELECT answer, node FROM answers JOIN nodes ON t = node_type WHERE program IS NULL AND vals IS NULL
+      UNION ALL SELECT DISTINCT answer, CAST(4000000000001 + p_partkey AS BIGINT) FROM (SELECT answer, feature, unnest(string_split(vals, '|')) AS v FROM answers WHERE vals IS NOT NULL) JOIN part ON v = CASE feature WHEN 'p_brand' THEN 'str:' || p_brand WHEN 'p_type' THEN 'str:' || p_type ELSE 'int:' || CAST(p_size AS VARCHAR) END
+      UNION ALL SELECT walk.answer, node FROM walk JOIN answers a ON a.answer = walk.answer WHERE step = (SELECT count(*) FROM selector_steps s WHERE s.mapping_id = a.one)),
+    sums AS (SELECT answer, count(*) AS n_nodes, min(node) AS first_node, max(node) AS last_node, CAST(sum(node) AS BIGINT) AS node_sum FROM selected GROUP BY answer)"""
+
+
+def _executed(spark, sf_dir):
+    """The selectors of parts over the commerce graph, executed together."""
+    named = lambda n: table(spark, sf_dir, n).withColumnRenamed("mapping_id", "plan_id")
+    steps = named("selector_steps").withColumns({"match_values": F.split("match_values", r"\+"), "match_type": F.lit("str")})
+    plans = executor.gathered(named("selectors"), named("selector_values"), steps)
+    return executor.execute(spark, {"commerce": commerce(spark, sf_dir)}, plans)
+
+
+@query(
+    BOUND + resolution_sql("s", KEY, "r") + SELECTED
+    + """ SELECT rd.corpus, rd.projection_id, rd.target, rd.status, rd.losses, CASE WHEN j.mapping_id IS NULL THEN 'missing_execution_component' ELSE j.problem END AS problem,
+      CASE WHEN j.mapping_id IS NOT NULL AND j.problem IS NULL THEN coalesce(n_nodes, 0) END AS n_nodes, first_node, last_node, node_sum
+    FROM rd JOIN b USING (corpus, projection_id) LEFT JOIN judged j ON j.mapping_id = b.mapping_id LEFT JOIN answers a ON j.problem IS NULL AND a.node_type = j.node_type AND a.feature IS NOT DISTINCT FROM j.feature
+      AND a.vals IS NOT DISTINCT FROM CASE WHEN j.shape LIKE 'value%' THEN j.vals END AND a.program IS NOT DISTINCT FROM CASE WHEN j.shape = 'edge-path' THEN j.program END
+      LEFT JOIN sums ON sums.answer = a.answer WHERE rd.status <> 'refused'"""
+)
+def execute_bindings(spark, sf_dir):
+    """Resolved keys of all shapes with what they lose and the nodes that they select, summed up; refused ones with the reason."""
+    done, bound = _executed(spark, sf_dir), _bound(spark, sf_dir)
+    plans = _resolved(spark, sf_dir).where("status <> 'refused'").join(bound.select("corpus", "projection_id", F.col("mapping_id").alias("plan_id")), ["corpus", "projection_id"])
+    found = done.nodes.groupBy("answer").agg(F.count("*").alias("n_nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"), F.sum("node").alias("node_sum"))
+    joined = plans.join(done.plans.select("plan_id", "answer", "problem", F.lit(True).alias("there")), "plan_id", "left").join(found, "answer", "left")
+    problem = F.when(F.col("there").isNull(), "missing_execution_component").otherwise(F.col("problem"))
+    return _flat(joined).select("corpus", "projection_id", "target", "status", "losses", problem.alias("problem"), F.when(F.col("answer").isNotNull(), F.coalesce("n_nodes", F.lit(0))).alias("n_nodes"), "first_node", "last_node", "node_sum")
+
+
+@query(
+    "WITH dummy AS (SELECT 1)" + SELECTED
+    + """, one_of AS (SELECT a.answer, a.one, a.program FROM answers a WHERE program LIKE '%order_part_flag%')
+    SELECT md5(program) AS program, s.step, CAST(sum(src) AS BIGINT) AS src_sum, CAST(sum(dst) AS BIGINT) AS dst_sum, count(*) AS n, count(value) AS n_valued, min(value) AS first_value, max(value) AS last_value
+    FROM one_of JOIN selector_steps s ON s.mapping_id = one JOIN stored e ON e.edge = s.edge WHERE list_contains(string_split(s.match_values, '+'), e.value) GROUP BY program, s.step"""
+)
+def execution_evidence(spark, sf_dir):
+    """The edges that valued walks kept, as they are stored, summed up for each distinct path and step."""
+    done = _executed(spark, sf_dir)
+    steps = table(spark, sf_dir, "selector_steps").withColumn("text", F.concat_ws(">", "edge", "direction", "result_type", F.coalesce("match_values", F.lit(""))))
+    programs = steps.groupBy("mapping_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "text"))), lambda x: x["text"]), "|")).alias("program"), F.max((F.col("edge") == "order_part_flag").cast("int")).alias("valued"))
+    known = done.plans.join(programs.where("valued = 1"), F.col("plan_id") == F.col("mapping_id")).select("answer", "program").distinct()
+    layers = done.evidence.join(done.paths.withColumnRenamed("step", "at"), "path").where("step = at").join(known, "answer")
+    total = lambda c: F.sum(c).alias(f"{c}_sum")
+    return layers.groupBy("program", "step").agg(total("src"), total("dst"), F.count("*").alias("n"), F.count("value").alias("n_valued"), F.min("value").alias("first_value"), F.max("value").alias("last_value"))
+
+
 def _reference_nodes(spark, sf_dir, kind):
     refs = table(spark, sf_dir, "external_refs")
     found = bindings.resolve_references(refs, kind).where("status = 'resolved'").join(refs.select("reference_id", "mapping_id", "native_value"), "reference_id")
@@ -698,11 +799,11 @@ def binding_identities(spark, sf_dir):
     return line.select("o_orderkey", digests.binding_identity(F.lit("order"), F.lit("flag"), F.col("values")).alias("identity"))
 
 
-@query(with_tables("mappings") + " SELECT corpus, mapping_id, value IS NOT NULL AS value_present, CASE WHEN shape = 'membership' THEN NULL ELSE value END AS value, shape FROM mappings WHERE native_state = 'positive' AND reviewed")
+@query(with_tables("mappings") + " SELECT corpus, mapping_id, value_present, CASE WHEN value_present THEN value END AS value, CASE WHEN NOT value_present THEN 'absent' WHEN value IS NULL THEN 'null' ELSE 'given' END AS state, shape FROM mappings WHERE native_state = 'positive' AND reviewed")
 def native_bindings(spark, sf_dir):
     """Selectors as bindings, where a value that isn't there differs from one that is null."""
     rows = table(spark, sf_dir, "mappings").where("native_state = 'positive' AND reviewed")
-    return rows.select("corpus", "mapping_id", F.col("value").isNotNull().alias("value_present"), F.when(F.col("shape") != "membership", F.col("value")).alias("value"), "shape")
+    return bindings.native(rows).select("corpus", "mapping_id", "value_present", "value", "state", "shape")
 
 
 @query("SELECT conv_id, turn, try_cast(json_extract_string(j, '$.decision') AS VARCHAR) AS decision, CAST(json_extract(j, '$.turn') AS BIGINT) AS said FROM (SELECT conv_id, turn, '{\"decision\":\"' || role || '\",\"turn\":' || turn || '}' AS j FROM conversations)")

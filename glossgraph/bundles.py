@@ -3,9 +3,11 @@
 Each table is one SQL text over the given tables. Spark and the tests' SQL engine read the same text, so what is
 tested is what operators do with the rows. All tables grow with the given ones.
 
-* mappings: one native selector of a corpus with its review; parts and suppliers are two corpora.
+* mappings: one native selector of a corpus with its review; parts and suppliers are two corpora. A selector that has no
+  value differs from one whose value is null (value_present).
 * projections: reviewed or unreviewed links of mappings to targets, three parts to a target.
 * external_refs: what customers are called elsewhere.
+* selectors, selector_values, selector_steps: what the parts' mappings select in the commerce graph, in all shapes.
 * dependencies: what a mapping needs of its corpus; locks: the targets that an ontology has.
 * variants, states: releases of small corpora (one for each supplier), and what was found of them at run time.
 """
@@ -19,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 #: Name: SQL that Spark and DuckDB both read; given tables are in braces.
 TABLES = {
     "mappings": """
-        SELECT 'parts' AS corpus, concat('p', p_partkey) AS mapping_id, 'part' AS node_type, 'label' AS feature, concat(p_name, '#', CAST(floor(p_partkey / 2) AS BIGINT)) AS value,
+        SELECT 'parts' AS corpus, concat('p', p_partkey) AS mapping_id, 'part' AS node_type, 'label' AS feature, CASE WHEN p_partkey % 37 <> 5 THEN concat(p_name, '#', CAST(floor(p_partkey / 2) AS BIGINT)) END AS value, p_partkey % 4 > 1 OR p_partkey % 37 = 5 AS value_present,
           CASE p_partkey % 10 WHEN 7 THEN 'native-only' WHEN 8 THEN 'ambiguous' WHEN 9 THEN 'unsupported' ELSE 'positive' END AS native_state,
           'lexicon' AS profile, CASE WHEN p_partkey % 31 = 0 THEN 'other.entry' ELSE 'lexicon.entry' END AS capability, p_size % 7 <> 0 AS reviewed,
           CASE p_partkey % 4 WHEN 0 THEN 'membership' WHEN 1 THEN 'edge-path' WHEN 2 THEN 'value-set-predicate' ELSE 'value-predicate' END AS shape
         FROM {part}
         UNION ALL
-        SELECT 'suppliers', concat('s', s_suppkey), 'supplier', 's_nationkey', CAST(s_nationkey AS STRING), CASE WHEN s_suppkey % 6 = 5 THEN 'native-only' ELSE 'positive' END,
+        SELECT 'suppliers', concat('s', s_suppkey), 'supplier', 's_nationkey', CAST(s_nationkey AS STRING), true, CASE WHEN s_suppkey % 6 = 5 THEN 'native-only' ELSE 'positive' END,
           'lexicon', 'lexicon.entry', s_suppkey % 5 <> 0, 'value-predicate'
         FROM {supplier}""",
     "projections": """
@@ -64,6 +66,29 @@ TABLES = {
     "locks": """
         SELECT DISTINCT concat('lock', p_size % 3) AS lock_id, concat('urn:entry:', CAST(floor(p_partkey / 3) AS BIGINT)) AS term, concat('d', p_size % 3) AS content_digest
         FROM {part} WHERE p_partkey % 41 <> 0""",
+    "selectors": """
+        SELECT 'commerce' AS corpus, concat('p', p_partkey) AS mapping_id, CASE WHEN p_partkey % 101 = 50 THEN 'closure' WHEN p_partkey % 4 = 0 THEN 'membership' WHEN p_partkey % 4 = 1 THEN 'edge-path' WHEN p_partkey % 4 = 2 THEN 'value-set-predicate' ELSE 'value-predicate' END AS shape,
+          CASE WHEN p_partkey % 4 > 1 THEN 'part' WHEN p_partkey % 60 = 0 THEN 'warehouse' WHEN p_size % 4 = 1 THEN 'supplier' WHEN p_size % 4 = 2 THEN 'nation' ELSE 'order' END AS node_type,
+          CASE WHEN p_partkey % 4 = 2 THEN CASE WHEN p_partkey % 30 = 2 THEN 'p_colour' ELSE 'p_brand' END WHEN p_partkey % 4 = 3 THEN CASE WHEN p_size % 2 = 0 THEN 'p_size' ELSE 'p_type' END END AS feature
+        FROM {part}""",
+    "selector_values": """
+        SELECT 'commerce' AS corpus, concat('p', p_partkey) AS mapping_id, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS STRING) ELSE p_type END AS value, CASE WHEN p_size % 2 = 0 AND p_partkey % 15 <> 3 THEN 'int' ELSE 'str' END AS value_type
+        FROM {part} WHERE p_partkey % 4 = 3
+        UNION ALL
+        SELECT 'commerce', concat('p', p_partkey), p_brand, 'str' FROM {part} WHERE p_partkey % 4 = 2
+        UNION ALL
+        SELECT 'commerce', concat('p', p_partkey), concat('Brand#', p_partkey % 25), 'str' FROM {part} WHERE p_partkey % 4 = 2""",
+    "selector_steps": """
+        SELECT 'commerce' AS corpus, concat('p', p_partkey) AS mapping_id, 0 AS step,
+          CASE WHEN p_partkey % 44 = 1 THEN 'order_parts' WHEN p_size % 4 = 0 THEN 'order_customer' WHEN p_size % 4 = 1 THEN 'supplier_nation' WHEN p_size % 4 = 2 THEN 'customer_nation' ELSE 'order_part_flag' END AS edge,
+          CASE WHEN p_size % 4 = 2 THEN 'incoming' ELSE 'outgoing' END AS direction,
+          CASE WHEN p_size % 4 = 0 THEN 'customer' WHEN p_size % 4 = 1 THEN 'nation' WHEN p_size % 4 = 2 THEN 'customer' ELSE 'part' END AS result_type,
+          CASE WHEN p_size % 4 = 3 THEN CASE WHEN p_partkey % 8 = 1 THEN 'R' ELSE 'A+R' END WHEN p_partkey % 36 = 5 THEN 'x' END AS match_values
+        FROM {part} WHERE p_partkey % 4 = 1
+        UNION ALL
+        SELECT 'commerce', concat('p', p_partkey), 1, CASE WHEN p_size % 4 = 2 THEN 'order_customer' ELSE 'customer_nation' END, CASE WHEN p_size % 4 = 0 THEN 'outgoing' ELSE 'incoming' END,
+          CASE WHEN p_size % 4 = 0 THEN 'nation' WHEN p_size % 4 = 1 THEN 'customer' ELSE 'order' END, NULL
+        FROM {part} WHERE p_partkey % 4 = 1 AND p_size % 4 < 3""",
     "variants": """
         SELECT concat('corpus', s_suppkey) AS corpus, concat('1.', s_nationkey) AS release, concat('f', s_suppkey % 7) AS fingerprint, concat('d', s_nationkey) AS parent_digest,
           CASE WHEN s_suppkey % 3 = 0 THEN 'identity-only' ELSE 'dependency-verified' END AS parent_compatibility, CASE WHEN s_suppkey % 4 <> 0 THEN concat('b', s_nationkey) END AS bundle_digest

@@ -25,9 +25,9 @@ def union_losses(rows: DataFrame, by: list[str], losses: str = "losses") -> Data
 
 
 def comparison_state(plans: DataFrame, by: list[str], losses: str = "losses") -> DataFrame:
-    """exactly-, approximately- or heterogeneously-comparable by the number of distinct loss sets that aren't empty."""
+    """exactly- or approximately-comparable or heterogeneous-loss by the number of distinct loss sets that aren't empty."""
     shapes = F.count_distinct(F.when(F.size(losses) > 0, F.array_join(F.array_sort(F.array_distinct(losses)), "+")))
-    state = F.when(shapes == 0, "exactly-comparable").when(shapes == 1, "approximately-comparable").otherwise("heterogeneous")
+    state = F.when(shapes == 0, "exactly-comparable").when(shapes == 1, "approximately-comparable").otherwise("heterogeneous-loss")
     return plans.groupBy(*by).agg(state.alias("state"))
 
 

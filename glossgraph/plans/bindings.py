@@ -30,6 +30,16 @@ def compiled(mappings: DataFrame, projections: DataFrame) -> DataFrame:
     return projections.where("reviewed").drop("reviewed").withColumn("losses", losses).join(native, ["corpus", "mapping_id"])
 
 
+def native(mappings: DataFrame) -> DataFrame:
+    """Selectors with `state`: absent if they have no value at all, null if they have one that is null, else given.
+
+    `value_present` says whether a selector has a value; what stands in `value` without it doesn't count.
+    """
+    there = F.coalesce(F.col("value_present"), F.lit(False))
+    state = F.when(~there, "absent").when(F.col("value").isNull(), "null").otherwise("given")
+    return mappings.withColumns({"value": F.when(there, F.col("value")), "state": state, "value_present": there})
+
+
 def context_problems(contexts: DataFrame, corpus: str = "corpus") -> DataFrame:
     """(corpus, problem) of loaded components (corpus, variant, component_id): one variant a corpus, each component once."""
     n, variants, distinct = F.count("*"), F.count_distinct("variant"), F.count_distinct("component_id")
@@ -195,17 +205,52 @@ def refuse_gated(resolved: DataFrame, gated: DataFrame) -> DataFrame:
     ).drop("problem")
 
 
-def conjunctions(resolved: DataFrame, requests: DataFrame, key: tuple[str, ...] = SEMANTIC_KEY) -> DataFrame:
-    """(request, corpus, status, losses) for requests of several keys: (request, key…).
+def asked(resolved: DataFrame, requests: DataFrame, corpora: DataFrame, gated: DataFrame | None = None, capable: DataFrame | None = None, key: tuple[str, ...] = SEMANTIC_KEY) -> DataFrame:
+    """(request, corpus, key…, status, category, projection_id, losses): each key of each request in each corpus that it names.
+
+    `requests` has (request, key…), `corpora` (request, corpus), `resolved` what resolve() gives. A refusal is a row, not
+    an absence. The first reason counts, in the contract's order: with `gated` (corpus, category) the corpus isn't known
+    (missing_prerequisite) or isn't executable; with `capable` (corpus, profile, capability, state) the capability is
+    absent or unavailable; the corpus has no binding of the key (semantic_tuple_absent); and then what resolve() says.
+    """
+    rows = requests.select("request", *key).distinct().join(corpora.select("request", "corpus").distinct(), "request")
+    joined = rows.join(resolved, ["corpus", *key], "left")
+    reason = F.when(F.col("status").isNull(), "semantic_tuple_absent").otherwise(F.col("category"))
+    if capable is not None:
+        joined = joined.join(capable.select("corpus", "profile", "capability", F.col("state").alias("_state")), ["corpus", "profile", "capability"], "left")
+        state = F.coalesce("_state", F.lit("absent"))
+        reason = F.when(state == "absent", "capability_absent").when(state != "active", "capability_unavailable").otherwise(reason)
+    if gated is not None:
+        joined = joined.join(gated.select("corpus", F.col("category").alias("_problem"), F.lit(True).alias("_known")), "corpus", "left")
+        reason = F.when(F.col("_known").isNull(), "missing_prerequisite").when(F.col("_problem").isNotNull(), F.col("_problem")).otherwise(reason)
+    refused = F.col("_reason").isNotNull()
+    return joined.withColumn("_reason", reason).select(
+        "request",
+        "corpus",
+        *key,
+        F.when(refused, "refused").otherwise(F.col("status")).alias("status"),
+        F.col("_reason").alias("category"),
+        F.when(~refused, F.col("projection_id")).alias("projection_id"),
+        F.when(refused, F.array().cast("array<string>")).otherwise(F.col("losses")).alias("losses"),
+    )
+
 
-    All keys of a request must resolve; the losses are the union of theirs. Fewer than two distinct keys are refused.
+def conjunctions(answers: DataFrame, key: tuple[str, ...] = SEMANTIC_KEY) -> DataFrame:
+    """(request, corpus, status, category, losses) of what asked() gives: all keys must resolve in a corpus.
+
+    A refused key refuses the corpus, for the reason of the first such key; fewer than two distinct keys are no
+    conjunction. The losses are the union of the keys'. Each corpus that a request names has a row.
     """
-    asked = requests.select("request", *key).distinct()
-    sizes = asked.groupBy("request").agg(F.count("*").alias("asked"))
-    met = asked.join(resolved.where("status <> 'refused'"), list(key)).groupBy("request", "corpus")
-    met = met.agg(F.count("*").alias("met"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("losses")))).alias("losses"))
-    status = F.when(F.col("asked") < 2, "refused").when(F.col("met") < F.col("asked"), "refused").when(F.size("losses") > 0, "approximate").otherwise("exact")
-    return met.join(sizes, "request").select("request", "corpus", status.alias("status"), "losses")
+    refused = F.col("status") == "refused"
+    met = answers.groupBy("request", "corpus").agg(
+        F.count("*").alias("n"),
+        F.min(F.when(refused, F.struct(*key, "category"))).alias("first"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("losses")))).alias("losses"),
+    )
+    category = F.when(F.col("n") < 2, "invalid_semantic_conjunction").otherwise(F.col("first.category"))
+    status = F.when(F.col("category").isNotNull(), "refused").when(F.size("losses") > 0, "approximate").otherwise("exact")
+    losses = F.when(F.col("category").isNotNull(), F.array().cast("array<string>")).otherwise(F.col("losses"))
+    return met.withColumn("category", category).select("request", "corpus", status.alias("status"), "category", losses.alias("losses"))
 
 
 def comparison(plans: DataFrame, by: list[str], opt_in: bool = False) -> DataFrame:

@@ -315,7 +315,7 @@ def prerequisite_state(spark, sf_dir):
     M
     + """ , p AS (SELECT target, corpus, CASE relation WHEN 'broader' THEN 'undercoverage' WHEN 'narrower' THEN 'overcoverage' WHEN 'close' THEN 'overcoverage+undercoverage' END AS losses
       FROM m WHERE relation IN ('exact', 'close', 'broader', 'narrower'))
-    SELECT target, CASE count(DISTINCT losses) WHEN 0 THEN 'exactly-comparable' WHEN 1 THEN 'approximately-comparable' ELSE 'heterogeneous' END AS state FROM p GROUP BY target"""
+    SELECT target, CASE count(DISTINCT losses) WHEN 0 THEN 'exactly-comparable' WHEN 1 THEN 'approximately-comparable' ELSE 'heterogeneous-loss' END AS state FROM p GROUP BY target"""
 )
 def comparison_state(spark, sf_dir):
     plans = resolver.with_losses(catalog(spark, sf_dir)).where(F.col("relation").isin("exact", "close", "broader", "narrower"))
