@@ -291,37 +291,59 @@ def _filters(state: DataFrame) -> dict[int, Filter]:
     return out
 
 
-def _exact(paged: DataFrame, filters, lengths: range) -> DataFrame:
-    """Rows (lang, k, phrase, n): the occurrences of all phrases of these lengths that the filters have."""
+def _exact(paged: DataFrame, filters, lengths: range, buckets_log: int, least: int) -> DataFrame:
+    """Rows (lang, k, phrase, n): phrases of these lengths that the filters have and that occur `least` times.
+
+    Tasks send their sums as lists to the buckets of the phrases' hashes, where equal phrases are added up.
+    """
 
     def counted(batches):
-        held: dict[tuple[str, int], dict[bytes, int]] = {}
+        held: dict[tuple[str, int, int], dict[bytes, int]] = {}
+        size = 0
 
         def flush():
-            for (lang, k), sums in held.items():
-                yield pa.record_batch(
-                    [pa.array([lang] * len(sums), pa.string()), pa.array(np.full(len(sums), k, dtype=np.int32)), pa.array(list(sums), pa.binary()).cast(pa.string()), pa.array(list(sums.values()), pa.int64())],
-                    ["lang", "k", "phrase", "n"],
-                )
+            nonlocal size
+            keys, sums = list(held), list(held.values())
+            lists = lambda items, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sums)]), pa.int32()), pa.array([x for s in sums for x in items(s)], kind))
+            named = [pa.array([k[j] for k in keys], kind) for j, kind in enumerate((pa.string(), pa.int32(), pa.int64()))]
+            yield pa.record_batch([*named, lists(dict.keys, pa.binary()), lists(dict.values, pa.int64())], ["lang", "k", "bucket", "phrases", "counts"])
             held.clear()
+            size = 0
 
         for batch in batches:
             for lang, words, codes in zip(batch["lang"].to_pylist(), batch["words"], batch["codes"].to_pylist(), strict=True):
                 dictionary = words.values
                 for k, parts, counts, hashes, _ in phrases_of(np.frombuffer(codes, np.int32), word_hashes(lang, words.as_py()), filters.value, lengths[-1]):
                     kept = np.flatnonzero(_latest(filters.value.get(k, {}), hashes) >= 0) if k in lengths else ()
-                    if len(kept):
-                        spelled = [dictionary.take(pa.array(parts[kept, j])) for j in range(k)]
-                        phrases = spelled[0] if k == 1 else pc.binary_join_element_wise(*spelled, b" ")
-                        sums = held.setdefault((lang, k), {})
-                        for phrase, n in zip(phrases.to_pylist(), counts[kept].tolist(), strict=True):
-                            sums[phrase] = sums.get(phrase, 0) + n
-                if sum(map(len, held.values())) >= SPELLED:
+                    if not len(kept):
+                        continue
+                    buckets = (_key(hashes[kept]) >> np.uint64(KEY_BITS - buckets_log)).astype(np.int64)
+                    order = np.argsort(buckets, kind="stable")
+                    kept, buckets = kept[order], buckets[order]
+                    spelled = [dictionary.take(pa.array(parts[kept, j])) for j in range(k)]
+                    phrases = (spelled[0] if k == 1 else pc.binary_join_element_wise(*spelled, b" ")).to_pylist()
+                    numbers = counts[kept].tolist()
+                    cuts = np.flatnonzero(np.diff(buckets, prepend=-1, append=-1)).tolist()
+                    for start, end in zip(cuts, cuts[1:], strict=False):
+                        sums = held.setdefault((lang, k, int(buckets[start])), {})
+                        size -= len(sums)
+                        for at in range(start, end):
+                            sums[phrases[at]] = sums.get(phrases[at], 0) + numbers[at]
+                        size += len(sums)
+                if size >= SPELLED:
                     yield from flush()
-        yield from flush()
+        if held:
+            yield from flush()
+
+    def added(table: pa.Table) -> pa.Table:
+        flat = pa.table({"phrase": pc.list_flatten(table["phrases"]), "n": pc.list_flatten(table["counts"])})
+        sums = flat.group_by("phrase").aggregate([("n", "sum")])
+        sums = sums.filter(pc.greater_equal(sums["n_sum"], least))
+        same = lambda c: pa.repeat(table[c][0], len(sums))
+        return pa.table([same("lang"), same("k"), sums["phrase"].cast(pa.string()), sums["n_sum"]], ["lang", "k", "phrase", "n"])
 
-    found = paged.select("lang", "words", "codes").mapInArrow(counted, "lang string, k int, phrase string, n long")
-    return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    found = paged.select("lang", "words", "codes").mapInArrow(counted, "lang string, k int, bucket long, phrases array<binary>, counts array<long>")
+    return found.groupBy("lang", "k", "bucket").applyInArrow(added, "lang string, k int, phrase string, n long")
 
 
 def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -346,10 +368,10 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
         for k, made in _filters(state).items():
             filters = {**filters, k: {**filters.get(k, {}), step: made}}
         step += 1
-    exact = cut(_exact(paged, spark.sparkContext.broadcast(filters), range(2, longest + 1)).where(F.col("n") >= least))
+    exact = cut(_exact(paged, spark.sparkContext.broadcast(filters), range(2, longest + 1), buckets_log, least))
     # words count where a phrase has them alone
     parts = _filters(exact.where("k = 2").select("lang", F.explode(F.split("phrase", " ")).alias("word")).distinct().mapInArrow(_hashed, "k int, reached binary"))
-    words = _exact(paged, spark.sparkContext.broadcast({k: {0: f} for k, f in parts.items()}), range(1, 2)).where(F.col("n") >= least)
+    words = _exact(paged, spark.sparkContext.broadcast({k: {0: f} for k, f in parts.items()}), range(1, 2), buckets_log, least)
     return cut(exact.unionByName(words)), totals
 
 
