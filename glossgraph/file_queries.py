@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glossgraph.derived import DERIVED, catalog, catalog_sql
@@ -62,6 +63,41 @@ def feature_file_edges(spark, sf_dir):
     return corpus_files.edge_rows(feature_files.text_lines(files, "file", "text"))
 
 
+@query(
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(l_quantity AS BIGINT) AS q, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem),
+      e AS (SELECT *, l_orderkey % 2 = 0 AS valued, 100 + pos AS src FROM l)
+    SELECT CAST(l_orderkey AS VARCHAR) AS file, src, dst, CASE WHEN valued THEN l_returnflag || chr(9) || q || chr(92) || 'n' || chr(10) END AS value FROM (SELECT *, unnest([l_suppkey + 1, l_suppkey + 2, l_suppkey + 7]) AS dst FROM e)"""
+)
+def feature_file_implicit_edges(spark, sf_dir):
+    """Edge files of which the first line alone names its source; targets are lists, and values write tabs, line feeds and backslashes in two characters."""
+    line, at = read(spark, sf_dir, "lineitem"), Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    line = line.withColumns({"at": F.row_number().over(at), "valued": F.col("l_orderkey") % 2 == 0})
+    target = F.expr("concat(l_suppkey + 1, '-', l_suppkey + 2, ',', l_suppkey + 7)")
+    value = F.concat("l_returnflag", F.lit("\\t"), F.col("l_quantity").cast("long"), F.lit("\\\\n\\n"))
+    fields = F.concat_ws("\t", F.when(F.col("at") == 1, F.lit("101")), target, F.when(F.col("valued"), value))
+    texts = line.groupBy("l_orderkey", "valued").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", fields.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    head = F.when(F.col("valued"), "@edge\n@edgeValues\n\n").otherwise("@edge\n\n")
+    files = texts.select(F.col("l_orderkey").cast("string").alias("file"), F.concat(head, "body").alias("text"))
+    return corpus_files.edge_rows(feature_files.text_lines(files, "file", "text", chunk=2))
+
+
+@query("SELECT o_orderpriority AS file, o_orderkey + 1 AS first, o_orderkey + 1 AS last, o_orderstatus AS value FROM orders")
+def feature_folder_ranges(spark, sf_dir):
+    """Node feature files of orders by priority, written as text and read again in ranges of bytes: only lines after a gap name their node."""
+    folder = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    orders = read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_orderstatus")
+    # a line lacks its node where the order before has the same priority, which a join tells
+    before = orders.select("o_orderpriority", (F.col("o_orderkey") + 1).alias("o_orderkey"), F.lit(True).alias("follows"))
+    body = orders.join(before, ["o_orderpriority", "o_orderkey"], "left")
+    text = F.when(F.col("follows"), F.col("o_orderstatus")).otherwise(F.concat((F.col("o_orderkey") + 1).cast("string"), F.lit("\t"), "o_orderstatus"))
+    rows = body.select("o_orderpriority", F.col("o_orderkey").alias("at"), text.alias("value"))
+    head = orders.select("o_orderpriority").distinct().select("o_orderpriority", F.inline(F.array(*(F.struct(F.lit(k - 9).cast("long").alias("at"), F.lit(x).alias("value")) for k, x in enumerate(("@node", "@valueType=str", ""))))))
+    lines = rows.unionByName(head).withColumn("name", F.col("o_orderpriority"))
+    lines.repartition("name").sortWithinPartitions("name", "at").select("value", "name").write.partitionBy("name").text(folder)
+    found = feature_files.ranges(feature_files.lines(spark, f"{folder}/*/*"))
+    return found.withColumn("file", F.url_decode(F.regexp_extract("file", "name=([^/]+)/", 1)))
+
+
 @query(catalog_sql() + " SELECT corpus, source, corpus_version, kind, relation, target, node, feature, value FROM m")
 def catalog_documents(spark, sf_dir):
     """The derived catalog, written as XML documents and read again; versions stand at rows, corpora at roots."""

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossgraph.operators.selectors import SelectionError
+from glossgraph.session import cut
 from glossgraph.sources import feature_files
 from glossgraph.sources.graph import EdgeType, TableCorpus
 
@@ -23,26 +24,31 @@ def stem(file: Column) -> Column:
 
 
 def edge_rows(numbered: DataFrame) -> DataFrame:
-    """(file, src, dst, value): lines of edge files; a line is `a<TAB>b` or `a<TAB>b<TAB>value`, or lacks a after the line before.
+    """(file, src, dst, value): lines of edge files: `a<TAB>b`, with a third field if the header says @edgeValues.
 
-    Node specs on either side may be ranges a-b or lists a,b; every pair of them is an edge.
+    A line that has one field less lacks its source, which is then the node after that of the line before; a line of
+    a target alone has no value, either. Node specs on either side may be ranges or lists; every pair of them is an edge.
     """
     parts = F.split("line", "\t")
-    by_file = Window.partitionBy("file")
-    start = F.min(F.when(F.col("line") == "", F.col("pos"))).over(by_file)
-    body = numbered.withColumn("start", start).where((F.col("pos") > F.col("start")) & (F.col("line") != "")).withColumn("parts", parts)
-    single = lambda s: F.flatten(F.transform(F.split(s, ","), lambda x: F.sequence(F.substring_index(x, "-", 1).cast("long"), F.substring_index(x, "-", -1).cast("long"))))
-    return body.where(F.size("parts") > 1).select(
-        "file", F.explode(single(F.get("parts", F.lit(0)))).alias("src"), single(F.get("parts", F.lit(1))).alias("targets"), F.get("parts", F.lit(2)).alias("value")
-    ).select("file", "src", F.explode("targets").alias("dst"), "value")
+    full = F.size(parts) == F.when(F.col("valued"), 3).otherwise(2)
+    target = F.when(full, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0)))
+    value = F.when(F.col("valued") & (F.size(parts) > 1), feature_files.unescaped(F.element_at(parts, -1)))
+    parsed = feature_files.body(numbered).select(
+        "file", "chunk", "pos", feature_files.spec_ranges(F.when(full, F.get(parts, F.lit(0)))).alias("sources"), feature_files.spec_ranges(target).alias("targets"), value.alias("value")
+    )
+    placed = feature_files.numbered_nodes(parsed.withColumn("given", F.array_max(F.transform("sources", lambda r: r["last"]))))
+    nodes = lambda ranges: F.flatten(F.transform(ranges, lambda r: F.sequence(r["first"], r["last"])))
+    ends = placed.select("file", F.explode(F.coalesce(nodes(F.col("sources")), F.array("node"))).alias("src"), nodes(F.col("targets")).alias("targets"), "value")
+    return ends.select("file", "src", F.explode("targets").alias("dst"), "value")
 
 
 def load(spark: SparkSession, folder: str, name: str, features: dict[str, str] | None = None) -> TableCorpus:
     """A corpus from a folder of feature files.
 
-    Headers are read once to learn which features there are and of what type; `features` may say so instead, as
-    {feature: "node" | "edge"}. A folder without `otype` is refused. Each type's table has its nodes with all node
-    features that have a value there.
+    Headers say which features there are and of what type; `features` may choose some of them, as
+    {feature: "node" | "edge"}, and one that has no file is refused, as are a folder without `otype` and lines that
+    can't be read. Files are read in ranges of bytes. Each type's table has its nodes with all node features that have a
+    value there.
     """
     numbered = feature_files.lines(spark, f"{folder}/*.tf").withColumn("feature", stem(F.col("file")))
     heads = {r.feature: r for r in feature_files.headers(numbered).withColumn("feature", stem(F.col("file"))).collect()}  # one row for each file
@@ -50,11 +56,15 @@ def load(spark: SparkSession, folder: str, name: str, features: dict[str, str] |
         raise SelectionError("feature_header", f"{problems}")
     if "otype" not in heads:
         raise SelectionError("otype_missing", folder)
+    if gone := sorted(set(features or ()) - heads.keys()):
+        raise SelectionError("feature_missing", f"{gone}")
+    if bad := feature_files.malformed(numbered).first():
+        raise SelectionError("feature_body", f"{bad.file}: {bad.problem} in {bad.line!r}")
     kinds = features or {f: r.marker for f, r in heads.items()}
     ranges = feature_files.ranges(numbered.where(F.col("feature").isin([f for f, k in kinds.items() if k == "node"]))).withColumn("feature", stem(F.col("file")))
     types = feature_files.nodes(ranges.where("feature = 'otype'")).select("node", F.col("value").alias("otype"))
     values = feature_files.nodes(ranges.where("feature <> 'otype'").withColumn("file", F.col("feature"))).select("node", F.col("file").alias("feature"), "value")
-    placed = values.join(types, "node")
+    placed = cut(values.join(types, "node"))  # each type reads it
     present = {}
     for r in placed.groupBy("otype", "feature").count().collect():  # as many rows as types have features
         present.setdefault(r.otype, []).append(r.feature)
@@ -77,7 +87,7 @@ def load(spark: SparkSession, folder: str, name: str, features: dict[str, str] |
             valued = "edgeValues" in entries
             rows = edges.where(F.col("feature") == f)
             value = entries.get("valueType", "str") if valued else None
-            edge_tables[f] = rows.select("src", "dst", *([F.col("value").cast(VALUE_TYPES[value]).alias("value")] if valued else []))
+            edge_tables[f] = rows.select("src", "dst", *([F.expr(f"try_cast(value AS {VALUE_TYPES[value]})").alias("value")] if valued else []))
             edge_types[f] = EdgeType("*", "*", value)
     return TableCorpus(name, tables, edge_types, edge_tables)
 

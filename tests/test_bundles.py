@@ -20,7 +20,7 @@ def test_corpus_from_feature_files(spark, tmp_path):
     (tmp_path / "sp.tf").write_text("@node\n@valueType=str\n\nsubs\n3\tverb\n")
     (tmp_path / "freq.tf").write_text("@node\n@valueType=int\n\n1-3\t7\n5\t9\n")
     (tmp_path / "oslots.tf").write_text("@edge\n@valueType=str\n\n4\t1-2\n5\t3\n")
-    (tmp_path / "score.tf").write_text("@edge\n@edgeValues\n@valueType=int\n\n1\t4,5\t3\n2\t5\n")
+    (tmp_path / "score.tf").write_text("@edge\n@edgeValues\n@valueType=int\n\n1\t4,5\t3\n2\t5\t\n")
     corpus = corpus_files.load(spark, str(tmp_path), "tiny")
     assert corpus.node_types() == ["line", "word"] and corpus.edge_names() == ["oslots", "score"]
     assert sorted(tuple(r) for r in corpus.nodes("word").select("node", "sp", "freq").collect()) == [(1, "subs", 7), (2, None, 7), (3, "verb", 7)]
