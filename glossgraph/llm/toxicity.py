@@ -2,13 +2,16 @@
 
 Severity grades are given from outside, as whole numbers from 0. The query takes them from both given labels: 0 for
 good documents, 1 for those of bad quality, TOXIC for toxic ones. All thresholds share one weight vector:
-P(grade > k) = sigmoid(score - threshold[k]), thresholds ascending. A document's expected severity is the sum of
-these probabilities, and it is rejected where P(grade >= TOXIC) reaches the cut.
+P(grade > k) = sigmoid(score - threshold[k]), thresholds ascending. A feature is used if it tells apart the grades on
+the two sides of any threshold: words for toxic documents, runs of symbols and words that follow themselves for bad
+ones. A document's expected severity is the sum of these probabilities, and it is rejected where P(grade >= TOXIC)
+reaches the cut.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +35,9 @@ LEAST_GAIN = 24.0
 #: Everything that isn't part of an ASCII word ends it; bytes of other letters are kept.
 _SEPARATORS = bytes(x for x in range(128) if not (chr(x).isalnum() or chr(x) == "'"))
 _TABLE = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
+#: Three equal symbols of a run at most, or one between spaces; three words of capitals in a row.
+_SYMBOLS = re.compile(rb"([!-&(-,/:-@\[-`{-~])\1{1,2}|(?<=\s)[!-&(-,/:-@\[-`{-~](?=\s)")
+_CAPITALS = re.compile(rb"(?:\b[A-Z]{3,}\b[^A-Za-z\x80-\xff]+){3}")
 
 
 @dataclass(frozen=True)
@@ -43,14 +49,22 @@ class OrdinalModel:
 
 
 def features(text: str | None) -> set[bytes]:
-    """The distinct lower-case words of a whole text, and their prefixes with a star; empty for null.
+    """The distinct lower-case words of a whole text, their prefixes with a star, and marks of its form; empty for null.
 
-    Prefixes let inflected forms of a word share a weight; they are cut by bytes, whatever the letters.
+    Prefixes let inflected forms of a word share a weight; they are cut by bytes, whatever the letters. Marks are symbols
+    that follow themselves, ALONE for one between spaces, CAPITALS for three such words in a row, and AGAIN for a word that
+    follows itself; they begin with a space, which no word has.
     """
-    words = set((text or "").lower().encode().translate(_TABLE).split())
+    raw = (text or "").encode()
+    words = raw.lower().translate(_TABLE).split()
     found = set(words)
     for n in PREFIXES:
-        found |= {w[:n] + b"*" for w in words if len(w) > n}
+        found |= {w[:n] + b"*" for w in found if len(w) > n and b"*" not in w}
+    found |= {b" " + (m or b"ALONE") for m in set(_SYMBOLS.findall(raw))}
+    if _CAPITALS.search(raw):
+        found.add(b" CAPITALS")
+    if any(map(bytes.__eq__, words, words[1:])):
+        found.add(b" AGAIN")
     return found
 
 
@@ -122,9 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grade: str = "
     # near copies would make their own words look telling: of those that share the least hash of a shingle one stays
     graded = joined.select("labelled", "grade", "text", _least_shingle(F.col("text")).alias("least"))
     alone = graded.groupBy("least", "grade").agg(F.min_by("text", F.struct(F.xxhash64("labelled"), "labelled", "text")).alias("text"))
-    sampled = cut(alone.select("grade", (F.col("grade") >= TOXIC).cast("int").alias("toxic"), "text"))
-    sizes = {r.toxic: r["count"] for r in sampled.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
+    sampled = cut(alone.select("grade", "text"))
+    sizes = {r.grade: r["count"] for r in sampled.groupBy("grade").count().collect()}  # as many rows as there are grades
+    if not (any(g >= TOXIC for g in sizes) and any(g < TOXIC for g in sizes)):
         return OrdinalModel({}, (math.inf,) * TOXIC)
     telling = [bytes(r.feature) for r in _telling(sampled, sizes).collect()]
     number = {w: k for k, w in enumerate(telling)}
@@ -142,22 +156,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grade: str = "
 
 
 def _telling(sampled: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    """Features that appear in toxic documents more often than chance allows, the most telling first."""
+    """Features that stand above some threshold between grades more often than chance allows, the most telling first."""
+    grades = sorted(sizes)
 
     def count(batches):
         for batch in batches:
             counts: dict[bytes, list[int]] = {}
-            for text, label in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
+            for text, grade in zip(batch["text"].to_pylist(), batch["grade"].to_pylist(), strict=True):
                 for feature in features(text):
-                    counts.setdefault(feature, [0, 0])[label] += 1
-            values = list(zip(*counts.values(), strict=True)) or [(), ()]
-            yield pa.record_batch([pa.array(list(counts), pa.binary()), *(pa.array(v, pa.int64()) for v in values)], ["feature", "good", "bad"])
-
-    sums = sampled.mapInArrow(count, "feature binary, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    good, bad, n = F.col("good"), F.col("bad"), F.col("good") + F.col("bad")
-    share = sizes[1] / (sizes[0] + sizes[1])
-    gain = 2 * (bad * F.log(bad / (n * share)) + F.when(good > 0, good * F.log(good / (n * (1 - share)))).otherwise(0.0))
-    return sums.where((bad > 0) & (bad > n * share)).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").select("feature")
+                    counts.setdefault(feature, [0] * len(grades))[grades.index(grade)] += 1
+            yield pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.list_(pa.int64()))], ["feature", "counts"])
+
+    each = [F.sum(F.get("counts", F.lit(k))).alias(f"g{k}") for k in range(len(grades))]
+    sums = sampled.mapInArrow(count, "feature binary, counts array<long>").groupBy("feature").agg(*each)
+    n = sum((F.col(f"g{k}") for k in range(len(grades))), F.lit(0))
+
+    def gain(k: int) -> Column:
+        """Log-likelihood ratio of the feature above threshold k; 0 if it is no more frequent there."""
+        bad = sum((F.col(f"g{j}") for j in range(k, len(grades))), F.lit(0))
+        good, share = n - bad, sum(sizes[g] for g in grades[k:]) / sum(sizes.values())
+        ratio = 2 * (bad * F.log(bad / (n * share)) + F.when(good > 0, good * F.log(good / (n * (1 - share)))).otherwise(0.0))
+        return F.when((bad > 0) & (bad > n * share), ratio).otherwise(0.0)
+
+    best = F.greatest(*(gain(k) for k in range(1, len(grades))), F.lit(0.0))
+    return sums.withColumn("gain", best).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").select("feature")
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", cut: float = CUT) -> DataFrame:

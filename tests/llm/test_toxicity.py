@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from glossgraph.llm import simhash, toxicity
 from glossgraph.llm.queries import op9_toxicity
@@ -14,10 +15,15 @@ def test_held_out_labels_are_predicted(spark):
     labels = spark.read.parquet(f"{folder}/labels.parquet").withColumn("grade", toxicity.given_grade())
     half = toxicity.F.pmod(toxicity.F.xxhash64("doc_id", toxicity.F.lit(7)), toxicity.F.lit(2))
     model = toxicity.fit(docs, labels.where(half == 0))
-    rows = toxicity.score(docs.join(labels.where(half == 1), "doc_id"), model).select("toxic", "toxicity.*").collect()
+    rows = toxicity.score(docs.join(labels.where(half == 1), "doc_id"), model).select("toxic", F.col("grade").alias("given"), "toxicity.*").collect()
     bad, good = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
     assert sum(r.rejected for r in bad) >= 0.75 * len(bad) and sum(r.rejected for r in good) <= 0.02 * len(good)
     assert np.mean([r.severity for r in bad]) > 4 * np.mean([r.severity for r in good])
+    # every threshold tells grades apart: severity rises with the grade, and most documents of bad quality are graded so
+    by_grade = [np.mean([r.severity for r in rows if r.given == g]) for g in range(3)]
+    assert by_grade[1] > by_grade[0] + 0.4 and by_grade[2] > by_grade[1] + 0.4
+    of_bad_quality = [r.grade for r in rows if r.given == 1]
+    assert of_bad_quality.count(1) >= 0.6 * len(of_bad_quality) and sum(r.grade > 0 for r in rows if r.given == 0) <= 0.05 * len(rows)
     assert all(0 <= r.severity <= 2 and r.rejected == (r.p_toxic >= toxicity.CUT) for r in rows)
 
 
@@ -36,6 +42,8 @@ def test_cumulative_link_recovers_order():
 
 def test_features_are_of_the_whole_text():
     assert b"clown" in toxicity.features("x " * 100000 + "CLOWN!!") and b"clow*" in toxicity.features("clowns")
+    assert toxicity.features("a !!! b") >= {b" !"} and b" ALONE" in toxicity.features("a | b") and b" ALONE" not in toxicity.features("a|b")
+    assert {b" CAPITALS", b" AGAIN"} <= toxicity.features("SOME LOUD WORDS! again again") and not {b" CAPITALS", b" AGAIN"} & toxicity.features("Some LOUD words again")
     assert toxicity.features(None) == toxicity.features(" ,;") == set()
 
 
@@ -88,20 +96,22 @@ def test_query_scores_as_plain_loops_do(spark):
     rows = [r for r in labels.collect() if r.doc_id in docs]
     ids, graded = [r.doc_id for r in rows], [(r.grade, r.toxic, docs[r.doc_id]) for r in rows]
     assert all((g == toxicity.TOXIC) == (t > 0) for g, t, _ in graded)
-    bad, good, seen = Counter(), Counter(), {}
+    counts, seen = {}, {}
     for doc_id, (grade, toxic, text) in zip(ids, graded, strict=True):
         least = min(simhash.shingle_hashes(text, 5), default=0)
         seen.setdefault((least, grade), []).append((doc_id, toxic, text))
     hashed = {r.doc_id: r.h for r in spark.range(max(docs) + 1).selectExpr("id AS doc_id", "xxhash64(id) AS h").collect()}
     kept = [min(x, key=lambda r: (hashed[r[0]], r[0])) for x in seen.values()]
-    for _, toxic, text in kept:
-        (bad if toxic else good).update(toxicity.features(text))
-    share, want = sum(t for _, t, _ in kept) / len(kept), set()
-    for f, b in bad.items():
-        n, g = b + good[f], good[f]
-        gain = 2 * (b * math.log(b / (n * share)) + (g * math.log(g / (n * (1 - share))) if g else 0))
-        if b > n * share and gain >= toxicity.LEAST_GAIN:
-            want.add(f)
+    grade_of, want = dict(zip(ids, (g for g, _, _ in graded), strict=True)), set()
+    for doc_id, _, text in kept:
+        for f in toxicity.features(text):
+            counts.setdefault(f, Counter())[grade_of[doc_id]] += 1
+    for f, c in counts.items():
+        for k in (1, 2):  # each threshold between grades
+            b, n = sum(c[g] for g in c if g >= k), c.total()
+            share, g = sum(grade_of[i] >= k for i, _, _ in kept) / len(kept), n - b
+            if b > n * share and 2 * (b * math.log(b / (n * share)) + (g * math.log(g / (n * (1 - share))) if g else 0)) >= toxicity.LEAST_GAIN:
+                want.add(f)
     assert set(model.weights) == want
     rows = op9_toxicity(spark, folder).collect()
     assert len(rows) == len(docs)
