@@ -12,11 +12,13 @@ not yet matched equal, so its members are posted again under each part. Below tw
 can't be longer than MOST, so every comparison is bounded and nothing is dropped. Lists report a spanning set
 of their links, as only the components are asked for.
 
-Near copies of a wider radius are found by minima of five-word shingles and confirmed by their shingle sets.
+Near copies of a wider radius are found by minima of five-word shingles and confirmed by their shingle sets. Lists of the
+same minima may be long, too; what links found already needn't be compared again, see list_links().
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -213,7 +215,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 # Near copies by shingle similarity: bands of minima as the index, every candidate compared on its real shingles.
 
 #: Words of a shingle, bands of the index and minima of a band. A pair of similarity 0.8 shares no band once in
-#: 5,000 times, whatever the kind of edit.
+#: 2,800 times, whatever the kind of edit.
 WIDE_WORDS = 5
 BANDS = 20
 BAND = 5
@@ -223,7 +225,12 @@ SIMILAR = 0.7
 BLOCK_SHINGLES = 1 << 19
 #: Classes of size for each factor of e.
 CLASSES = 8
-_SALTS = np.random.default_rng(42).integers(0, 2**64, (2, BANDS * BAND), dtype=np.uint64)
+#: How often the members of a long list are posted again under other minima, at most.
+LEVELS = 3
+
+
+def _salts(level: int) -> np.ndarray:
+    return np.random.default_rng(42 + level).integers(0, 2**64, (2, BANDS * BAND), dtype=np.uint64)
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -240,8 +247,9 @@ def text_print(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _banded(text: Column) -> Column:
+def _banded(text: Column, level: int = 0) -> Column:
     """A struct of the number of a text's set, its size, and a key for each band; no keys without shingles."""
+    salts = _salts(level)
 
     def of(texts: pa.Array) -> pa.Array:
         sets = shingle_sets(texts)
@@ -253,7 +261,7 @@ def _banded(text: Column) -> Column:
         for band in range(BANDS if full.any() else 0):
             key = np.full(full.sum(), band, dtype=np.uint64)
             for k in range(band * BAND, band * BAND + BAND):
-                least = np.minimum.reduceat((flat ^ _SALTS[0, k]) * (_SALTS[1, k] | np.uint64(1)), starts)
+                least = np.minimum.reduceat((flat ^ salts[0, k]) * (salts[1, k] | np.uint64(1)), starts)
                 key = (key ^ (key >> np.uint64(29)) ^ least) * np.uint64(0x9E3779B97F4A7C15)
             keys[:, band] = key
         offsets = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
@@ -273,12 +281,16 @@ def _node_and_shingles(text: Column) -> Column:
     return F.arrow_udf(of, "struct<node:long,shingles:binary>").asNondeterministic()(text)
 
 
-def similar(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]:
-    """Spanning links between sets of shared / all >= least, as numbers of the sets; each pair not joined yet is compared."""
+def similar(sets: list[np.ndarray], least: float, joined: list[int] | None = None) -> tuple[list[int], list[int]]:
+    """Spanning links between sets of shared / all >= least, as numbers of the sets; each pair not joined yet is compared.
+
+    Sets of one number in `joined` are joined already.
+    """
     sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
     starts = np.cumsum(sizes) - sizes
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    root, mark = np.arange(len(sets)), np.zeros(int(ids.max()) + 1, dtype=bool)
+    root = np.arange(len(sets)) if joined is None else np.unique(joined, return_inverse=True)[1]
+    mark = np.zeros(int(ids.max()) + 1, dtype=bool)
     left, right = [], []
     for i in range(len(sets) - 1):
         if (root == root[0]).all():
@@ -298,59 +310,134 @@ def similar(sets: list[np.ndarray], least: float) -> tuple[list[int], list[int]]
     return left, right
 
 
-def band_tasks(posted: DataFrame, most: int, least: float) -> DataFrame:
-    """Rows (key, a, b, node): the members of each comparison, from rows (key, node, size).
+def _weight(most: int) -> Column:
+    """What a member counts for: its shingles, and a `most`-th of a block's at least."""
+    return F.greatest(F.col("size"), F.lit(-(-BLOCK_SHINGLES // most)))
 
-    Lists of the same members count once. A list that is too long for one block (of about BLOCK_SHINGLES shingles, each
-    member counting for at least a `most`-th of them) is cut by classes of size, and each class into as many parts
-    as its sum asks for, by a hash; sums are by groups, so no task holds a whole list. Each block is compared with
-    itself and with each other one, but where no two sizes of theirs can reach `least`. So no list is too long: it
-    has more tasks.
+
+def _members(posted: DataFrame, most: int) -> DataFrame:
+    """(key, node, size, comp, sum): members of the lists of (key, node, size, comp) that aren't one component already.
+
+    Lists of the same members count once. Sums are by groups, so no task holds a whole list.
     """
-    weight = F.greatest(F.col("size"), F.lit(-(-BLOCK_SHINGLES // most)))
     mixed = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)]
-    lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.sum(weight).alias("sum"), *mixed).where("n > 1")
-    kept = lists.groupBy("n", "sum", "x0", "x1").agg(F.min("key").alias("key")).select("key", "sum")
-    members = cut(posted.join(kept, "key"))
-    whole = members.where(F.col("sum") <= BLOCK_SHINGLES).withColumn("block", F.lit(0).cast("long"))
-    classed = members.where(F.col("sum") > BLOCK_SHINGLES).withColumn("class", F.floor(F.log("size") * CLASSES))
-    parts = classed.groupBy("key", "class").agg(F.ceil(F.sum(weight) / BLOCK_SHINGLES).alias("parts"))
-    part = F.pmod(F.xxhash64("node", F.lit(len(mixed))), F.col("parts"))
+    lists = posted.groupBy("key").agg(F.count("*").alias("n"), F.sum(_weight(most)).alias("sum"), F.min("comp").alias("low"), F.max("comp").alias("high"), *mixed)
+    kept = lists.where("n > 1 AND low < high").groupBy("n", "sum", "x0", "x1").agg(F.min("key").alias("key")).select("key", "sum")
+    return cut(posted.join(kept, "key"))
+
+
+def _blocks(members: DataFrame, most: int) -> DataFrame:
+    """(key, block, node, size, comp): long lists by classes of size, and each class in as many parts as its sum asks for, by a hash."""
+    classed = members.withColumn("class", F.floor(F.log("size") * CLASSES))
+    parts = classed.groupBy("key", "class").agg(F.ceil(F.sum(_weight(most)) / BLOCK_SHINGLES).alias("parts"))
+    part = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))
     parted = classed.join(parts, ["key", "class"]).withColumn("block", F.shiftleft("class", 40) + part)
-    members = whole.select("key", "node", "size", "block").unionAll(parted.select("key", "node", "size", "block"))
+    return parted.select("key", "block", "node", "size", "comp")
+
+
+def band_tasks(posted: DataFrame, most: int, least: float) -> DataFrame:
+    """Rows (key, a, b, node, comp): comparisons in which all members of each list of (key, node, size) meet.
+
+    Each block of a long list is compared with itself and with each other one, but where no two sizes of theirs can
+    reach `least`. So no list is too long: it has more tasks, as many as the square of its blocks.
+    """
+    posted = posted if "comp" in posted.columns else posted.withColumn("comp", F.col("node"))
+    members = _members(posted, most)
+    whole = members.where(F.col("sum") <= BLOCK_SHINGLES).withColumn("block", F.lit(0).cast("long"))
+    members = whole.select("key", "block", "node", "size", "comp").unionAll(_blocks(members.where(F.col("sum") > BLOCK_SHINGLES), most))
     blocks = members.groupBy("key", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     one = blocks.select("key", F.col("block").alias("a"), F.col("high"))
     other = blocks.select("key", F.col("block").alias("b"), F.col("low"))
     # a little less than `least`, as the product is rounded
     pairs = one.join(other, "key").where((F.col("a") <= F.col("b")) & (F.col("high") >= (least - 1e-9) * F.col("low")))
     tasks = pairs.select("key", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    return members.join(tasks, ["key", "block"]).select("key", "a", "b", "node")
+    return members.join(tasks, ["key", "block"]).select("key", "a", "b", "node", "comp")
+
+
+def _inside(posted: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Tasks of short lists and of each block of long ones by itself, and these blocks."""
+    members = _members(posted, most)
+    whole = members.where(F.col("sum") <= BLOCK_SHINGLES).select("key", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "node", "comp")
+    blocks = cut(_blocks(members.where(F.col("sum") > BLOCK_SHINGLES), most))
+    return whole.unionAll(blocks.select("key", F.col("block").alias("a"), F.col("block").alias("b"), "node", "comp")), blocks
+
+
+def list_links(posted: DataFrame, sets_of, bands_of, most: int, least: float) -> DataFrame:
+    """Rows (a, b): links that join all alike members of each list of (key, node, size, comp) that share a band.
+
+    Short lists are compared whole, long ones block by block first. What a block joins is one component from then on, and
+    one member of each component is compared with those of the others. A list of near copies is one component after
+    that. Where a few members stay outside the largest component, they are compared with all of it. A list of many
+    that are not alike (of pages with one boilerplate, say) is posted again under other minima, which few of them
+    share, so its work stays near its length; what is still long after LEVELS turns is compared block by block.
+    """
+    found: list[DataFrame] = []
+
+    def compare(tasks: DataFrame) -> None:
+        tasks = cut(tasks)
+        found.append(cut(similar_links(tasks, sets_of(tasks), least)))
+
+    def joined(rows: DataFrame) -> DataFrame:
+        comps = connected_components(functools.reduce(DataFrame.unionAll, found), "a", "b")
+        return cut(rows.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"))
+
+    for level in range(LEVELS + 1):
+        tasks, blocks = _inside(posted, most)
+        compare(tasks)
+        if blocks.isEmpty():
+            break
+        blocks = joined(blocks)
+        heads = blocks.groupBy("key", "comp").agg(F.min(F.struct("node", "size")).alias("head"))
+        compare(_inside(heads.select("key", "head.node", "head.size", "comp"), most)[0])
+        blocks = joined(blocks)
+        sums = blocks.groupBy("key", "comp").agg(F.sum(_weight(most)).alias("w")).groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("all"), F.max(F.struct("w", "comp")).alias("top"))
+        open_lists = sums.where("n > 1").select("key", F.col("top.comp").alias("largest"), (F.col("all") - F.col("top.w")).alias("others"))
+        left = cut(blocks.join(open_lists, "key"))
+        if left.isEmpty():
+            break
+        narrow, wide = left.where(F.col("others") <= BLOCK_SHINGLES), left.where(F.col("others") > BLOCK_SHINGLES)
+        outside = F.col("comp") != F.col("largest")
+        largest = narrow.where(~outside)
+        own = lambda rows: rows.select("key", F.lit(-1).cast("long").alias("a"), F.col("block").alias("b"), "node", "comp")
+        compare(own(largest).unionAll(own(narrow.where(outside).drop("block").join(largest.select("key", "block").distinct(), "key"))))
+        if wide.isEmpty():
+            break
+        if level == LEVELS:
+            compare(band_tasks(wide.select("key", "node", "size", "comp"), most, least))
+            break
+        bands = bands_of(wide.select("node").distinct(), level + 1)
+        posted = wide.join(bands, "node").select(F.xxhash64("key", F.col("band")).alias("key"), "node", "size", "comp").distinct()
+    return functools.reduce(DataFrame.unionAll, found)
 
 
 def similar_links(tasks: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Rows (a, b) between nodes of (node, shingles) that are alike, spanning each task of (key, a, b, node)."""
+    """Rows (a, b) between nodes of (node, shingles) that are alike, spanning each task of (key, a, b, node, comp).
+
+    Nodes of one `comp` are joined already and aren't compared.
+    """
 
     def compared(batches):
-        task, nodes, members = None, [], []
+        task, nodes, members, joined = None, [], [], []
 
         def links():
-            left, right = similar(members, least) if len(members) > 1 else ([], [])
+            left, right = similar(members, least, joined) if len(members) > 1 else ([], [])
             return pa.record_batch([pa.array([nodes[k] for k in side], pa.int64()) for side in (left, right)], ["a", "b"])
 
         for batch in batches:
             keys = zip(*(batch[c].to_pylist() for c in ("key", "a", "b")), strict=True)
-            for key, node, shingles in zip(keys, batch["node"].to_pylist(), batch["shingles"], strict=True):
+            for key, node, comp, shingles in zip(keys, batch["node"].to_pylist(), batch["comp"].to_pylist(), batch["shingles"], strict=True):
                 if key != task:
                     if len(nodes) > 1:
                         yield links()
-                    task, nodes, members = key, [], []
+                    task, nodes, members, joined = key, [], [], []
                 nodes.append(node)
+                joined.append(comp)
                 members.append(np.frombuffer(shingles.as_py(), dtype=np.uint64))
         if len(nodes) > 1:
             yield links()
 
     # a task's members follow each other within one partition
-    dealt = tasks.join(sets, "node").select("key", "a", "b", "node", "shingles").repartition("key", "a", "b")
+    dealt = tasks.join(sets, "node").select("key", "a", "b", "node", "comp", "shingles").repartition("key", "a", "b")
     return dealt.sortWithinPartitions("key", "a", "b", "node").mapInArrow(compared, "a long, b long")
 
 
@@ -365,11 +452,20 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     printed = cut(named.select("doc_id", text_print(F.col("text")).alias("print"), _banded(F.col("text")).alias("p")).select("doc_id", "print", "p.*"))
     first = printed.groupBy("node").agg(F.min("doc_id").alias("first"))
-    posted = printed.select("node", "size", F.explode("bands").alias("key")).distinct()
-    tasks = cut(band_tasks(posted, most, least))
-    candidates = tasks.select("node").distinct()
-    holders = first.join(candidates, "node", "left_semi").select("first").distinct()
-    texts = named.join(holders, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
-    sets = texts.select(_node_and_shingles(F.col("text")).alias("s")).select("s.*").join(candidates, "node", "left_semi")
-    found = similar_links(tasks, sets.groupBy("node").agg(F.first("shingles").alias("shingles")), least)
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        holders = first.join(nodes, "node", "left_semi").select("first").distinct()
+        return named.join(holders, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+
+    def sets_of(tasks: DataFrame) -> DataFrame:
+        nodes = tasks.select("node").distinct()
+        sets = texts_of(nodes).select(_node_and_shingles(F.col("text")).alias("s")).select("s.*").join(nodes, "node", "left_semi")
+        return sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+    def bands_of(nodes: DataFrame, level: int) -> DataFrame:
+        banded = texts_of(nodes).select(_banded(F.col("text"), level).alias("p")).select("p.node", F.explode("p.bands").alias("band"))
+        return banded.join(nodes, "node", "left_semi").distinct()
+
+    posted = printed.select("node", "size", F.explode("bands").alias("key"), F.col("node").alias("comp")).distinct()
+    found = list_links(posted, sets_of, bands_of, most, least)
     return _components(printed.select("doc_id", "print", "node"), first, found, ["node"])

@@ -175,3 +175,51 @@ def test_copies_are_found_whatever_the_edit(spark):
         alike = [d for d, (k, near) in wanted.items() if k == kind and near]
         assert len(alike) > 15 and sum(got[d + 1] == d for d in alike) >= len(alike) - 1, kind
     assert all(got[d + 1] == d + 1 for d, (_, near) in wanted.items() if not near)
+
+
+def long_list(rng, common, n):
+    """Texts that are one boilerplate and some words of their own, so that they share bands but are not alike."""
+    return [" ".join([*common, *some_words(rng, len(common))]) for _ in range(n)]
+
+
+def components(spark, texts, most):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in simhash.near_copies(df, most=most, least=0.8).collect()}
+
+
+def test_long_lists_of_texts_with_one_boilerplate(spark):
+    """All pairs by brute force: a boilerplate alone links nothing, copies among the texts are found."""
+    rng = random.Random(21)
+    texts = long_list(rng, some_words(rng, 60), 150)
+    texts += [t.rsplit(" ", 4)[0] for t in texts[:40]]
+    grams = [five_grams(t) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert len(set(root)) == 150
+    for most in (simhash.MOST, 20):
+        got = components(spark, texts, most)
+        assert sum(got[d] != root[d] for d in got) <= 1, most  # the index is probabilistic
+
+
+def test_work_on_long_lists_grows_with_their_length(spark, monkeypatch):
+    """Members of all comparisons of one list: with four times the members, not sixteen times as many."""
+    def compared(texts):
+        rows, plain = [], simhash.similar_links
+        monkeypatch.setattr(simhash, "similar_links", lambda tasks, sets, least: rows.append(tasks.count()) or plain(tasks, sets, least))
+        got = components(spark, texts, 16)
+        monkeypatch.setattr(simhash, "similar_links", plain)
+        return sum(rows), got
+
+    rng = random.Random(3)
+    base = some_words(rng, 120)
+    copies = [" ".join([*base[:k], some_words(rng, 1)[0], *base[k + 1 :]]) for k in (rng.randrange(120) for _ in range(320))]
+    few, many = compared(copies[:80]), compared(copies)
+    assert set(few[1].values()) == set(many[1].values()) == {0}
+    assert many[0] < 7 * few[0], (few[0], many[0])
+    pages = long_list(rng, some_words(rng, 60), 320)
+    few, many = compared(pages[:80]), compared(pages)
+    assert all(c == d for d, c in many[1].items())
+    assert many[0] < 7 * few[0], (few[0], many[0])
