@@ -126,9 +126,14 @@ class Filter:
 Filters = dict[int, dict[int, Filter]]
 
 
-def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
-    head = lang.encode() + b"\0"
-    return np.array([xxhash.xxh64_intdigest(head + w) for w in words], dtype=np.uint64)
+def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
+    """A hash of each word (none is empty) and its language: its bytes as digits of a number, mixed."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    digits = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)
+    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+    powers = np.multiply.accumulate(np.full(int(sizes.max(initial=1)), _ODD[2], dtype=np.uint64))
+    numbers = np.add.reduceat(digits * powers[np.arange(len(digits)) - np.repeat(starts, sizes)], starts) if len(digits) else np.zeros(0, dtype=np.uint64)
+    return _joined_hash(np.full(len(numbers), xxhash.xxh64_intdigest(lang), dtype=np.uint64), numbers)
 
 
 def _key(hashes: np.ndarray) -> np.ndarray:
@@ -221,7 +226,7 @@ def _scan(paged: DataFrame, filters, step: int, shards: int, longest: int, bucke
 
         for batch in batches:
             for lang, words, codes in zip(batch["lang"].to_pylist(), batch["words"], batch["codes"].to_pylist(), strict=True):
-                for k, _, counts, hashes, starts in phrases_of(np.frombuffer(codes, np.int32), word_hashes(lang, words.as_py()), filters.value, longest):
+                for k, _, counts, hashes, starts in phrases_of(np.frombuffer(codes, np.int32), word_hashes(lang, words.values), filters.value, longest):
                     active = np.flatnonzero(starts > step - shards)
                     if len(active):
                         held.setdefault(k, []).append((_key(hashes[active]), counts[active], starts[active]))
@@ -258,7 +263,7 @@ def _merged(sums: DataFrame, step: int, shards: int, least: int) -> DataFrame:
 def _hashed(batches):
     for batch in batches:
         pairs = zip(batch["lang"].to_pylist(), batch["word"].to_pylist(), strict=True)
-        keys = np.array([word_hashes(lang, [word.encode()])[0] for lang, word in pairs], dtype=np.uint64)
+        keys = np.array([word_hashes(lang, pa.array([word.encode()]))[0] for lang, word in pairs], dtype=np.uint64)
         yield pa.record_batch([pa.array([1], pa.int32()), pa.array([keys.tobytes()], pa.binary())], ["k", "reached"])
 
 
@@ -313,7 +318,7 @@ def _exact(paged: DataFrame, filters, lengths: range, buckets_log: int, least: i
         for batch in batches:
             for lang, words, codes in zip(batch["lang"].to_pylist(), batch["words"], batch["codes"].to_pylist(), strict=True):
                 dictionary = words.values
-                for k, parts, counts, hashes, _ in phrases_of(np.frombuffer(codes, np.int32), word_hashes(lang, words.as_py()), filters.value, lengths[-1]):
+                for k, parts, counts, hashes, _ in phrases_of(np.frombuffer(codes, np.int32), word_hashes(lang, words.values), filters.value, lengths[-1]):
                     kept = np.flatnonzero(_latest(filters.value.get(k, {}), hashes) >= 0) if k in lengths else ()
                     if not len(kept):
                         continue
