@@ -1,4 +1,4 @@
-"""Canonical JSON and digests: on the driver for documents, as expressions for rows."""
+"""Canonical JSON and digests: of single documents on the driver, of columns of documents, of rows, and of ordered rows."""
 
 from __future__ import annotations
 
@@ -6,9 +6,13 @@ import hashlib
 import json
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossgraph.operators.ordering import places
+from glossgraph.session import cut
+
 SAFE = 2**53 - 1
 DEEPEST = 128
 PREFIX = "sha256:"
@@ -173,3 +177,85 @@ def evidence_set(rows: DataFrame, by: list[str]) -> DataFrame:
     others = [c for c in rows.columns if c not in by]
     wide = lambda salt: F.sum(F.xxhash64(F.lit(salt), *others).cast("decimal(38,0)")).cast("string")
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.concat(F.lit(PREFIX), F.sha2(F.concat_ws(":", F.count("*").cast("string"), wide(0), wide(1)), 256)).alias("digest"))
+
+
+# On tables
+
+#: What a JSON document is digested as.
+KINDS = {"mapping": mapping_digest, "projection": projection_digest, "profile": profile_digest, "manifest": parent_manifest_digest, "evidence": evidence_digest, "json": digest}
+
+
+def document_digest(document: Column, kind: str) -> Column:
+    """A struct (digest, problem) of a column of JSON texts: the digest of what each means as a document of a kind.
+
+    Keys are ordered by UTF-16 at any depth, unordered lists by their items' canonical bytes, audit fields don't count.
+    What isn't strict JSON, or isn't such a document, has a problem and no digest; null has neither.
+    """
+    from glossgraph.sources.strict_json import SourceError, loads
+
+    of_kind = KINDS[kind]
+
+    def one(text: str | None) -> tuple[str | None, str | None]:
+        if text is None:
+            return None, None
+        try:
+            return of_kind(loads(text.encode())), None
+        except SourceError:
+            return None, "not_json"
+        except (DigestError, KeyError, TypeError, AttributeError):
+            return None, "not_" + kind
+
+    def of(texts: pa.Array) -> pa.Array:
+        both = list(map(one, texts.to_pylist()))
+        return pa.StructArray.from_arrays([pa.array([x[k] for x in both], pa.string()) for k in range(2)], ["digest", "problem"])
+
+    return F.arrow_udf(of, "struct<digest:string,problem:string>")(document)
+
+
+def row_fingerprint(algorithm: str, fields: dict[str, Column]) -> Column:
+    """fingerprint() of flat rows: digests under the name of their algorithm."""
+    return row_digest({"algorithm": F.lit(algorithm), **fields})
+
+
+#: Digests that one digest of the level above is made from.
+FANOUT = 1024
+
+
+def ordered_digest(rows: DataFrame, by: list[str], order: list[str], fanout: int = FANOUT) -> DataFrame:
+    """(by, n, root): a digest of each key's rows in their order, by a tree of digests, so no task gathers a key's rows.
+
+    A leaf is the digest of a row's columns as canonical JSON; each `fanout` neighbours are digested into one, level by
+    level, at least once and until one is left. How the rows are dealt to partitions makes no difference; two rows that
+    change places do.
+    """
+    columns = {c: F.col(c) for c in rows.columns if c not in by}
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    level = places(rows, by, order).select(*by, "at", row_digest(columns).alias("digest")).join(sizes, by).withColumn("left", F.col("n"))
+    roots, left = None, most
+    while roots is None or left > 1:
+        grouped = level.groupBy(*by, F.floor(F.col("at") / fanout).alias("at")).agg(
+            F.first("n").alias("n"), F.first("left").alias("left"), F.array_sort(F.collect_list(F.struct(F.col("at").alias("place"), "digest"))).alias("parts")
+        )
+        joined = F.array_join(F.transform("parts", lambda x: x["digest"]), ",")
+        level = cut(grouped.select(*by, "at", F.concat(F.lit(PREFIX), F.sha2(joined, 256)).alias("digest"), "n", F.ceil(F.col("left") / fanout).alias("left")))
+        done = level.where("left = 1").select(*by, "n", F.col("digest").alias("root"))
+        roots = done if roots is None else roots.unionByName(done)
+        level, left = level.where("left > 1"), -(-left // fanout)
+    return roots
+
+
+def walk_digest(plans: DataFrame, starts: DataFrame, layers: DataFrame, finals: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """(plan, digest): of a walk's evidence. Binds plan and binding identity, start nodes, each layer's edges and the final
+    nodes, all in their order.
+
+    `plans` has (plan, fingerprint, binding), `starts` and `finals` (plan, ord, node), `layers` (plan, step, ord, src, dst,
+    value_present, value). A layer without edges is the same as none; steps are few, so a plan's roots are one row.
+    """
+    ends = lambda rows: ordered_digest(rows.select("plan", "ord", "node"), ["plan"], ["ord", "node"], fanout)
+    edges = ordered_digest(layers, ["plan", "step"], ["ord", "src", "dst"], fanout)
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("step", "root"))), lambda x: F.concat_ws(":", x["step"], x["root"]))
+    of_layers = edges.groupBy("plan").agg(F.array_join(steps, ",").alias("layers"))
+    joined = plans.join(ends(starts).select("plan", F.col("root").alias("start")), "plan", "left").join(of_layers, "plan", "left").join(ends(finals).select("plan", F.col("root").alias("final")), "plan", "left")
+    fields = {"plan": F.col("fingerprint"), "binding": F.col("binding"), "start": F.col("start"), "layers": F.coalesce("layers", F.lit("")), "final": F.col("final")}
+    return joined.select("plan", row_fingerprint("walk-evidence/1", fields).alias("digest"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossgraph.session import cut
+
 
 def latest(events: DataFrame, by: list[Column | str], time: str, tie: str) -> DataFrame:
     """The last event of each key, summed up before any shuffle. What comes of it is for a later filter, so that a revocation counts."""
@@ -44,3 +46,19 @@ def version_key(c: Column) -> Column:
 def time_key(text: Column) -> Column:
     """A time written by ISO 8601 as a timestamp; null where the text is none."""
     return F.try_to_timestamp(text)
+
+
+def places(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Add `at`, each row's place from 0 among those of its key, without gathering a key's rows.
+
+    Rows are sorted by ranges; a range tells how many rows of each key it has, and sums of these over the ranges before
+    are where it goes on. Rows that are equal in key and order are told apart by a hash of all their columns.
+    """
+    tie = F.xxhash64(*rows.columns)
+    keys = [*by, *order, "_tie"]
+    dealt = rows.withColumn("_tie", tie).withColumn("_salt", F.monotonically_increasing_id()).repartitionByRange(*keys, "_salt").sortWithinPartitions(*keys)
+    placed = cut(dealt.drop("_salt", "_tie").withColumn("_place", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_place", 33)))
+    runs = placed.groupBy(*by, "_range").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(*by, "_range", "_first", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    return placed.join(runs, [*by, "_range"]).withColumn("at", F.col("_place") - F.col("_first") + F.col("_ahead")).drop("_place", "_range", "_first", "_ahead")
