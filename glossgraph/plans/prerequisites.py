@@ -104,7 +104,8 @@ def evaluate_all(spark: SparkSession, corpora: dict[str, TableCorpus], needs: Da
     `needs` has (corpus, dependency_id, kind, node_type, feature, edge, direction, value_type, values array, closed,
     target_type, steps array). Kinds that ask for schemas alone are joins with these; the others meet the corpora in one
     scan for each node type or edge that they name, however many they are: sizes of types and features in one
-    aggregate, and values by a join with those that are asked for. Values are compared as text of the feature's type.
+    aggregate, and values by a join with those that are asked for. Values are compared as text of the feature's type. A
+    kind that isn't known is unknown where its feature is there, and fails elsewhere, as in evaluate().
     """
     types, features, edges = map(F.broadcast, executor.schemas(spark, corpora))  # as many rows as schemas have names
     there = types.withColumn("_type", F.lit(True))
@@ -162,7 +163,7 @@ def evaluate_all(spark: SparkSession, corpora: dict[str, TableCorpus], needs: Da
         .when(kind == "feature-present", F.when(F.col("_kind").isNull(), "fail").when(none("_filled"), "unknown").otherwise("pass"))
         .when(kind == "native-value-present", ok(typed & (F.size("values") == 1) & all_met))
         .when(kind == "value-domain", ok(typed & F.when(F.col("closed"), none("_outside")).otherwise(all_met)))
-        .otherwise("unknown")
+        .otherwise(F.when(F.col("_kind").isNull(), "fail").otherwise("unknown"))
     )
     return rows.select("corpus", "dependency_id", result.alias("result"))
 
