@@ -486,6 +486,33 @@ def dependency_violations(spark, sf_dir):
     return rules.membership_authority(mappings, needs).unionByName(paths).unionByName(rules.value_set_authority(mappings, needs))
 
 
+@query(
+    with_tables("selectors", "selector_steps")
+    + """, s AS (SELECT s.*, CAST(substr(mapping_id, 2) AS BIGINT) AS k FROM selector_steps s), w AS (SELECT *, CAST(substr(mapping_id, 2) AS BIGINT) AS k FROM selectors WHERE shape = 'edge-path'),
+    g AS (SELECT mapping_id, count(*) AS n, bool_or(match_values IS NOT NULL) AS valued, bool_or(match_values = 'A+R') AS both_values, bool_or(match_values = 'x' OR (edge = 'order_parts' AND match_values IS NOT NULL)) AS strange FROM s GROUP BY 1)
+    SELECT 'ordered_path_authority' AS rule, mapping_id AS id, problem FROM (SELECT w.mapping_id, CASE WHEN k % 16 = 5 THEN 'node_type_unproven' WHEN k % 12 = 9 AND n > 1 THEN 'path_unproven'
+      WHEN valued AND (strange OR k % 20 = 1 OR (k % 20 = 13 AND both_values)) THEN 'dependency_authority' END AS problem FROM w JOIN g USING (mapping_id)) WHERE problem IS NOT NULL"""
+)
+def ordered_path_violations(spark, sf_dir):
+    """Edge paths whose types, order or values their own dependencies don't prove."""
+    named = lambda n: table(spark, sf_dir, n).withColumnRenamed("mapping_id", "plan_id")
+    steps = named("selector_steps").withColumns({"match_values": F.split("match_values", r"\+"), "match_type": F.lit("str")})
+    plans = executor.gathered(named("selectors"), named("selector_values"), steps).withColumnRenamed("plan_id", "mapping_id")
+    walks = plans.where("shape = 'edge-path'").withColumn("k", F.substring("mapping_id", 2, 20).cast("long"))
+    k = F.col("k")
+    types = walks.select("corpus", "mapping_id", "k", F.explode(F.concat(F.array("node_type"), F.transform("steps", lambda s: s["result_type"]))).alias("node_type"), F.col("node_type").alias("start"))
+    types = types.where((k % 16 != 5) | (F.col("node_type") != F.col("start"))).select("corpus", "mapping_id", F.lit("node-type-present").alias("kind"), "node_type")
+    way = F.transform("steps", lambda s: F.struct(s["edge"].alias("edge"), s["direction"].alias("direction")))
+    paths = walks.select("corpus", "mapping_id", F.lit("path-present").alias("kind"), F.when(k % 12 == 9, F.reverse(way)).otherwise(way).alias("path"))
+    # what a domain's edge runs between, as it is stored; some are written the way a step walks, some in parts
+    valued = walks.select("corpus", "mapping_id", "k", "node_type", F.explode("steps").alias("s")).where("s.step = 0 AND s.match_values IS NOT NULL AND s.edge = 'order_part_flag'")
+    ends = {"source": F.when(k % 20 == 1, F.col("s.result_type")).otherwise(F.col("node_type")), "target": F.when(k % 20 == 1, F.col("node_type")).otherwise(F.col("s.result_type"))}
+    parts = F.when(k % 20 == 13, F.array(F.array(F.lit("R")), F.array(F.lit("A")))).otherwise(F.array(F.array(F.lit("A"), F.lit("N"), F.lit("R"))))
+    domains = valued.select("corpus", "mapping_id", F.lit("edge-value-domain").alias("kind"), F.col("s.edge").alias("edge"), *(c.alias(n) for n, c in ends.items()), F.lit("str").alias("value_type"), F.explode(parts).alias("values"))
+    needs = types.unionByName(paths, allowMissingColumns=True).unionByName(domains, allowMissingColumns=True)
+    return rules.ordered_path_authority(plans, needs)
+
+
 STEPS = "(SELECT l_orderkey, l_partkey, list_sort(list(DISTINCT l_returnflag)) AS flags FROM lineitem GROUP BY 1, 2)"
 
 

@@ -142,6 +142,42 @@ def path_values_authority(steps: DataFrame, domains: DataFrame) -> DataFrame:
     return _broken(keyed.join(covered.select("_step").distinct(), "_step", "left_anti"), "path_values_authority", "mapping_id", F.lit("dependency_authority"))
 
 
+def ordered_path_authority(plans: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Edge paths that their own dependencies don't prove; the first reason of each counts.
+
+    `plans` has (corpus, mapping_id, node_type, steps as executor.gathered() gives them); `dependencies` (corpus,
+    mapping_id, kind, node_type, path array of (edge, direction), edge, source, target, value_type, values). Every type
+    that a path meets must be among the mapping's own node types (node_type_unproven), and the whole path, in its
+    order, among its paths (path_unproven). A step with values needs one domain that covers them all, between the types
+    that the edge has as it is stored: a step goes on from the one before, and an incoming one is turned round.
+    """
+    by = ["corpus", "mapping_id"]
+    walks = plans.where("shape = 'edge-path'").select(*by, "node_type", "steps")
+    own = lambda kind: dependencies.where(F.col("kind") == kind)
+    met = walks.select(*by, F.explode(F.array_distinct(F.concat(F.array("node_type"), F.transform("steps", lambda s: s["result_type"])))).alias("node_type"))
+    unproven = met.join(own("node-type-present").select(*by, "node_type").distinct(), [*by, "node_type"], "left_anti").select(*by).distinct().withColumn("_types", F.lit(True))
+    ways = lambda a: F.to_json(F.transform(a, lambda s: F.struct(s["edge"].alias("edge"), s["direction"].alias("direction"))))
+    proven = own("path-present").select(*by, ways(F.col("path")).alias("_way")).distinct().withColumn("_proven", F.lit(True))
+    # where a step begins: at the result of the one before, or at the start
+    here = lambda i: F.when(i == 0, F.col("node_type")).otherwise(F.get(F.col("steps"), i - 1)["result_type"])
+    placed = walks.select(*by, F.inline(F.transform("steps", lambda s, i: F.struct(here(i).alias("here"), s.alias("s"))))).where("s.match_values IS NOT NULL")
+    out = F.col("s.direction") == "outgoing"
+    asked = placed.select(
+        *by, "s.step", "s.edge", F.when(out, F.col("here")).otherwise(F.col("s.result_type")).alias("source"), F.when(out, F.col("s.result_type")).otherwise(F.col("here")).alias("target"), F.col("s.match_type").alias("value_type"), "s.match_values"
+    )
+    domains = own("edge-value-domain").select(*by, "edge", "source", "target", "value_type", "values")
+    covered = asked.join(domains, [*by, "edge", "source", "target", "value_type"]).where((F.size("match_values") > 0) & (F.size(F.array_except("match_values", "values")) == 0))
+    open_steps = asked.join(covered.select(*by, "step").distinct(), [*by, "step"], "left_anti").select(*by).distinct().withColumn("_values", F.lit(True))
+    joined = walks.withColumn("_way", ways(F.col("steps"))).join(unproven, by, "left").join(proven, [*by, "_way"], "left").join(open_steps, by, "left")
+    problem = (
+        F.when(F.size("steps") == 0, "path_empty")
+        .when(F.col("_types"), "node_type_unproven")
+        .when(F.col("_proven").isNull(), "path_unproven")
+        .when(F.col("_values"), "dependency_authority")
+    )
+    return _broken(joined, "ordered_path_authority", "mapping_id", problem)
+
+
 def native_semantics(mappings: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Null and empty values are selectors only where a dependency proves that they mean something."""
     rows = mappings.where("value IS NULL OR value = ''").withColumn("value", F.coalesce("value", F.lit("")))

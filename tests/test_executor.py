@@ -135,3 +135,23 @@ def test_order_of_reasons(spark, resolved):
 def test_absent_values_differ_from_null_ones(spark):
     rows = spark.createDataFrame([(1, True, "v"), (2, True, None), (3, False, None), (4, False, "v"), (5, None, "v")], "k int, value_present boolean, value string")
     assert {r.k: (r.state, r.value) for r in bindings.native(rows).collect()} == {1: ("given", "v"), 2: ("null", None), 3: ("absent", None), 4: ("absent", None), 5: ("absent", None)}
+
+
+def test_authority_of_ordered_paths(spark):
+    from glossgraph.operators import violations
+
+    ab = [("near", "outgoing", "word", None), ("holds", "incoming", "line", ["x", "y"])]
+    plans = gathered(spark, [(n, "edge-path", "word", None, [], ab) for n in ("good", "type", "order", "ends", "cover", "kind", "other")] + [("one", "edge-path", "word", None, [], ab[:1]), ("none", "edge-path", "word", None, [], [])])
+    rows = []
+    for n in ("good", "type", "order", "ends", "cover", "kind", "one"):
+        rows += [(n, "node-type-present", t, None, None, None, None, None, None) for t in (("word",) if n in ("type", "one") else ("word", "line"))]
+        way = [(e, d) for e, d, *_ in ab]
+        rows.append((n, "path-present", None, way[::-1] if n == "order" else way[: 1 if n == "one" else 2], None, None, None, None, None))
+        # the second step walks against its edge, so the edge runs from its result to the first step's result
+        source, target = ("word", "line") if n == "ends" else ("line", "word")
+        for values in (["x"], ["y"]) if n == "cover" else (["x", "y", "z"],):
+            rows.append((n, "edge-value-domain", None, None, "holds", source, target, "int" if n == "kind" else "str", values))
+    kind = "corpus string, mapping_id string, kind string, node_type string, path array<struct<edge:string,direction:string>>, edge string, source string, target string, value_type string, values array<string>"
+    needs = spark.createDataFrame([("tiny", *r) for r in rows], kind)
+    found = violations.ordered_path_authority(plans.withColumnRenamed("plan_id", "mapping_id"), needs)
+    assert {r.id: r.problem for r in found.collect()} == {"none": "path_empty", "type": "node_type_unproven", "other": "node_type_unproven", "order": "path_unproven", "ends": "dependency_authority", "cover": "dependency_authority", "kind": "dependency_authority"}
