@@ -124,7 +124,9 @@ def identify(rows: DataFrame, model: LanguageModel) -> DataFrame:
     """Fuse the evidence for rows (any columns with text, declared, host, domain, suffix; all may be null).
 
     Returns the rows without their text, with text_lang (by the text alone), lang, p (its posterior) and kept
-    (p is at least KEEP). Rows without any evidence get the table's commonest language. Every level of the
+    (p is at least KEEP); input columns of these four names are replaced, all others stay, and repeated rows come back as
+    they are. Texts are read whole; of languages that are equally likely the first by name is taken. Rows without any
+    evidence get the table's commonest language. Every level of the
     hierarchy is a grouped sum with as many rows as it has keys; a key with a large part of the rows is summed
     up before the shuffle, and its rows are joined by plain equality, so that Spark can split them.
     """
