@@ -86,6 +86,29 @@ def binding_indexes(spark, sf_dir):
     return out
 
 
+@query(BOUND + ", " + with_tables("external_refs").removeprefix("WITH ") + f" SELECT *, 1 AS missing FROM ({SIZES})")
+def index_lookups(spark, sf_dir):
+    """The five indexes, built as bucketed tables and asked for all of their keys and one that they lack."""
+    mappings, refs, bound = table(spark, sf_dir, "mappings"), table(spark, sf_dir, "external_refs"), _bound(spark, sf_dir)
+    out = None
+    for kind, rows, key in (
+        ("native", mappings, ("corpus", *bindings.NATIVE_KEY)),
+        ("semantic", bound, bindings.SEMANTIC_KEY),
+        ("authority", bound, bindings.AUTHORITY_KEY),
+        ("identity", refs, bindings.IDENTITY_KEY),
+        ("identifier", refs, bindings.IDENTIFIER_KEY),
+    ):
+        rows = bindings.index(rows, kind).na.fill("", list(key))  # a join meets no nulls
+        keys = rows.select(*key)
+        absent = keys.limit(1).select(*(F.lit("absent").alias(k) for k in key))
+        met = bindings.look_up(keys.unionByName(absent), bindings.build_index(rows, kind, key), key)
+        sizes = met.groupBy(*key).agg(F.count("found").alias("n"))
+        summed = sizes.agg(F.count(F.when(F.col("n") > 0, 1)).alias("keys"), F.sum("n").alias("entries"), F.max("n").alias("most"), F.count(F.when(F.col("n") == 0, 1)).cast("int").alias("missing"))
+        part = summed.select(F.lit(kind).alias("index"), "keys", "entries", "most", "missing")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 FACTS = BOUND + (
     ", n AS (SELECT corpus, profile, capability, count(*) FILTER (WHERE reviewed AND native_state <> 'unsupported') AS reviewed_native_support, count(*) FILTER (WHERE reviewed AND native_state = 'ambiguous') AS ambiguous,"
     " count(*) FILTER (WHERE reviewed AND native_state = 'native-only') AS native_only, count(*) FILTER (WHERE reviewed AND native_state = 'unsupported') AS unsupported, count(*) FILTER (WHERE reviewed) AS mappings,"

@@ -6,9 +6,13 @@ the order in which reasons are asked for is part of the contract. Nothing is col
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossgraph.session import shared_folder
+
 #: The vocabulary of bindings.
 ASSESSMENTS = ("exact", "close", "broader", "narrower", "related")
 SUBSTITUTES = ("close", "broader", "narrower")
@@ -78,6 +82,25 @@ def index_sizes(rows: DataFrame, kind: str, key: tuple[str, ...]) -> DataFrame:
     return sizes.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.max("n").alias("most")).select(F.lit(kind).alias("index"), "keys", "entries", "most")
 
 
+def build_index(rows: DataFrame, kind: str, key: tuple[str, ...], buckets: int | None = None) -> DataFrame:
+    """One of the five indexes as a table that is bucketed and sorted by its key, in the shared folder.
+
+    A batch of keys that is joined with it meets its rows where they lie: the index isn't shuffled again, and its
+    buckets are merged as they are sorted. There are as many buckets as shuffles have partitions, or more where `buckets`
+    says so, about one for each 128 MB; with fewer Spark would shuffle both sides.
+    """
+    spark = rows.sparkSession
+    buckets = max(buckets or 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"index_{kind}_{uuid.uuid4().hex}"
+    index(rows, kind).write.bucketBy(buckets, *key).sortBy(*key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+def look_up(keys: DataFrame, built: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """The rows of a built index for a batch of keys; a key that isn't there comes back once, with nulls."""
+    return keys.select(*key).distinct().join(built.withColumn("found", F.lit(True)), list(key), "left")
+
+
 def facts(mappings: DataFrame, projections: DataFrame) -> DataFrame:
     """Capability facts by (corpus, profile, capability): native support by state, and projections by assessment.
 

@@ -155,3 +155,21 @@ def test_authority_of_ordered_paths(spark):
     needs = spark.createDataFrame([("tiny", *r) for r in rows], kind)
     found = violations.ordered_path_authority(plans.withColumnRenamed("plan_id", "mapping_id"), needs)
     assert {r.id: r.problem for r in found.collect()} == {"none": "path_empty", "type": "node_type_unproven", "other": "node_type_unproven", "order": "path_unproven", "ends": "dependency_authority", "cover": "dependency_authority", "kind": "dependency_authority"}
+
+
+def test_batches_of_keys_meet_a_built_index_where_it_lies(spark):
+    rows = spark.createDataFrame([(f"k{n % 50}", "entity-identity", True, "a", "s", f"r{n}") for n in range(200)], "external string, reference_kind string, reviewed boolean, authority_system string, identity_strength string, reference_id string")
+    built = bindings.build_index(rows, "identity", bindings.IDENTITY_KEY)
+    keys = spark.createDataFrame([("a", "k1", "s"), ("a", "k2", "s"), ("a", "k2", "s"), ("a", "gone", "s")], "authority_system string, external string, identity_strength string")
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        met = bindings.look_up(keys, built, bindings.IDENTITY_KEY)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        scan = plan[plan.index("FileScan") :]
+        assert "Bucketed: true" in scan and plan.count("Exchange hashpartitioning") == 1  # of the keys alone
+        got = sorted((r.external, r.reference_id or "") for r in met.collect())
+    finally:
+        spark.conf.set(setting, before)
+    assert got == sorted([("gone", ""), *((f"k{n % 50}", f"r{n}") for n in range(200) if n % 50 in (1, 2))])
