@@ -11,7 +11,6 @@ reaches the cut.
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,9 +34,10 @@ LEAST_GAIN = 24.0
 #: Everything that isn't part of an ASCII word ends it; bytes of other letters are kept.
 _SEPARATORS = bytes(x for x in range(128) if not (chr(x).isalnum() or chr(x) == "'"))
 _TABLE = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
-#: Three equal symbols of a run at most, or one between spaces; three words of capitals in a row.
-_SYMBOLS = re.compile(rb"([!-&(-,/:-@\[-`{-~])\1{1,2}|(?<=\s)[!-&(-,/:-@\[-`{-~](?=\s)")
-_CAPITALS = re.compile(rb"(?:\b[A-Z]{3,}\b[^A-Za-z\x80-\xff]+){3}")
+#: Symbols, each after itself, and each between spaces.
+_SYMBOLS = [bytes([x]) for x in range(33, 127) if not chr(x).isalnum() and chr(x) not in ".'-"]
+_DOUBLED, _ALONE = [x * 2 for x in _SYMBOLS], [b" " + x + b" " for x in _SYMBOLS]
+_SPACED = bytes.maketrans(b"\t\n\r", b"   ")
 
 
 @dataclass(frozen=True)
@@ -56,12 +56,16 @@ def features(text: str | None) -> set[bytes]:
     follows itself; they begin with a space, which no word has.
     """
     raw = (text or "").encode()
-    words = raw.lower().translate(_TABLE).split()
-    found = set(words)
+    words = (text or "").lower().encode().translate(_TABLE).split()
+    distinct = set(words)
+    found = set(distinct)
     for n in PREFIXES:
-        found |= {w[:n] + b"*" for w in found if len(w) > n and b"*" not in w}
-    found |= {b" " + (m or b"ALONE") for m in set(_SYMBOLS.findall(raw))}
-    if _CAPITALS.search(raw):
+        found |= {w[:n] + b"*" for w in distinct if len(w) > n}
+    found |= {b" " + m[:1] for m in _DOUBLED if m in raw}
+    spaced = raw.translate(_SPACED)
+    if any(m in spaced for m in _ALONE):
+        found.add(b" ALONE")
+    if b"\1\1\1" in bytes(map(bytes.isupper, raw.translate(_TABLE).split())):
         found.add(b" CAPITALS")
     if any(map(bytes.__eq__, words, words[1:])):
         found.add(b" AGAIN")
