@@ -777,6 +777,40 @@ def _accounts(spark, sf_dir):
     return items, projections.join(seen, ["corpus", "mapping_id"]).select("corpus", "item_id", "assessment", (F.col("reviewed") & F.col("_seen")).alias("production"), "target")
 
 
+LABELLED = (
+    ", said AS (SELECT corpus, item_id, string_agg(DISTINCT assessment, '+' ORDER BY assessment) AS a, count(DISTINCT assessment) AS k, count(target) > 0 AS common FROM l GROUP BY 1, 2),"
+    " t AS (SELECT corpus, item_id, CASE WHEN k > 1 THEN 'mixed:' || a ELSE a END AS label, coalesce(common, false) AS common FROM i LEFT JOIN said USING (corpus, item_id))"
+)
+
+
+@query(ACCOUNTS + LABELLED + " SELECT corpus, count(*) AS items, count(label) AS reviewed, count(*) FILTER (WHERE common) AS common, count(*) - count(label) AS unreviewed, round(100.0 * count(label) / count(*), 2) AS pct FROM t GROUP BY ROLLUP (corpus)")
+def schema_coverage(spark, sf_dir):
+    """Items, and how many of them links review or share a target of, by corpus and in all."""
+    return accounting.schema_coverage(accounting.labelled(*_accounts(spark, sf_dir)))
+
+
+@query(ACCOUNTS + LABELLED + " SELECT corpus, label, count(*) AS n FROM t WHERE label IS NOT NULL GROUP BY GROUPING SETS ((corpus, label), (label))")
+def schema_labels(spark, sf_dir):
+    """What links say of items: one assessment, or mixed ones, by corpus and in all."""
+    found = accounting.labelled(*_accounts(spark, sf_dir)).where("label IS NOT NULL")
+    by_corpus = found.groupBy("corpus", "label").agg(F.count("*").alias("n"))
+    return by_corpus.unionByName(by_corpus.groupBy(F.lit(None).cast("string").alias("corpus"), "label").agg(F.sum("n").alias("n")))
+
+
+@query(with_tables("projections") + " SELECT corpus, assessment, target, count(*) AS n FROM projections GROUP BY ALL")
+def projection_histogram(spark, sf_dir):
+    """Projections by corpus, assessment and target."""
+    return table(spark, sf_dir, "projections").groupBy("corpus", "assessment", "target").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id + 40 AS doc_id, 'patch' AS part FROM labels WHERE doc_id + 40 NOT IN (SELECT doc_id FROM documents) UNION SELECT doc_id + 90, 'exclude' FROM labels WHERE toxic = 1 AND doc_id + 90 NOT IN (SELECT doc_id FROM documents)")
+def override_unknown(spark, sf_dir):
+    """Overrides of items that aren't there."""
+    labels = read(spark, sf_dir, "labels")
+    shifted = lambda rows, by: rows.select((F.col("doc_id") + by).alias("doc_id"))
+    return accounting.unknown_overrides(read(spark, sf_dir, "documents"), shifted(labels.where("toxic = 1"), 90), shifted(labels, 40), "doc_id")
+
+
 @query(
     ACCOUNTS
     + """ SELECT corpus, count(*) AS items, count(r) AS research_reviewed, count(*) FILTER (WHERE r > 0) AS research_common, count(p) AS production_reviewed, count(*) FILTER (WHERE p > 0) AS production_common, count(*) FILTER (WHERE p IS NULL) AS production_unreviewed

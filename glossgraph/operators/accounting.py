@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossgraph.operators.census import label
 from glossgraph.operators.selectors import SelectionError
 
 BUCKETS = ("C", "D", "E", "F", "G", "H")
@@ -109,6 +110,27 @@ def patched(items: DataFrame, excluded: DataFrame, patch: DataFrame, on: str, co
     return kept.withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
+def unknown_overrides(items: DataFrame, excluded: DataFrame, patch: DataFrame, on: str) -> DataFrame:
+    """(on, part): exclusions and patches that name no item; patched() is for overrides without any."""
+    parts = [df.select(on, F.lit(name).alias("part")) for name, df in (("exclude", excluded), ("patch", patch))]
+    return parts[0].unionByName(parts[1]).distinct().join(items.select(on), on, "left_anti")
+
+
+def labelled(items: DataFrame, links: DataFrame) -> DataFrame:
+    """(corpus, item_id, label, common): what each item's links say of it, null without any, and whether one has a target."""
+    by = ["corpus", "item_id"]
+    said = links.groupBy(*by).agg(F.collect_set("assessment").alias("_said"), F.max(F.col("target").isNotNull().cast("int")).alias("_common"))
+    joined = items.select(*by).distinct().join(said, by, "left")
+    return joined.select(*by, label(F.col("_said")).alias("label"), (F.coalesce("_common", F.lit(0)) > 0).alias("common"))
+
+
+def schema_coverage(found: DataFrame) -> DataFrame:
+    """(corpus, items, reviewed, common, unreviewed, pct) of labelled() items by corpus and, where corpus is null, of all."""
+    n, reviewed = F.count("*"), F.count("label")
+    pct = F.round(100 * reviewed / n, 2).alias("pct")
+    return found.rollup("corpus").agg(n.alias("items"), reviewed.alias("reviewed"), F.sum(F.col("common").cast("long")).alias("common"), (n - reviewed).alias("unreviewed"), pct)
+
+
 def holders_of_all(pairs: DataFrame, holder: str, wanted: DataFrame, on: str) -> DataFrame:
     """Holders that have every wanted value: relational division, with one count of the wanted."""
     n = wanted.select(on).distinct().count()
