@@ -883,11 +883,10 @@ def binding_identities(spark, sf_dir):
     return line.select("o_orderkey", digests.binding_identity(F.lit("order"), F.lit("flag"), F.col("values")).alias("identity"))
 
 
-@query(with_tables("mappings") + " SELECT corpus, mapping_id, value_present, CASE WHEN value_present THEN value END AS value, CASE WHEN NOT value_present THEN 'absent' WHEN value IS NULL THEN 'null' ELSE 'given' END AS state, shape FROM mappings WHERE native_state = 'positive' AND reviewed")
+@query(with_tables("native_values") + " SELECT corpus, mapping_id, value_present, CASE WHEN value_present THEN value END AS value, CASE WHEN NOT value_present THEN 'absent' WHEN value IS NULL THEN 'null' ELSE 'given' END AS state FROM native_values")
 def native_bindings(spark, sf_dir):
     """Selectors as bindings, where a value that isn't there differs from one that is null."""
-    rows = table(spark, sf_dir, "mappings").where("native_state = 'positive' AND reviewed")
-    return bindings.native(rows).select("corpus", "mapping_id", "value_present", "value", "state", "shape")
+    return bindings.native(table(spark, sf_dir, "native_values")).select("corpus", "mapping_id", "value_present", "value", "state")
 
 
 @query("SELECT conv_id, turn, try_cast(json_extract_string(j, '$.decision') AS VARCHAR) AS decision, CAST(json_extract(j, '$.turn') AS BIGINT) AS said FROM (SELECT conv_id, turn, '{\"decision\":\"' || role || '\",\"turn\":' || turn || '}' AS j FROM conversations)")

@@ -3,8 +3,8 @@
 Each table is one SQL text over the given tables. Spark and the tests' SQL engine read the same text, so what is
 tested is what operators do with the rows. All tables grow with the given ones.
 
-* mappings: one native selector of a corpus with its review; parts and suppliers are two corpora. A selector that has no
-  value differs from one whose value is null (value_present).
+* mappings: one native selector of a corpus with its review; parts and suppliers are two corpora.
+* native_values: values of parts' selectors, where one that isn't there differs from one that is null (value_present).
 * projections: reviewed or unreviewed links of mappings to targets, three parts to a target.
 * external_refs: what customers are called elsewhere.
 * selectors, selector_values, selector_steps: what the parts' mappings select in the commerce graph, in all shapes.
@@ -21,15 +21,18 @@ from pyspark.sql import DataFrame, SparkSession
 #: Name: SQL that Spark and DuckDB both read; given tables are in braces.
 TABLES = {
     "mappings": """
-        SELECT 'parts' AS corpus, concat('p', p_partkey) AS mapping_id, 'part' AS node_type, 'label' AS feature, CASE WHEN p_partkey % 37 <> 5 THEN concat(p_name, '#', CAST(floor(p_partkey / 2) AS BIGINT)) END AS value, p_partkey % 4 > 1 OR p_partkey % 37 = 5 AS value_present,
+        SELECT 'parts' AS corpus, concat('p', p_partkey) AS mapping_id, 'part' AS node_type, 'label' AS feature, concat(p_name, '#', CAST(floor(p_partkey / 2) AS BIGINT)) AS value,
           CASE p_partkey % 10 WHEN 7 THEN 'native-only' WHEN 8 THEN 'ambiguous' WHEN 9 THEN 'unsupported' ELSE 'positive' END AS native_state,
           'lexicon' AS profile, CASE WHEN p_partkey % 31 = 0 THEN 'other.entry' ELSE 'lexicon.entry' END AS capability, p_size % 7 <> 0 AS reviewed,
           CASE p_partkey % 4 WHEN 0 THEN 'membership' WHEN 1 THEN 'edge-path' WHEN 2 THEN 'value-set-predicate' ELSE 'value-predicate' END AS shape
         FROM {part}
         UNION ALL
-        SELECT 'suppliers', concat('s', s_suppkey), 'supplier', 's_nationkey', CAST(s_nationkey AS STRING), true, CASE WHEN s_suppkey % 6 = 5 THEN 'native-only' ELSE 'positive' END,
+        SELECT 'suppliers', concat('s', s_suppkey), 'supplier', 's_nationkey', CAST(s_nationkey AS STRING), CASE WHEN s_suppkey % 6 = 5 THEN 'native-only' ELSE 'positive' END,
           'lexicon', 'lexicon.entry', s_suppkey % 5 <> 0, 'value-predicate'
         FROM {supplier}""",
+    "native_values": """
+        SELECT 'parts' AS corpus, concat('p', p_partkey) AS mapping_id, p_partkey % 4 > 1 OR p_partkey % 37 = 5 AS value_present, CASE WHEN p_partkey % 37 <> 5 THEN p_name END AS value
+        FROM {part} WHERE p_size % 7 <> 0""",
     "projections": """
         SELECT 'parts' AS corpus, concat('pp', p_partkey) AS projection_id, concat('p', p_partkey) AS mapping_id,
           CASE WHEN p_partkey % 5 = 4 THEN 'authority-value' ELSE 'semantic-pivot' END AS reference_kind,
