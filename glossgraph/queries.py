@@ -93,11 +93,11 @@ def correspondence_pairs(spark, sf_dir):
 
 
 #: All pairs of a target without a join: its few selectors are listed, and the list is taken apart twice.
-FIELDS = ("corpus", "relation", "node", "feature", "value")
+PAIR_FIELDS = ("corpus", "relation", "node", "feature", "value")
 LISTED = (
-    f", g AS (SELECT kind, target, list({{{', '.join(f"'{c}': {c}" for c in FIELDS)}}}) AS l FROM m WHERE relation IN {POSITIVE} AND target IS NOT NULL GROUP BY kind, target),"
+    f", g AS (SELECT kind, target, list({{{', '.join(f"'{c}': {c}" for c in PAIR_FIELDS)}}}) AS l FROM m WHERE relation IN {POSITIVE} AND target IS NOT NULL GROUP BY kind, target),"
     " x AS (SELECT kind, target, l, unnest(l) AS a FROM g), y AS (SELECT kind, target, a, unnest(l) AS b FROM x)"
-    f" SELECT kind, target, {', '.join(f'{s}.{c} AS {s}_{c}' for s in 'ab' for c in FIELDS)},"
+    f" SELECT kind, target, {', '.join(f'{s}.{c} AS {s}_{c}' for s in 'ab' for c in PAIR_FIELDS)},"
     " CASE WHEN a.relation = 'exact' AND b.relation = 'exact' THEN 'exact' ELSE 'approximate-via-target' END AS relation, 'category' AS scope FROM y WHERE a.corpus <> b.corpus"
 )
 
