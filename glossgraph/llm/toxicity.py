@@ -4,8 +4,8 @@ Severity grades are given from outside, as whole numbers from 0. The query takes
 good documents, 1 for those of bad quality, TOXIC for toxic ones. All thresholds share one weight vector:
 P(grade > k) = sigmoid(score - threshold[k]), thresholds ascending. A feature is used if it tells apart the grades on
 the two sides of any threshold: words for toxic documents, runs of symbols and words that follow themselves for bad
-ones. A document's expected severity is the sum of these probabilities, and it is rejected where P(grade >= TOXIC)
-reaches the cut.
+ones. A document's expected severity is the sum of these probabilities, and it is rejected where P(grade >= TOXIC) by
+its words alone, without the marks of its form, reaches the cut.
 """
 
 from __future__ import annotations
@@ -187,7 +187,7 @@ def _telling(sampled: DataFrame, sizes: dict[int, int]) -> DataFrame:
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", cut: float = CUT) -> DataFrame:
-    """Add `toxicity`: a struct of severity (expected grade), p_toxic, grade (the likeliest) and rejected.
+    """Add `toxicity`: a struct of severity (expected grade), p_toxic (by words alone), grade (the likeliest) and rejected.
 
     Whole texts are read; null and empty ones have no features and get the model's floor. Of grades that are equally
     likely the lowest is taken. Rows stay as they are, repeated ones too; a column named `toxicity` is replaced.
@@ -196,11 +196,13 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", cut: float =
     weights, thresholds = model.weights, np.array(model.thresholds)
 
     def of(texts: pa.Array) -> pa.Array:
-        totals = np.array([sum(map(weights.__getitem__, weights.keys() & features(x))) for x in texts.to_pylist()], dtype=float)
+        found = [weights.keys() & features(x) for x in texts.to_pylist()]
+        totals = np.array([sum(map(weights.__getitem__, x)) for x in found], dtype=float)
+        worded = np.array([sum(weights[f] for f in x if not f.startswith(b" ")) for x in found], dtype=float)
         above = _sigmoid(totals[:, None] - thresholds[None, :])
         above[:, np.isinf(thresholds)] = 0.0
         each = np.hstack([np.ones((len(totals), 1)), above]) - np.hstack([above, np.zeros((len(totals), 1))])
-        toxic = above[:, TOXIC - 1]
+        toxic = np.where(np.isinf(thresholds[TOXIC - 1]), 0.0, _sigmoid(worded - thresholds[TOXIC - 1]))  # a bad form alone isn't toxic
         columns = [above.sum(axis=1), toxic, each.argmax(axis=1).astype(np.int32), toxic >= cut]
         return pa.StructArray.from_arrays([pa.array(c) for c in columns], ["severity", "p_toxic", "grade", "rejected"])
 
