@@ -29,7 +29,11 @@ SIMILAR = 0.8
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest id, a null id before all others."""
+    """One document of each group of near copies stays: that with the smallest id, a null id before all others.
+
+    Copies are found by SimHash fingerprints and their byte-position index, then by minima of shingles where texts
+    differ in more bits; both are confirmed by their shingles.
+    """
     key = F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))
     keyed = docs.withColumn("_key", key)
     found = simhash.near_copies(keyed, "_key", least=SIMILAR)

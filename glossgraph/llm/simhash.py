@@ -12,8 +12,9 @@ not yet matched equal, so its members are posted again under each part. Below tw
 can't be longer than MOST, so every comparison is bounded and nothing is dropped. Lists report a spanning set
 of their links, as only the components are asked for.
 
-Near copies of a wider radius are found by minima of five-word shingles and confirmed by their shingle sets. Lists of the
-same minima may be long, too; what links found already needn't be compared again, see list_links().
+Near copies are what this index joins, confirmed by sets of five-word shingles. Texts may be similar by these and yet differ
+in more than three bits; such pairs are found after that by minima of the shingles, where the index hasn't joined them. Lists
+of the same minima may be long, too; what links found already needn't be compared again, see list_links().
 """
 
 from __future__ import annotations
@@ -362,16 +363,19 @@ def _inside(posted: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return whole.unionAll(blocks.select("key", F.col("block").alias("a"), F.col("block").alias("b"), "node", "comp")), blocks
 
 
-def list_links(posted: DataFrame, sets_of, bands_of, most: int, least: float) -> DataFrame:
+def list_links(posted: DataFrame, sets_of, bands_of, most: int, least: float, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Rows (a, b): links that join all alike members of each list of (key, node, size, comp) that share a band.
 
+    `known` are links found before, by which members of one comp are joined already; they come back with the others. Without
+    `bands_of`, lists that would be posted again come back beside the links, as rows like those of `posted`.
+
     Short lists are compared whole, long ones block by block first. What a block joins is one component from then on, and
     one member of each component is compared with those of the others. A list of near copies is one component after
     that. Where a few members stay outside the largest component, they are compared with all of it. A list of many
     that are not alike (of pages with one boilerplate, say) is posted again under other minima, which few of them
     share, so its work stays near its length; what is still long after LEVELS turns is compared block by block.
     """
-    found: list[DataFrame] = []
+    found: list[DataFrame] = [] if known is None else [known]
 
     def compare(tasks: DataFrame) -> None:
         tasks = cut(tasks)
@@ -402,12 +406,15 @@ def list_links(posted: DataFrame, sets_of, bands_of, most: int, least: float) ->
         compare(own(largest).unionAll(own(narrow.where(outside).drop("block").join(largest.select("key", "block").distinct(), "key"))))
         if wide.isEmpty():
             break
+        wide = wide.select("key", "node", "size", "comp")
+        if bands_of is None:
+            return functools.reduce(DataFrame.unionAll, found), wide
         if level == LEVELS:
-            compare(band_tasks(wide.select("key", "node", "size", "comp"), most, least))
+            compare(band_tasks(wide, most, least))
             break
         bands = bands_of(wide.select("node").distinct(), level + 1)
         posted = wide.join(bands, "node").select(F.xxhash64("key", F.col("band")).alias("key"), "node", "size", "comp").distinct()
-    return functools.reduce(DataFrame.unionAll, found)
+    return functools.reduce(DataFrame.unionAll, found), None
 
 
 def similar_links(tasks: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -441,16 +448,29 @@ def similar_links(tasks: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return dealt.sortWithinPartitions("key", "a", "b", "node").mapInArrow(compared, "a long, b long")
 
 
+def fingerprint_groups(printed: DataFrame) -> DataFrame:
+    """Lists of (key, node, size, comp): nodes of (fp, node, size) whose fingerprints the byte-position index joins.
+
+    Any two within MAX_BITS are in one list. Sets without shingles are one node and in none.
+    """
+    nodes = printed.where("size > 0").select("fp", "node", "size").distinct()
+    joined = connected_components(links(nodes.select("fp").distinct()), "a", "b").withColumnRenamed("node", "fp")
+    key = F.coalesce("component", "fp").alias("key")
+    return nodes.join(joined, "fp", "left").select(key, "node", "size", F.col("node").alias("comp")).distinct()
+
+
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST, least: float = SIMILAR) -> DataFrame:
     """Rows (doc_id, print, node, component, component_id) for texts of similar five-word shingles, exact copies included.
 
-    Two texts are linked where they share a band and at least `least` of all their distinct shingles; copies are
-    what links join. `print` stands for a text, `node` for a set of shingles, `component` for a group of copies
+    Two texts are linked where their fingerprints are joined within MAX_BITS or they share a band, and they share at
+    least `least` of all their distinct shingles; copies are what links join. Fingerprints come first, bands are for
+    what these left apart. `print` stands for a text, `node` for a set of shingles, `component` for a group of copies
     and component_id is its smallest doc_id. Null and empty texts are copies of each other.
     """
     small_batches(docs.sparkSession)
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    printed = cut(named.select("doc_id", text_print(F.col("text")).alias("print"), _banded(F.col("text")).alias("p")).select("doc_id", "print", "p.*"))
+    prints = text_print(F.col("text")).alias("print"), fingerprint(F.col("text")).alias("fp"), _banded(F.col("text")).alias("p")
+    printed = cut(named.select("doc_id", *prints).select("doc_id", "print", "fp", "p.*"))
     first = printed.groupBy("node").agg(F.min("doc_id").alias("first"))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
@@ -466,6 +486,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
         banded = texts_of(nodes).select(_banded(F.col("text"), level).alias("p")).select("p.node", F.explode("p.bands").alias("band"))
         return banded.join(nodes, "node", "left_semi").distinct()
 
-    posted = printed.select("node", "size", F.explode("bands").alias("key"), F.col("node").alias("comp")).distinct()
-    found = list_links(posted, sets_of, bands_of, most, least)
+    alike, wide = list_links(fingerprint_groups(printed), sets_of, None, most, least)
+    joined = connected_components(alike, "a", "b")
+    nodes = printed.select("node", "size", "bands").dropDuplicates(["node"]).join(joined, "node", "left")
+    posted = nodes.select("node", "size", F.explode(F.array_distinct("bands")).alias("key"), F.coalesce("component", "node").alias("comp"))
+    found = list_links(posted if wide is None else posted.unionByName(wide), sets_of, bands_of, most, least, alike)[0]
     return _components(printed.select("doc_id", "print", "node"), first, found, ["node"])

@@ -69,3 +69,17 @@ def test_one_of_a_group_stays_where_ids_are_null_or_shared(spark):
     for key in (None, 5):
         left = kept(spark, [*((key, t) for t in copies), (key, "a text like none of the others here"), (9, copies[0])])
         assert len(left & {0, 1, 2, 4}) == 1 and 3 in left
+
+
+def chorus(seed, own):
+    """Two texts of one fingerprint, as most of their shingles are those of a chorus; `own` words at the end differ."""
+    sung, body = ([f"{c}{seed}x{k}" for k in range(n)] for c, n in (("c", 3), ("w", 142)))
+    return [" ".join([*sung * 120, *body, *(f"{c}{seed}x{k}" for k in range(own))]) for c in "ab"]
+
+
+def test_fingerprints_find_copies_that_share_no_band(spark):
+    # 145 of 181 shingles, and none of the 20 bands for these seeds
+    texts = [t for seed in (78, 1116, 1209) for t in chorus(seed, 18)]
+    assert kept(spark, list(enumerate(texts))) == {0, 2, 4}
+    # 145 of 183 shingles: the same fingerprint alone makes no copy
+    assert kept(spark, list(enumerate(chorus(78, 19)))) == {0, 1}

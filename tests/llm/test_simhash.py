@@ -223,3 +223,20 @@ def test_work_on_long_lists_grows_with_their_length(spark, monkeypatch):
     few, many = compared(pages[:80]), compared(pages)
     assert all(c == d for d, c in many[1].items())
     assert many[0] < 7 * few[0], (few[0], many[0])
+
+
+def test_groups_hold_any_two_fingerprints_within_the_radius(spark):
+    rng = random.Random(9)
+    seeds = [rng.getrandbits(64) for _ in range(4)]
+    prints = sorted({s ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for s in seeds for _ in range(30)})
+    signed = [p - (p >> 63 << 64) for p in prints]
+    # two sets of shingles for each fingerprint; texts without words are in no group
+    rows = [(p, 2 * k + n, 5) for k, p in enumerate(signed) for n in range(2)] * 2 + [(0, 999, 0)]
+    got = simhash.fingerprint_groups(spark.createDataFrame(rows, "fp long, node long, size long")).collect()
+    key = {r.node: r.key for r in got}
+    assert len(got) == len(key) == 2 * len(prints) and all(r.comp == r.node and r.size == 5 for r in got)
+    want = brute_components([(p, p) for p in signed])
+    groups = {}
+    for k, p in enumerate(signed):
+        groups.setdefault(want[p], set()).update((key[2 * k], key[2 * k + 1]))
+    assert all(len(x) == 1 for x in groups.values()) and len(set().union(*groups.values())) == len(groups)
