@@ -28,6 +28,20 @@ def n_words(text: Column) -> Column:
 FILE_ROWS = 200_000
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """A table of at most `rows` short rows in no more partitions than they need."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
+def unsized(df: DataFrame) -> DataFrame:
+    """The same rows as a table of unknown size, for loops of joins.
+
+    A checkpoint keeps the planner's estimate of its size, and each join multiplies those of its sides: after some rounds
+    the planner would do nothing but multiply numbers of millions of digits.
+    """
+    return df.sparkSession.createDataFrame(df.rdd, df.schema, verifySchema=False)
+
+
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
@@ -35,7 +49,7 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     known to be at most `rows`, there are no more files than they need: a process starts for each file.
     """
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+        df = few(df, rows)
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:

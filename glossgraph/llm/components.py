@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossgraph.llm.common import cut
+from glossgraph.llm.common import cut, few, unsized
 
 
 #: Rows of a key from which on it counts as hot, and hot keys that there may be at most.
@@ -29,34 +29,27 @@ def join_one(rows: DataFrame, one: DataFrame, key: str, total: int) -> DataFrame
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Rows (node, component): each linked node with the smallest node that it reaches.
 
-    Alternates large-star and small-star steps until no link changes. Each step takes a minimum by node,
-    which Spark sums up before its shuffle, and joins it back to the links: links of very many to one node are
-    joined where they lie, so no task gathers the neighbours of a node. Null ends, self-links, repeated links
-    and empty tables are fine. Each round is checkpointed.
+    Alternates large-star and small-star steps until all links are stars around their smallest node. Each step takes a
+    minimum by node, which Spark sums up before its shuffle, and joins it back to the links: links of very many to one
+    node are joined where they lie, so no task gathers the neighbours of a node. Null ends, self-links, repeated links
+    and empty tables are fine. Each step is checkpointed, in as many partitions as its rows need: many rounds over
+    a few links would leave a file for each partition of each shuffle otherwise.
     """
     edges = cut(
-        links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct()
+        unsized(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct())
     )
-    before = _state(edges)  # a star has no more links than the links that it was made from, and its nodes
+    rows = edges.count()
+    edges = few(edges, rows)
     while True:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = (
-            join_one(both.where("v > u"), least, "u", 2 * before[0]).select(F.col("m").alias("u"), "v").where("u <> v").distinct()
-        )
+        both = few(edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * rows)
+        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), 2 * rows)
+        # in a star, a node with a smaller neighbour has no other one
+        if least.where("m < u AND n > 1").isEmpty():
+            return least.select(F.col("u").alias("node"), F.col("m").alias("component"))
+        # each node's larger neighbours, which are the greater ends of its links, point to its smallest neighbour or itself
+        large = cut(join_one(edges, least, "u", rows).select(F.col("m").alias("u"), "v"), rows)
         # each node v points to its smallest neighbour; its other smaller neighbours point there, too
-        down = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
-        small = join_one(large, down, "v", 2 * before[0]).select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v"))
-        edges = cut(small.where("u <> v").distinct(), 2 * before[0])
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionAll(
-        edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
-    )
-
-
-def _state(edges: DataFrame) -> tuple:
-    """A count and a sum of hashes: two numbers by which two link tables are compared."""
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        down = cut(large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")), rows)
+        small = join_one(large, down, "v", rows).select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v"))
+        edges = cut(unsized(few(small.where("u <> v"), 2 * rows).distinct()), 2 * rows)
+        rows = edges.count()

@@ -185,10 +185,10 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
         lists = short.groupBy("key", "mask").agg(F.collect_list("fp").alias("members")).select("members")
         part = lists.mapInArrow(compared, "a long, b long")
         found = part if found is None else found.unionAll(part)
-        long_lists = posted.join(sizes.where(F.col("count") > most).drop("count"), ["key", "mask"])
-        if long_lists.isEmpty():
+        long = sizes.where(F.col("count") > most).drop("count")
+        if long.isEmpty():
             return found
-        posted = cut(refine(long_lists).distinct())
+        posted = cut(refine(posted.join(long, ["key", "mask"])).distinct())
 
 
 def _components(printed: DataFrame, first: DataFrame, found: DataFrame, prints: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from glossgraph.llm import simhash
 from glossgraph.llm.components import connected_components
@@ -240,3 +241,54 @@ def test_groups_hold_any_two_fingerprints_within_the_radius(spark):
     for k, p in enumerate(signed):
         groups.setdefault(want[p], set()).update((key[2 * k], key[2 * k + 1]))
     assert all(len(x) == 1 for x in groups.values()) and len(set().union(*groups.values())) == len(groups)
+
+
+def tasks_of(spark, run):
+    """Tasks that Spark ran for `run`."""
+    context, group = spark.sparkContext, str(random.random())
+    context.setJobGroup(group, "counted")
+    run()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    return sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+
+
+def test_components_of_a_few_links_need_few_tasks(spark):
+    """Each task leaves files; rounds over a few links may not have tasks for each partition of each shuffle."""
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)], "a long, b long")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert tasks_of(spark, lambda: connected_components(links, "a", "b").count()) < 25 * 64
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_components_match_brute_force_where_tables_have_several_files_and_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr("glossgraph.llm.common.FILE_ROWS", 20)
+    monkeypatch.setattr("glossgraph.llm.components.HOT_ROWS", 4)
+    monkeypatch.setattr("glossgraph.llm.components.HOT_KEYS", 100)
+    rng = random.Random(13)
+    chain = [(a, a + 1) for a in rng.sample(range(300, 340), 40)]
+    pairs = [(rng.randrange(150), rng.randrange(150)) for _ in range(110)] + [(205, k) for k in range(200, 230)] + chain + [(None, 5), (7, 7)]
+    root = {x: x for pair in pairs for x in pair}
+    for a, b in pairs * 2:
+        if None not in (a, b):
+            low, high = sorted((root[a], root[b]))
+            root = {x: low if r == high else r for x, r in root.items()}
+    got = [(r.node, r.component) for r in connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()]
+    linked = {x for a, b in pairs if a != b and None not in (a, b) for x in (a, b)}
+    assert sorted(got) == sorted((x, root[x]) for x in linked)
+
+
+def test_estimates_of_sizes_stay_small_over_rounds_of_joins(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
+    for _ in range(2):
+        comps = connected_components(links, "a", "b")
+        links = comps.join(comps.withColumnRenamed("node", "b"), "component").select(F.col("node").alias("a"), "b")
+    assert {r.component for r in comps.collect()} == {0}
+    assert comps._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**200
