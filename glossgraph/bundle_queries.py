@@ -414,8 +414,8 @@ def execution_evidence(spark, sf_dir):
     programs = steps.groupBy("mapping_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "text"))), lambda x: x["text"]), "|")).alias("program"), F.max((F.col("edge") == "order_part_flag").cast("int")).alias("valued"))
     known = done.plans.join(programs.where("valued = 1"), F.col("plan_id") == F.col("mapping_id")).select("answer", "program").distinct()
     layers = done.evidence.join(done.paths.withColumnRenamed("step", "at"), "path").where("step = at").join(known, "answer")
-    total = lambda c: F.sum(c).alias(f"{c}_sum")
-    return layers.groupBy("program", "step").agg(total("src"), total("dst"), F.count("*").alias("n"), F.count("value").alias("n_valued"), F.min("value").alias("first_value"), F.max("value").alias("last_value"))
+    others = F.count("*").alias("n"), F.count("value").alias("n_valued"), F.min("value").alias("first_value"), F.max("value").alias("last_value")
+    return accounting.exact_sums(layers, ["program", "step"], {"src_sum": "src", "dst_sum": "dst"}, *others)
 
 
 def _reference_nodes(spark, sf_dir, kind):

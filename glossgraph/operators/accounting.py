@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossgraph.operators.census import label
 from glossgraph.operators.selectors import SelectionError
+from glossgraph.session import cut
 
 BUCKETS = ("C", "D", "E", "F", "G", "H")
 
@@ -52,6 +53,16 @@ def weighted_coverage(rows: DataFrame, by: str, weight: str, covered: Column) ->
     )
 
 
+def exact_sums(rows: DataFrame, by: list[str], sums: dict[str, str], *others: Column) -> DataFrame:
+    """(by, sums, others): sums of integer columns, {name: column}, that are exact at any size.
+
+    A column of sums is bigint if all of them fit, else decimal(38,0). As just the sums tell which, they are made at once.
+    """
+    wide = cut(rows.groupBy(*by).agg(*(F.sum(F.col(c).cast("decimal(28,0)")).alias(n) for n, c in sums.items()), *others))
+    fits = wide.agg(*(F.every(F.col(n).isNull() | F.col(n).try_cast("bigint").isNotNull()).alias(n) for n in sums)).first()
+    return wide.withColumns({n: F.col(n).cast("bigint") for n in sums if fits[n] is not False})
+
+
 def route(items: DataFrame, routes: DataFrame, on: str, default: str = "H", assessed: Column | None = None) -> DataFrame:
     """Each item with its owner: a route's, else what was assessed, else the default. An item with two routes is refused by `owners`."""
     residual = F.lit(default) if assessed is None else F.coalesce(assessed, F.lit(default))

@@ -1,8 +1,13 @@
 """Plans of all shapes executed together, and requests over named corpora, on small cases."""
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from glossgraph import bundle_queries
+from glossgraph.operators import accounting
 from glossgraph.plans import bindings, executor
+from glossgraph.registry import ORACLES
 from glossgraph.sources.graph import EdgeType, TableCorpus
 
 
@@ -173,3 +178,48 @@ def test_batches_of_keys_meet_a_built_index_where_it_lies(spark):
     finally:
         spark.conf.set(setting, before)
     assert got == sorted([("gone", ""), *((f"k{n % 50}", f"r{n}") for n in range(200) if n % 50 in (1, 2))])
+
+
+@pytest.fixture(scope="module")
+def far(spark, tmp_path_factory):
+    """The smallest tables with the keys of orders so large that sums over a few nodes pass 64 bits, and DuckDB over them."""
+    folder = tmp_path_factory.mktemp("far")
+    duck = duckdb.connect()
+    for t in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem"):
+        rows = f"SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'"
+        if t in ("orders", "lineitem"):
+            key = f"{t[0]}_orderkey"
+            rows = f"SELECT * REPLACE ({key} + 4000000000000000000 AS {key}) FROM ({rows})"
+        duck.execute(f"COPY ({rows}) TO '{folder}/{t}.parquet' (FORMAT parquet)")
+        duck.execute(f"CREATE VIEW {t} AS FROM '{folder}/{t}.parquet'")
+    return str(folder), duck
+
+
+def uncast(sql, *columns):
+    """SQL without the casts of sums that these keys pass."""
+    for c in columns:
+        assert f"CAST(sum({c}) AS BIGINT)" in sql
+        sql = sql.replace(f"CAST(sum({c}) AS BIGINT)", f"sum({c})")
+    return sql
+
+
+def test_evidence_of_any_size_is_summed_up(spark, far):
+    folder, duck = far
+    found = bundle_queries.execution_evidence(spark, folder)
+    kinds = dict(found.dtypes)
+    assert (kinds["src_sum"], kinds["dst_sum"]) == ("decimal(38,0)", "bigint")  # a column that has room stays as it was
+    want = duck.execute(f"SELECT {', '.join(found.columns)} FROM ({uncast(ORACLES['execution_evidence'], 'src', 'dst')})").fetchall()
+    assert max(r[2] for r in want) > 2**63
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def test_sums_are_exact_at_any_size(spark):
+    top = 2**63 - 1
+    rows = spark.createDataFrame([("a", top, 1, -top), ("a", 0, 2, -1), ("b", -5, None, -top), ("b", 5, None, 7)], "k string, x long, y int, z long")
+    sums = accounting.exact_sums(rows, ["k"], {"sx": "x", "sy": "y", "sz": "z"}, F.count("*").alias("n"))
+    assert sums.dtypes == [("k", "string"), ("sx", "bigint"), ("sy", "bigint"), ("sz", "bigint"), ("n", "bigint")]
+    assert {tuple(r) for r in sums.collect()} == {("a", top, 3, -top - 1, 2), ("b", 0, None, 7 - top, 2)}
+    wide = accounting.exact_sums(rows.union(rows.where("y = 1")), ["k"], {"sx": "x", "sy": "y"})
+    assert wide.dtypes == [("k", "string"), ("sx", "decimal(38,0)"), ("sy", "bigint")]
+    assert {(r.k, int(r.sx), r.sy) for r in wide.collect()} == {("a", 2 * top, 4), ("b", 0, None)}
+    assert accounting.exact_sums(rows.limit(0), ["k"], {"sx": "x"}).dtypes == [("k", "string"), ("sx", "bigint")]
