@@ -395,7 +395,7 @@ def execute_bindings(spark, sf_dir):
     """Resolved keys of all shapes with what they lose and the nodes that they select, summed up; refused ones with the reason."""
     done, bound = _executed(spark, sf_dir), _bound(spark, sf_dir)
     plans = _resolved(spark, sf_dir).where("status <> 'refused'").join(bound.select("corpus", "projection_id", F.col("mapping_id").alias("plan_id")), ["corpus", "projection_id"])
-    found = done.nodes.groupBy("answer").agg(F.count("*").alias("n_nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"), F.sum("node").alias("node_sum"))
+    found = accounting.exact_sums(done.nodes, ["answer"], {"node_sum": "node"}, F.count("*").alias("n_nodes"), F.min("node").alias("first_node"), F.max("node").alias("last_node"))
     joined = plans.join(done.plans.select("plan_id", "answer", "problem", F.lit(True).alias("there")), "plan_id", "left").join(found, "answer", "left")
     problem = F.when(F.col("there").isNull(), "missing_execution_component").otherwise(F.col("problem"))
     return _flat(joined).select("corpus", "projection_id", "target", "status", "losses", problem.alias("problem"), F.when(F.col("answer").isNotNull(), F.coalesce("n_nodes", F.lit(0))).alias("n_nodes"), "first_node", "last_node", "node_sum")

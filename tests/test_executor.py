@@ -1,5 +1,7 @@
 """Plans of all shapes executed together, and requests over named corpora, on small cases."""
 
+from decimal import Decimal
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -213,6 +215,15 @@ def test_evidence_of_any_size_is_summed_up(spark, far):
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
 
 
+def test_nodes_of_bindings_of_any_size_are_summed_up(spark, far):
+    folder, duck = far
+    found = bundle_queries.execute_bindings(spark, folder)
+    assert dict(found.dtypes)["node_sum"] == "decimal(38,0)"
+    want = duck.execute(f"SELECT {', '.join(found.columns)} FROM ({uncast(ORACLES['execute_bindings'], 'node')})").fetchall()
+    assert max(r[-1] or 0 for r in want) > 2**63
+    assert sorted(map(repr, (tuple(int(x) if isinstance(x, Decimal) else x for x in r) for r in found.collect()))) == sorted(map(repr, want))
+
+
 def test_sums_are_exact_at_any_size(spark):
     top = 2**63 - 1
     rows = spark.createDataFrame([("a", top, 1, -top), ("a", 0, 2, -1), ("b", -5, None, -top), ("b", 5, None, 7)], "k string, x long, y int, z long")
